@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +44,31 @@ def ascii_words(text: Column) -> Column:
 
 #: A word of the benchmark and license operators.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def sum_vectors(
+    df: DataFrame, tally: Callable[[Iterator[pa.RecordBatch]], np.ndarray], width: int, dtype: str = "f8"
+) -> np.ndarray:
+    """Sum over all partitions of the vector that ``tally`` makes of a partition's Arrow batches.
+
+    Vectors have a fixed ``width``; they are added up in about the square root of the number of
+    partitions of tasks first, so that the driver gets few of them however large the input is.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = np.asarray(tally(batches), dtype=dtype)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())], names=["v"])
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, dtype=dtype)
+        for batch in batches:
+            for v in batch.column(0):
+                total += np.frombuffer(zlib.decompress(v.as_py()), dtype=dtype)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["v"])
+
+    n = max(1, int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    parts = df.mapInArrow(first, "v binary").repartition(n).mapInArrow(then, "v binary").collect()
+    total = np.zeros(width, dtype=dtype)
+    for row in parts:
+        total += np.frombuffer(zlib.decompress(bytes(row[0])), dtype=dtype)
+    return total

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import packing
+from cloudloom.llm import packing, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
