@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import packing, simhash
+from cloudloom.llm import decontaminate, packing, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_benchmark_decontamination": decontaminate.OP5_SQL,
+}
