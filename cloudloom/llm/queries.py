@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import decontaminate, packing, simhash
+from cloudloom.llm import decontaminate, licenses, packing, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op8_license_scans": licenses.op8_license_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_benchmark_decontamination": decontaminate.OP5_SQL,
+    "op8_license_scans": licenses.OP8_SQL,
 }
