@@ -107,8 +107,9 @@ def license_rows(docs: DataFrame) -> DataFrame:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Base places and, per row of ``docs``, the detections that no better one contains."""
     own = ["_row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    spark = docs.sparkSession
-    table = spark.createDataFrame(rules(), "rank int, keyword string, pattern string, label string, score double")
+    names = ("rank", "keyword", "pattern", "label", "score")
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]) for rule in rules()])
+    table = docs.sparkSession.range(1).select(F.inline(table))  # a fixed number of rows
     each = license_rows(docs).select(*own, F.explode_outer("_windows").alias("w"))
     met = each.join(F.broadcast(table), (F.col("w.keyword") == F.col("keyword")) & F.expr("w.text rlike pattern"), "left")
     match = F.expr("regexp_extract(w.text, pattern, 0)")
