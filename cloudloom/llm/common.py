@@ -72,3 +72,40 @@ def sum_vectors(
     for row in parts:
         total += np.frombuffer(zlib.decompress(bytes(row[0])), dtype=dtype)
     return total
+
+
+def fold(column: str, n: int, k: int) -> Column:
+    """Whether crc32 of the column as text leaves ``k`` modulo ``n`` (false for null)."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % n == k, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, y) of at most ``per_class`` labelled documents of each class, and all class counts.
+
+    Chosen are the doc_ids least in hash order, so the sample does not depend on partitions; a
+    doc_id with several rows or labels gives one row.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = known.withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    sizes = {int(r[0]): int(r[1]) for r in known.groupBy("y").count().collect()}
+    edges = {y: known.where(F.col("y") == y).orderBy("h").limit(per_class).agg(F.max("h")).first()[0] for y in sizes}
+    pick = F.lit(False)
+    for y, edge in edges.items():
+        pick = pick | ((F.col("y") == y) & (F.col("h") <= F.lit(edge)))
+    chosen = known.where(pick).select("doc_id", "y")  # at most 2 * per_class rows
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.dropDuplicates(["doc_id"]).select("text", "y"), sizes
+
+
+def slices(column: pa.Array, most_chars: int) -> Iterator[list[str]]:
+    """Texts of an Arrow column (null: empty), whole, in parts of about ``most_chars``."""
+    part: list[str] = []
+    size = 0
+    for t in column:
+        part.append(t.as_py() or "")
+        size += len(part[-1])
+        if size > most_chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

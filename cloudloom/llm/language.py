@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import read_table, sum_vectors
+from cloudloom.llm.common import fold, read_table, slices, sum_vectors
 
 WORD = re.compile(r"[^\W\d_]+")
 CELLS = 1 << 16
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, batch_words:
         reader = Reader(shared.value, penalty)
         for batch in batches:
             langs, scores, shares = [], [], []
-            for texts in _slices(batch.column(1), batch_words * 6):
+            for texts in slices(batch.column(1), batch_words * 6):
                 for words in reader.label(texts):
                     letters: dict[str, int] = {}
                     for w, lang in words:
@@ -206,23 +206,6 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, batch_words:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, letters map<string,long>")
 
 
-def _slices(column, most_chars: int) -> Iterator[list[str | None]]:
-    part, size = [], 0
-    for t in column:
-        part.append(t.as_py())
-        size += len(part[-1] or "")
-        if size > most_chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def fold(column: str, n: int, k: int):
-    """Whether crc32 of the column as text leaves ``k`` modulo ``n`` (false for null)."""
-    return F.coalesce(F.crc32(F.col(column).cast("string")) % n == k, F.lit(False))
-
-
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """Languages of all documents, learned from those outside the held-out fold."""
     docs = read_table(spark, sf_dir, "documents")
