@@ -58,14 +58,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint's bits as a signed long."""
+    """(_row, doc_id, fp) of each row; fp is the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["_row", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "_row long, doc_id long, fp long")
 
 
 def bit_statistics(reps: DataFrame) -> tuple[float, np.ndarray]:
@@ -237,16 +238,31 @@ def links(reps: DataFrame, max_bits: int = 3) -> DataFrame:
     return pairs.unionByName(dense)
 
 
+def _classes(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) of every fingerprint; root names its class."""
+    reps = checkpoint(fps.select("fp").distinct())
+    comps = connected_components(links(reps, max_bits)).withColumnRenamed("node", "fp")
+    return reps.join(comps, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, max_bits: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp and component_id (least doc_id reachable over links) of every row of ``docs``."""
+    fps = checkpoint(fingerprints(docs, width, seed).drop("_row"))
+    roots = _classes(fps, max_bits)
+    least = roots.join(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(roots.join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, max_bits: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each class of near-duplicates, the one of least doc_id, with all its columns.
+
+    ``docs`` must give the same rows in the same partitions when read again (a table does).
+    """
     fps = checkpoint(fingerprints(docs, width, seed))
-    reps = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comps = connected_components(links(reps, max_bits))
-    linked = reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
-    linked = linked.select("fp", F.coalesce("component", "fp").alias("root"), "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = linked.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first")
+    stay = fps.groupBy("fp").agg(first).join(_classes(fps, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    return rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
