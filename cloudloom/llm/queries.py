@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import decontaminate, html, language, licenses, packing, pii, quality, simhash, toxicity
+from cloudloom.llm import decontaminate, html, language, licenses, media, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_license_scans": licenses.op8_license_scans,
     "op9_personal_data": pii.op9_personal_data,
+    "op10_media_columns": media.op10_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {
