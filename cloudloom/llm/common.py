@@ -109,3 +109,12 @@ def slices(column: pa.Array, most_chars: int) -> Iterator[list[str]]:
             part, size = [], 0
     if part:
         yield part
+
+
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row.
+
+    The optimizer copies an expensive expression into every filter and projection above that
+    uses it; it does not copy it through the generator that makes the column here.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import ascii_words, read_table
+from cloudloom.llm.common import ascii_words, pinned, read_table
 
 #: Windows up to which the set travels inside the plan.
 SET_LIMIT = 100_000
@@ -48,7 +48,7 @@ def _starts(words: Column, w: int) -> Column:
 
 def with_hits(docs: DataFrame, windows: DataFrame, set_limit: int = SET_LIMIT) -> DataFrame:
     """``docs`` with _words, and _hits: position, length and words of each window that occurs."""
-    docs = docs.withColumn("_words", ascii_words(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    docs = pinned(docs, "_words", ascii_words(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     # Counted before anything is collected: the branch below holds at most set_limit windows.
     if windows.count() > set_limit:
         return _joined_hits(docs, windows)
@@ -57,7 +57,7 @@ def with_hits(docs: DataFrame, windows: DataFrame, set_limit: int = SET_LIMIT) -
     for w in sorted({r["w"] for r in found}):
         own = [r for r in found if r["w"] == w]
         hits = F.concat(hits, _hits_of(F.col("_words"), w, sorted({r["key"] for r in own}), sorted({r["window"] for r in own})))
-    return docs.withColumn("_hits", hits)
+    return pinned(docs, "_hits", hits)
 
 
 def _hits_of(words: Column, w: int, keys: list[int], texts: list[str]) -> Column:
@@ -111,14 +111,14 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, width: int = 10, drop
     A document of whose words at least ``drop_share`` are hit goes; from others the hit words go
     (what stood between them stays).  Documents without a hit keep their text as it is.
     """
-    hit = with_hits(docs, benchmark_windows(bench, width), set_limit)
-    hit = hit.withColumn("_at", hit_words(F.col("_hits"))).where((F.size("_at") == 0) | (F.size("_at") < F.size("_words") * drop_share))
+    hit = pinned(with_hits(docs, benchmark_windows(bench, width), set_limit), "_at", hit_words(F.col("_hits")))
+    hit = hit.where((F.size("_at") == 0) | (F.size("_at") < F.size("_words") * drop_share))
     words, gaps = F.regexp_extract_all("text", F.lit(CASED_WORD), F.lit(0)), F.split("text", CASED_WORD, -1)
-    whole = hit.withColumn("_w", F.when(F.size("_at") > 0, words)).withColumn("_g", F.when(F.size("_at") > 0, gaps))
+    cut = pinned(pinned(hit, "_w", F.when(F.size("_at") > 0, words)), "_g", F.when(F.size("_at") > 0, gaps))
     # Spared words, each with the gap after it, from the first gap on.
     spared = F.array_except(F.sequence(F.lit(0), F.size("_w") - 1), "_at")
     kept = F.array_join(F.transform(spared, lambda i: F.concat(F.col("_w")[i], F.col("_g")[i + 1])), "")
-    return whole.withColumn("text", F.when(F.size("_at") > 0, F.concat(F.col("_g")[0], kept)).otherwise(F.col("text"))).select(*docs.columns)
+    return cut.withColumn("text", F.when(F.size("_at") > 0, F.concat(F.col("_g")[0], kept)).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
