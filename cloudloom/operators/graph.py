@@ -50,3 +50,40 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("u"), F.col("v")).distinct()
     return now.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
+
+
+def mutual_best(edges: DataFrame, keys: list[str], side_i: list[str], side_j: list[str], order: list) -> DataFrame:
+    """Edges that are the first of their order at both of their sides."""
+    from pyspark.sql import Window
+
+    first = lambda side: F.row_number().over(Window.partitionBy(*keys, *side).orderBy(*order))
+    return edges.withColumns({"_i": first(side_i), "_j": first(side_j)}).where("_i = 1 and _j = 1").drop("_i", "_j")
+
+
+def greedy_exclusive(edges: DataFrame, keys: list[str], score: str = "score", src: str = "a", dst: str = "b") -> DataFrame:
+    """Best-first acceptance where each node is used once.
+
+    Every round takes the edges that are least at both ends (order: score, src, dst) and drops the
+    edges that touch them; equal to going through all edges in order.
+    """
+    from pyspark.sql import Window
+
+    order = [score, src, dst]
+    left = checkpointed(edges.where(F.col(src) != F.col(dst)))
+    out = left.limit(0)
+    while not left.isEmpty():
+        sides = left.select(*keys, F.explode(F.array(src, dst)).alias("_v"), *order)
+        best = sides.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_v").orderBy(*order))).where("_k = 1")
+        both = best.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("_n")).where("_n = 2").drop("_n")
+        taken = checkpointed(left.join(both, [*keys, *order], "left_semi"))
+        out = out.unionByName(taken)
+        used = taken.select(*keys, F.explode(F.array(src, dst)).alias("_v")).distinct()
+        left = left.join(used.withColumnRenamed("_v", src), [*keys, src], "left_anti")
+        left = checkpointed(left.join(used.withColumnRenamed("_v", dst), [*keys, dst], "left_anti").select(*edges.columns))
+    return out
+
+
+def group_of_limited_size(nodes: DataFrame, component: str, most: int) -> DataFrame:
+    """Rows of components with at most ``most`` members; larger ones go as a whole."""
+    sizes = nodes.groupBy(component).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).drop("_n")
+    return nodes.join(sizes, component, "left_semi")
