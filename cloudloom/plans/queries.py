@@ -516,3 +516,99 @@ def triangle_support(spark: SparkSession, sf: str) -> DataFrame:
 def link_score_v1(spark: SparkSession, sf: str) -> DataFrame:
     scored, support = _support(spark, sf)
     return rounded(links.score_v1(scored, support, ["ev"]).select("a", "b", "j1"))
+
+
+# --- scalar geometry, ends, kernels ----------------------------------------
+
+
+@query("point_line_scalars", f"""WITH {PT}, {moments_sql('pt', 'ev, label')}, j AS (SELECT hit_id, x, y, z, cx, cy, cz, dx, dy, dz, (x - cx) * dx + (y - cy) * dy + (z - cz) * dz AS t, cx + tmin * dx AS ax, cy + tmin * dy AS ay, cz + tmin * dz AS az, length FROM pt JOIN mo USING (ev, label)),
+k AS (SELECT *, sqrt(greatest((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2 - t * t, 0)) AS perp, greatest(least((x - ax) * dx + (y - ay) * dy + (z - az) * dz, length * 0.5), 0) AS u FROM j)
+SELECT hit_id, round(t, 6) AS t, round(perp, 6) AS perp, round(sqrt((x - ax - u * dx) ** 2 + (y - ay - u * dy) ** 2 + (z - az - u * dz) ** 2), 6) AS to_half, round(0.7 * perp + 0.2 * abs(t) + 0.1 * abs(u), 6) AS mixed FROM k""")
+def point_line_scalars(spark: SparkSession, sf: str) -> DataFrame:
+    p = point_hits(spark, sf)
+    m = ends(line_moments(p, ["ev", "label"])).select("ev", "label", "cx", "cy", "cz", "dx", "dy", "dz", "ax", "ay", "az", "length")
+    j = p.join(m, ["ev", "label"])
+    half = geom.add(geom.vec("a"), geom.scale(geom.vec("d"), F.col("length") * 0.5))
+    t = geom.dot(geom.sub(geom.vec(), geom.vec("c")), geom.vec("d"))
+    perp = geom.line_distance(geom.vec(), geom.vec("c"), geom.vec("d"))
+    u = F.greatest(F.least(geom.dot(geom.sub(geom.vec(), geom.vec("a")), geom.vec("d")), F.col("length") * 0.5), F.lit(0.0))
+    return rounded(j.select("hit_id", t.alias("t"), perp.alias("perp"), geom.point_segment_distance(geom.vec(), geom.vec("a"), half).alias("to_half"), geom.gap_score(perp, F.abs(t), F.abs(u)).alias("mixed")))
+
+
+@query("gap_parts", f"""{PAIR}, f AS (SELECT *, sqrt((px + qx) ** 2 + (py + qy) ** 2 + (pz + qz) ** 2) AS n FROM dt), g AS (SELECT *, (ox * (px + qx) + oy * (py + qy) + oz * (pz + qz)) / n AS al FROM f WHERE n > 1e-6)
+SELECT i, j, round(sqrt(greatest(ox * ox + oy * oy + oz * oz - al * al, 0)), 4) AS trans, round(abs(al), 4) AS lon FROM g""")
+def gap_parts(spark: SparkSession, sf: str) -> DataFrame:
+    out_j = geom.scale(geom.vec("r_d"), -1.0)
+    pairs = segment_pairs(spark, sf).where(geom.norm(geom.sub(geom.vec("l_d"), out_j)) > 1e-6)
+    trans, lon = geom.gap_parts(geom.vec("l_c"), geom.vec("l_d"), geom.vec("r_c"), out_j)
+    return pairs.select("i", "j", F.round(trans, 4).alias("trans"), F.round(lon, 4).alias("lon"))
+
+
+@query("box_extension", f"""{PAIR.split(', pr AS')[0]}, bx AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM pt),
+f AS (SELECT id, greatest(least((lx - cx) / dx, (hx - cx) / dx), least((ly - cy) / dy, (hy - cy) / dy), least((lz - cz) / dz, (hz - cz) / dz)) AS first, least(greatest((lx - cx) / dx, (hx - cx) / dx), greatest((ly - cy) / dy, (hy - cy) / dy), greatest((lz - cz) / dz, (hz - cz) / dz)) AS last FROM sg, bx)
+SELECT id, round(first, 4) AS first, round(last, 4) AS last FROM f""")
+def box_extension(spark: SparkSession, sf: str) -> DataFrame:
+    box = audit.bounding_boxes(point_hits(spark, sf), ["ev"])
+    first, last = geom.extend_to_box(geom.vec("c"), geom.vec("d"), geom.vec("lo"), geom.vec("hi"))
+    return segments(spark, sf).join(F.broadcast(box), "ev").select("id", F.round(first, 4).alias("first"), F.round(last, 4).alias("last"))
+
+
+@query("end_anchors", f"""WITH {PT}, {moments_sql('pt', 'ev, label')}, j AS (SELECT ev, label, hit_id, x, y, z, (x - cx) * dx + (y - cy) * dy + (z - cz) * dz AS t FROM pt JOIN mo USING (ev, label)),
+k AS (SELECT *, row_number() OVER (PARTITION BY ev, label ORDER BY t, hit_id) AS lo, row_number() OVER (PARTITION BY ev, label ORDER BY t DESC, hit_id) AS hi FROM j)
+SELECT ev, label, CAST(0 AS INTEGER) AS "end", round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM k WHERE lo <= 3 GROUP BY ev, label UNION ALL SELECT ev, label, 1, round(avg(x), 6), round(avg(y), 6), round(avg(z), 6) FROM k WHERE hi <= 3 GROUP BY ev, label""")
+def end_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    from cloudloom.operators.stages import end_anchors as anchors
+
+    return rounded(anchors(point_hits(spark, sf), ["ev"]))
+
+
+@query("vertex_merge_pairs")
+def vertex_merge_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    from cloudloom.operators.stages import vertex_merge_pairs as pairs
+
+    p = point_hits(spark, sf).withColumn("label", F.col("label") * 4 + F.col("tpc"))
+    return rounded(pairs(p, ["ev"], least=10, reach=25.0, line=25.0, core=0.5))
+
+
+@query("family_score")
+def family_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of pairs read as cluster-and-family rows; what the model needs more is held at its mean."""
+    p, infos = _infos(spark, sf)
+    rows = links._sided(links.candidate_pairs(infos, links.sample_points(p, ["ev"]), ["ev"]), infos, ["ev"])
+    names = [f"f{k}" for k in range(18)]
+    known = {0: F.col("d_min"), 1: F.log1p("n3"), 11: F.col("a_linearity"), 12: geom.log10_floor(F.col("a_e")), 13: geom.log10_floor(F.col("b_e")), 14: F.log10("b_n")}
+    features = rows.select("a", "b", *[known.get(k, F.lit(links.FAMILY["mean"][k])).alias(n) for k, n in enumerate(names)])
+    return rounded(links.family_score(features, names).select("a", "b", "s"))
+
+
+@query("ransac_segments")
+def ransac_segments(spark: SparkSession, sf: str) -> DataFrame:
+    from cloudloom.plans import chain
+    from cloudloom.plans.config import ChainConfig
+
+    return chain.segments(point_hits(spark, sf), ["ev"], ChainConfig.of(min_inliers=8, seg_min_hits=8, radius=15.0, lam=8.0, min_length=15.0, gap_cut=15.0, gap_min_hits=5))
+
+
+@query("two_line_split")
+def two_line_split(spark: SparkSession, sf: str) -> DataFrame:
+    from cloudloom.plans import chain
+
+    return rounded(chain.two_line_split(point_hits(spark, sf), ["ev", "label"]))
+
+
+@query("full_chain_labels")
+def full_chain_labels(spark: SparkSession, sf: str) -> DataFrame:
+    from cloudloom.plans import chain
+    from cloudloom.plans.config import ChainConfig
+
+    return chain.cluster(point_hits(spark, sf), ["ev"], ChainConfig.of(min_inliers=8, seg_min_hits=8, radius=15.0, lam=8.0, min_length=15.0, gap_cut=15.0, gap_min_hits=5, leftover_eps=8.0))
+
+
+@query("stage_summary")
+def stage_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and labelled hits after each stage of the chain."""
+    from cloudloom.plans.chain import STAGES
+
+    made = full_chain_labels(spark, sf)
+    rows = made.select("ev", F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"at_{s}").alias("label")) for s in STAGES])).alias("r")).select("ev", "r.*")
+    return rows.groupBy("ev", "stage").agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_labels"), F.count(F.when(F.col("label") >= 0, 1)).alias("n_labelled"))
