@@ -71,7 +71,10 @@ def _window(words: Column, pos: Column, w: int) -> Column:
 
 
 def _joined_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The same for a benchmark of any size: windows are joined on their hash, not held in a set."""
+    """The same for a benchmark of any size: windows are joined on their hash, not held in a set.
+
+    ``docs`` must give the same rows in the same partitions when read again (a table does).
+    """
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
     widths = [r[0] for r in windows.select("w").distinct().collect()]  # at most ``width`` numbers
     words = F.col("_words")
