@@ -66,14 +66,15 @@ def line_moments(points: DataFrame, keys: list[str]) -> DataFrame:
     """Moments, principal direction, extent (tmin, tmax, length) and q90 radius of each group.
 
     Two aggregations over the points: the second needs the first's direction, which is joined on
-    the keys (both are dealt out by them).
+    the keys (both are dealt out by them).  The rms comes from the distances themselves, as that of
+    points on a line would be lost in the rounding of the eigenvalues.
     """
     lines = with_axes(points.groupBy(*keys).agg(*aggregates()))
     joined = points.select(*keys, "x", "y", "z").join(lines.select(*keys, "cx", "cy", "cz", "dx", "dy", "dz"), keys)
     r = geom.sub(geom.vec(), geom.vec("c"))
     t, perp = geom.dot(r, geom.vec("d")), geom.line_distance(geom.vec(), geom.vec("c"), geom.vec("d"))
-    reach = joined.withColumns({"t": t, "perp": perp}).groupBy(*keys).agg(F.min("t").alias("tmin"), F.max("t").alias("tmax"), F.percentile("perp", 0.9).alias("q90"), F.percentile("perp", 0.5).alias("q50"))
-    return lines.join(reach.withColumn("length", F.col("tmax") - F.col("tmin")), keys)
+    reach = joined.withColumns({"t": t, "perp": perp}).groupBy(*keys).agg(F.min("t").alias("tmin"), F.max("t").alias("tmax"), F.percentile("perp", 0.9).alias("q90"), F.percentile("perp", 0.5).alias("q50"), F.sqrt(F.avg(F.col("perp") * F.col("perp"))).alias("rms"))
+    return lines.drop("rms").join(reach.withColumn("length", F.col("tmax") - F.col("tmin")), keys)
 
 
 def ends(lines: DataFrame) -> DataFrame:
