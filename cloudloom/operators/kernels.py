@@ -110,28 +110,61 @@ def dbscan(p: np.ndarray, eps: float, least: int) -> np.ndarray:
 
 
 def scale(p: np.ndarray, k: int) -> float:
-    """1.5 times the median distance to the k-th other point; 3 for k points or fewer."""
-    if len(p) <= k:
+    """1.5 times the median distance to the k-th other point; 3 for k points or fewer.
+
+    The radius grows until more than half of the points have their k-th neighbour inside: the
+    others lie beyond it, so the median is exact.
+    """
+    n = len(p)
+    if n <= k:
         return 3.0
-    far = np.concatenate([np.partition(np.sqrt(((p[a : a + 512, None] - p[None]) ** 2).sum(2)), k, axis=1)[:, k] for a in range(0, len(p), 512)])
-    return float(1.5 * np.median(far))
+    if n < 1500:
+        q = p - p.mean(0)
+        s = (q * q).sum(1)
+        d2 = s[:, None] + s[None] - 2 * (q @ q.T)
+        return float(1.5 * np.median(np.sqrt(np.maximum(np.partition(d2, k, axis=1)[:, k], 0))))
+    r, far = 0.5, np.full(n, np.inf)
+    while True:
+        i, _, d = near_pairs(p, p, r)
+        order = np.lexsort((d, i))
+        first = np.searchsorted(i[order], np.arange(n))
+        enough = np.bincount(i, minlength=n) > k
+        far[enough] = d[order][first[enough] + k]
+        if enough.sum() > n // 2 + 1:
+            return float(1.5 * np.median(far))
+        r *= 2
 
 
 def best_line(p: np.ndarray, tau: float, iters: int, rng: np.random.Generator) -> np.ndarray:
-    """Inliers (distance under ``tau``) of the hypothesis with most of them, the first of equals, refitted."""
+    """Inliers (distance under ``tau``) of the hypothesis with most of them, the first of equals, refitted.
+
+    Squared distances of all points to a block of lines come from two matrix products.
+    """
+    q = p - p.mean(0)
+    size = (q * q).sum(1)
     pairs = rng.integers(0, len(p), (iters, 2))
-    best, top = None, 0
-    for a in range(0, iters, 100):
-        u = p[pairs[a : a + 100, 1]] - p[pairs[a : a + 100, 0]]
+    best, top = None, 1
+    for k in range(0, iters, 64):
+        a = q[pairs[k : k + 64, 0]]
+        u = q[pairs[k : k + 64, 1]] - a
         n = np.linalg.norm(u, axis=1)
-        ok = np.flatnonzero(n > TINY)
-        r = p[None] - p[pairs[a : a + 100, 0]][ok][:, None]
-        t = np.einsum("hnk,hk->hn", r, u[ok] / n[ok, None])
-        inside = (r * r).sum(2) - t * t < tau * tau
-        counts = inside.sum(1)
-        if len(counts) and counts.max() > top:
-            best, top = inside[int(counts.argmax())], int(counts.max())
-    if best is None or top < 2:
+        ok = n > TINY
+        if not ok.any():
+            continue
+        a, u = a[ok], u[ok] / n[ok, None]
+        along = u @ q.T
+        along -= (a * u).sum(1)[:, None]
+        along *= along
+        d2 = a @ q.T
+        d2 *= -2
+        d2 += size
+        d2 += (a * a).sum(1)[:, None]
+        d2 -= along
+        inside = d2 < tau * tau
+        counts = np.count_nonzero(inside, axis=1)
+        if counts.max() > top:
+            best, top = inside[int(counts.argmax())].copy(), int(counts.max())
+    if best is None:
         return np.zeros(len(p), bool)
     return fit(p[best]).project(p)[1] < tau
 
