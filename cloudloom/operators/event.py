@@ -48,7 +48,7 @@ class Event:
         out = []
         for cell in np.unique(self.tpc):
             m = np.flatnonzero(self.tpc == cell)
-            for part, _ in K.cell_segments(self.p[m], self.cfg, self.seed * 1000 + int(cell)):
+            for part, _ in K.cell_segments(self.p[m], self.cfg, (self.seed, int(cell) & 0xFFFFFFFF)):
                 whole = m[part]
                 parts = [whole[k] for k in K.split_segment(self.p[whole], self.cfg)] if self.cfg.split else [whole]
                 out += [(k, K.fit(self.p[k])) for k in parts]
@@ -67,36 +67,37 @@ class Event:
                 known[i, end] = K.outward(self.p[segs[i][0]], ends[i][end], ends[i][end] - ends[i][1 - end], cfg.stitch_window, slab=True)
             return known[i, end]
 
+        # The cheap gates for all pairs at once; the others only for what is left.
+        tips, ds = np.array(ends), np.array([line.d for _, line in segs])
+        flat = tips.reshape(-1, 3)
+        gaps = np.sqrt(np.maximum(((flat[:, None] - flat[None]) ** 2).sum(2), 0)).reshape(len(segs), 2, len(segs), 2).transpose(0, 2, 1, 3)
+        angles = np.degrees(np.arccos(np.minimum(1.0, np.abs(ds @ ds.T))))
+        ok = np.triu(np.array(cells)[:, None] != np.array(cells)[None], 1)
+        if cfg.stitch != "legacy":
+            ok &= gaps.min((2, 3)) <= cfg.stitch_end
+        if cfg.stitch != "directional":
+            ok &= angles <= cfg.stitch_angle
         edges = []
-        for i in range(len(segs)):
-            for j in range(i + 1, len(segs)):
-                if cells[i] == cells[j]:
-                    continue
-                gaps = np.linalg.norm(ends[i][:, None] - ends[j][None], axis=2)
-                a, b = divmod(int(gaps.argmin()), 2)
-                gap = float(gaps[a, b])
-                if cfg.stitch != "legacy" and gap > cfg.stitch_end:
-                    continue
-                angle = float(np.degrees(np.arccos(min(1.0, abs(segs[i][1].d @ segs[j][1].d)))))
-                if cfg.stitch != "directional" and angle > cfg.stitch_angle:
-                    continue
-                dist = K.segment_gap(*boxes[i], *boxes[j])[0]
-                if dist > cfg.stitch_dist:
+        for i, j in np.argwhere(ok).tolist():
+            a, b = divmod(int(gaps[i, j].argmin()), 2)
+            gap, angle = float(gaps[i, j, a, b]), float(angles[i, j])
+            dist = K.segment_gap(*boxes[i], *boxes[j])[0]
+            if dist > cfg.stitch_dist:
+                continue
+            lin = min(segs[i][1].lin, segs[j][1].lin)
+            turn = angle / cfg.stitch_angle
+            if cfg.stitch == "directional":
+                ui, uj = out(i, a), out(j, b)
+                dot = float(ui @ uj)
+                if dot > cfg.stitch_dot:
                     continue
-                lin = min(segs[i][1].lin, segs[j][1].lin)
-                turn = angle / cfg.stitch_angle
-                if cfg.stitch == "directional":
-                    ui, uj = out(i, a), out(j, b)
-                    dot = float(ui @ uj)
-                    if dot > cfg.stitch_dot:
+                if cfg.stitch_trans is not None:
+                    axis = (ui - uj) / max(np.linalg.norm(ui - uj), K.TINY)
+                    between = ends[j][b] - ends[i][a]
+                    if np.sqrt(max(between @ between - (between @ axis) ** 2, 0)) > cfg.stitch_trans:
                         continue
-                    if cfg.stitch_trans is not None:
-                        axis = (ui - uj) / max(np.linalg.norm(ui - uj), K.TINY)
-                        between = ends[j][b] - ends[i][a]
-                        if np.sqrt(max(between @ between - (between @ axis) ** 2, 0)) > cfg.stitch_trans:
-                            continue
-                    turn = (1 + dot) / (1 + cfg.stitch_dot)
-                edges.append((i, j, a, b, dist / cfg.stitch_dist + 0.45 * gap / cfg.stitch_end + 0.35 * turn - 0.15 * lin))
+                turn = (1 + dot) / (1 + cfg.stitch_dot)
+            edges.append((i, j, a, b, dist / cfg.stitch_dist + 0.45 * gap / cfg.stitch_end + 0.35 * turn - 0.15 * lin))
         if cfg.stitch == "legacy":
             return edges
         best: dict[tuple[int, int], int] = {}
@@ -246,12 +247,17 @@ class Event:
             return trans / cfg.rejoin_trans + (1 + dot) / (1 + cfg.rejoin_dot) + size / cfg.rejoin_gap
 
         found = []
-        for x, a in enumerate(ends):
-            for b in rems:
-                if np.linalg.norm(b[3] - a[3]) <= cfg.rejoin_search and b[2] <= cfg.rejoin_ratio * a[2] and (s := score(a, b)) is not None:
-                    found.append((s, a[:2], b[:2]))
-            for b in ends[x + 1 :]:
-                if b[0] != a[0] and np.linalg.norm(b[3] - a[3]) <= cfg.rejoin_gap and (s := score(a, b)) is not None:
+        at = np.array([a[3] for a in ends]).reshape(-1, 3)
+        out = np.array([a[4] for a in ends]).reshape(-1, 3)
+        for others, reach in ((rems, cfg.rejoin_search), (ends, cfg.rejoin_gap)):
+            bt, bu = (np.array([b[k] for b in others]).reshape(-1, 3) for k in (3, 4))
+            i, j, _ = K.near_pairs(at, bt, reach)
+            facing = (out[i] * bu[j]).sum(1) <= cfg.rejoin_dot
+            for x, y in sorted(zip(i[facing].tolist(), j[facing].tolist(), strict=True)):
+                a, b = ends[x], others[y]
+                if b[0] == a[0] or others is ends and y <= x or others is rems and b[2] > cfg.rejoin_ratio * a[2]:
+                    continue
+                if (s := score(a, b)) is not None:
                     found.append((s, a[:2], b[:2]))
         used: set = set()
         pairs = []
@@ -267,7 +273,8 @@ class Event:
         if size <= cfg.rejoin_min_gap:
             return True
         at = a + np.outer(np.linspace(0.05, 0.95, 19), b - a)
-        active = np.mean([any(((q >= lo) & (q <= hi)).all() for lo, hi in boxes) for q in at])
+        lo, hi = (np.array([box[k] for box in boxes]) for k in (0, 1))
+        active = ((at[:, None] >= lo) & (at[:, None] <= hi)).all(2).any(1).mean()
         if active <= cfg.rejoin_active:
             return True
         r, u = self.p - a, (b - a) / size
@@ -370,7 +377,7 @@ class Event:
                 if len(m) < 2 * cfg.two_hits:
                     continue
                 rms = K.fit(self.p[m]).rms
-                rng = np.random.default_rng((self.seed, k, cell))  # by window, so that order does not matter
+                rng = np.random.default_rng((self.seed, k, cell & 0xFFFFFFFF))  # by window, so that order does not matter
                 best = K.two_lines(self.p[m], cfg.two_iters, cfg.two_inlier, rng) if rms <= cfg.two_rms1 else None
                 if best is None or best[1] > min(cfg.two_ratio * rms, cfg.two_rms2):
                     continue
@@ -421,7 +428,7 @@ class Event:
         for k, cells in sorted(self.flags().items()):
             for cell in cells if k < self.split else []:
                 m = np.flatnonzero((self.labels == k) & (self.tpc == cell))
-                core = K.robust_core(self.p[m], 1.2, self.cfg.two_iters, np.random.default_rng((self.seed, k, cell)))
+                core = K.robust_core(self.p[m], 1.2, self.cfg.two_iters, np.random.default_rng((self.seed, k, cell & 0xFFFFFFFF)))
                 if core.sum() < 15 or K.fit(self.p[m[core]]).length < 8:
                     continue
                 line, rest = K.fit(self.p[m[core]]), m[~core]

@@ -169,7 +169,7 @@ def best_line(p: np.ndarray, tau: float, iters: int, rng: np.random.Generator) -
     return fit(p[best]).project(p)[1] < tau
 
 
-def find_lines(p: np.ndarray, cfg, seed: int) -> np.ndarray:
+def find_lines(p: np.ndarray, cfg, seed) -> np.ndarray:
     """Line label of each point of a cell (-1: none): extract, attach, choose how many, prune."""
     labels = np.full(len(p), -1, np.int64)
     if len(p) < max(2, cfg.min_inliers):
@@ -222,7 +222,7 @@ def find_lines(p: np.ndarray, cfg, seed: int) -> np.ndarray:
     return labels
 
 
-def cell_segments(p: np.ndarray, cfg, seed: int) -> list[tuple[np.ndarray, str]]:
+def cell_segments(p: np.ndarray, cfg, seed) -> list[tuple[np.ndarray, str]]:
     """(point indices, source) of the segments of a cell, in the order they are found."""
     labels = find_lines(p, cfg, seed)
     out: list[tuple[np.ndarray, str]] = []
