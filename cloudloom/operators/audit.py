@@ -74,6 +74,17 @@ def depth_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str]) -> Data
     return met.groupBy(*[c for c in points.columns]).agg(inside.alias("depth"))
 
 
+def in_any_box(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` with whether each lies in a box of its event (faces included)."""
+    depth = geom.depth_in_box(geom.vec(), geom.vec("lo"), geom.vec("hi"))
+    return points.join(boxes, keys).groupBy(*points.columns).agg((F.max(depth) >= 0).alias("active"))
+
+
+def reason_counts(rows: DataFrame, keys: list[str], reason: str = "reason") -> DataFrame:
+    """How often each reject reason occurred."""
+    return rows.groupBy(*keys, reason).agg(F.count(F.lit(1)).alias("n"))
+
+
 def focus(hits: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """Own, foreign and context hits in the cells that the ``wanted`` labels (keys, label) touch."""
     own = hits.join(wanted, [*keys, "label"], "left_semi")

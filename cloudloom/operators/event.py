@@ -7,6 +7,30 @@ import numpy as np
 from cloudloom.operators import kernels as K
 
 
+class _Track:
+    """A track's line in a cell, with its radius, its windows and its energy density outside them."""
+
+    def __init__(self, line: K.Line, radius: float):
+        self.line, self.radius, self.core = line, radius, max(0.55, 0.5 * radius)
+        self.windows: list[tuple[float, float]] = []
+        self.baseline = 0.0
+
+    def set_baseline(self, t: np.ndarray, e: np.ndarray, width: float = 2.0) -> None:
+        """Median density of the bins that no window touches (nor its neighbours); 0 if too few."""
+        lo = float(self.line.t.min())
+        n = max(1, int(np.ceil(self.line.length / width)))
+        rho = np.bincount(np.clip(((t - lo) / width).astype(int), 0, n - 1), e, n) / width
+        free = np.ones(n, bool)
+        for a, b in self.windows:
+            free[max(0, int((a - lo) // width) - 1) : max(0, int((b - lo) // width) + 2)] = False
+        value = float(np.median(rho[free])) if free.sum() >= 5 else 0.0
+        self.baseline = value if value >= 0.05 else 0.0
+
+
+def _largest_gap(t: np.ndarray) -> float:
+    return float(np.diff(np.sort(t)).max()) if len(t) > 1 else 0.0
+
+
 class Event:
     """Points of one event and their labels; labels under ``split`` are tracks, others blobs."""
 
@@ -462,36 +486,133 @@ class Event:
             self.labels[noise[m[np.argsort(best[m], kind="stable")[: max(1, int(0.3 * n))]]]] = k
 
     def intersections(self) -> None:
-        """Where two tracks of a cell cross, give each hit to the line it fits clearly better.
-
-        Reduced form of the five-phase pass: crossings only, a hit moves once, by a margin of 0.35,
-        energy of a pair is bounded, and all is undone if noise or the set of labels changed.
+        """Settle whose the hits are where tracks cross each other or run into clouds.
+
+        Tracks of a cell are modelled by their line, radius and energy density along it; where they
+        meet are windows, and the density outside all windows is a track's baseline.  At crossings
+        hits that fit the other line clearly better change over, then the two energy ratios are
+        evened out; a track too dense beside a cloud sheds its outermost hits to it.  A hit moves
+        once, moves of a pair have an energy limit, a move that tears a track is undone, and all is
+        undone if noise or the set of labels changed.
         """
         before = self.labels.copy()
+        self.moved = np.zeros(len(self.p), bool)
         for cell in np.unique(self.tpc):
-            lines = {}
+            models = {}
             for k in self.tracks():
                 m = np.flatnonzero((self.labels == k) & (self.tpc == cell))
-                if len(m) >= 10 and self.kinds.get(k, "track") == "track" and (ln := K.fit(self.p[m])).length >= 8:
-                    lines[k] = (m, ln, max(1.2, float(np.quantile(ln.perp, 0.9))))
-            names = sorted(lines)
-            pairs = [(a, b) for x, a in enumerate(names) for b in names[x + 1 :]][:256]
-            moved = np.zeros(len(self.p), bool)
-            for a, b in pairs:
-                (ma, la, ra), (mb, lb, rb) = lines[a], lines[b]
-                turn = np.degrees(np.arccos(min(1.0, abs(la.d @ lb.d))))
-                gap, mid = K.segment_gap(*la.ends(), *lb.ends())
-                if turn < 10 or gap > max(1.5 * ra, 1.5 * rb):
-                    continue
-                half = float(np.clip((ra + rb) / np.sin(np.radians(turn)), 3, 10))
-                for m, own, other, to in ((ma, la, lb, b), (mb, lb, la, a)):
-                    near = m[(np.linalg.norm(self.p[m] - mid, axis=1) <= half) & ~moved[m]]
-                    better = near[0.7 * other.project(self.p[near])[1] + 0.35 < 0.7 * own.project(self.p[near])[1]]
-                    better = better[np.cumsum(self.e[better]) <= 80.0]
-                    self.labels[better] = to
-                    moved[better] = True
+                if len(m) >= 10 and self.kinds.get(k, "track") == "track" and (line := K.fit(self.p[m])).length >= 8:
+                    models[k] = _Track(line, max(1.2, float(np.quantile(line.perp, 0.9))))
+            crossings = self._crossings(models)
+            clouds = self._contacts(models, int(cell))
+            for k, model in models.items():
+                m = np.flatnonzero((self.labels == k) & (self.tpc == cell))
+                model.set_baseline(model.line.project(self.p[m])[0], self.e[m])
+            for a, b, mid, half in crossings:
+                self._even_out(models, a, b, mid, half, int(cell))
+            for k, cloud, lo, hi in clouds:
+                self._shed(models[k], k, cloud, lo, hi, int(cell))
         if not np.array_equal(before < 0, self.labels < 0) or set(np.unique(before)) != set(np.unique(self.labels)):
             self.labels = before
+        self.counts["intersections"] = int((before != self.labels).sum())
+
+    def _crossings(self, models: dict) -> list[tuple[int, int, np.ndarray, float]]:
+        """(a, b, middle, half length) of tracks that cross away from their ends; at most 256 pairs a cell."""
+        out = []
+        names = sorted(models)
+        for a, b in [(a, b) for x, a in enumerate(names) for b in names[x + 1 :]][:256]:
+            la, lb = models[a].line, models[b].line
+            turn = float(np.degrees(np.arccos(min(1.0, abs(la.d @ lb.d)))))
+            gap, mid = K.segment_gap(*la.ends(), *lb.ends())
+            if turn < 10 or gap > 1.5 * max(models[a].radius, models[b].radius):
+                continue
+            at = [float(ln.project(mid[None])[0][0]) for ln in (la, lb)]
+            if any(min(t - ln.t.min(), ln.t.max() - t) < 6 for t, ln in zip(at, (la, lb), strict=True)):
+                continue
+            half = float(np.clip((models[a].radius + models[b].radius) / np.sin(np.radians(turn)), 3, 10))
+            out.append((a, b, mid, half))
+            for k, t in zip((a, b), at, strict=True):
+                models[k].windows.append((t - half, t + half))
+        return out
+
+    def _contacts(self, models: dict, cell: int) -> list[tuple[int, int, float, float]]:
+        """(track, cloud, first, last) of stretches where a cloud touches a track, away from its ends."""
+        out = []
+        for k, model in sorted(models.items()):
+            for cloud in self.blobs(1):
+                m = np.flatnonzero((self.labels == cloud) & (self.tpc == cell))
+                t, perp = model.line.project(self.p[m])
+                near = t[(perp <= 1.5 * model.radius) & (t >= model.line.t.min()) & (t <= model.line.t.max())]
+                if len(near) < 3:
+                    continue
+                lo, hi = near.min() - 3, near.max() + 3
+                if hi - lo > model.line.length / 2:
+                    continue
+                model.windows.append((lo, hi))
+                if lo >= model.line.t.min() + 6 and hi <= model.line.t.max() - 6:
+                    out.append((k, cloud, float(lo), float(hi)))
+        return out
+
+    def _try(self, hits: np.ndarray, own: int, to: int, model: _Track, cell: int) -> bool:
+        """Move hits, unless that leaves a gap in their track larger than it had (or than 4)."""
+        gap = lambda: _largest_gap(model.line.project(self.p[(self.labels == own) & (self.tpc == cell)])[0])
+        had = gap()
+        self.labels[hits] = to
+        if gap() > max(had, 4.0):
+            self.labels[hits] = own
+            return False
+        self.moved[hits] = True
+        return True
+
+    def _ratio(self, k: int, model: _Track, mid: np.ndarray, half: float, cell: int) -> tuple[np.ndarray, float]:
+        """Hits of a track around a crossing, and their energy over what the baseline expects."""
+        m = np.flatnonzero((self.labels == k) & (self.tpc == cell))
+        t, centre = model.line.project(self.p[m])[0], float(model.line.project(mid[None])[0][0])
+        m = m[np.abs(t - centre) <= half]
+        return m, float(self.e[m].sum()) / max(model.baseline * 2 * half, K.TINY)
+
+    def _even_out(self, models: dict, a: int, b: int, mid: np.ndarray, half: float, cell: int) -> None:
+        spent = 0.0
+        cross = lambda k, m: 0.7 * models[k].line.project(self.p[m])[1]
+        for own, other in ((a, b), (b, a)):
+            m, _ = self._ratio(own, models[own], mid, half, cell)
+            m = m[~self.moved[m] & (np.linalg.norm(self.p[m] - mid, axis=1) <= half)]
+            m = m[cross(other, m) + 0.35 < cross(own, m)]
+            m = m[np.cumsum(self.e[m]) <= 80.0 - spent]
+            if len(m) and self._try(m, own, other, models[own], cell):
+                spent += float(self.e[m].sum())
+        if min(models[a].baseline, models[b].baseline) <= 0:
+            return
+        for _ in range(200):
+            (ma, ra), (mb, rb) = self._ratio(a, models[a], mid, half, cell), self._ratio(b, models[b], mid, half, cell)
+            if abs(ra - rb) <= 0.15:
+                return
+            own, other, m, ratio = (a, b, ma, ra) if ra > rb else (b, a, mb, rb)
+            m = m[~self.moved[m] & (cross(other, m) <= 0.7 * models[other].radius)]
+            if not len(m):
+                return
+            hit = m[np.lexsort((m, cross(other, m) - cross(own, m)))[0]]
+            left = ratio - self.e[hit] / (models[own].baseline * 2 * half)
+            if left < 1.0 or spent + self.e[hit] > 80.0 or not self._try(np.array([hit]), own, other, models[own], cell):
+                return
+            spent += float(self.e[hit])
+
+    def _shed(self, model: _Track, k: int, cloud: int, lo: float, hi: float, cell: int) -> None:
+        m = np.flatnonzero((self.labels == k) & (self.tpc == cell))
+        t, perp = model.line.project(self.p[m])
+        inside = (t >= lo) & (t <= hi)
+        m, perp = m[inside], perp[inside]
+        expected, there = model.baseline * (hi - lo), float(self.e[m].sum())
+        target = self.p[(self.labels == cloud) & (self.tpc == cell)]
+        if model.baseline <= 0 or there <= 1.5 * expected or there - expected < 3 or not len(target):
+            return
+        budget = min(80.0, 1.5 * float(self.e[self.labels == cloud].sum()), there - expected)
+        for n in np.lexsort((m, -perp)):
+            hit = m[n]
+            if self.moved[hit] or perp[n] <= model.core or self.e[hit] > budget or np.linalg.norm(target - self.p[hit], axis=1).min() > 2.8:
+                continue
+            if self._try(np.array([hit]), k, cloud, model, cell):
+                budget -= float(self.e[hit])
 
     def run(self) -> None:
         """The chain of stages that the parameters switch on; labels of each stage are kept."""

@@ -31,6 +31,17 @@ FAMILY = {
 SAMPLE = 300
 
 
+def load_model(path: str) -> dict:
+    """A model file (features, mean, scale, coef, intercept); features are bound by position."""
+    import json
+
+    with open(path) as f:
+        m = json.load(f)
+    if not len(m["mean"]) == len(m["scale"]) == len(m["coef"]):
+        raise ValueError("mean, scale and coef differ in length")
+    return {k: m[k] for k in ("mean", "scale", "coef", "intercept")}
+
+
 def summaries(hits: DataFrame, keys: list[str], tracks: DataFrame) -> DataFrame:
     """Moments, modal cell, number of cells and the track flag of each cluster."""
     on = [*keys, "label"]

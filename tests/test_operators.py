@@ -152,6 +152,32 @@ def test_refine_cuts_lumps_and_keeps_noise():
     assert e.labels[0] == 0 and len(set(e.labels[350:600].tolist()) - {0}) >= 1 and e.labels[600] == -1
 
 
+def test_intersections_even_out_a_crossing():
+    rng = np.random.default_rng(8)
+    a, b = line((0, 0, 0), (60, 0, 0), 240, 0.3, rng), line((30, -30, 0), (30, 30, 0), 240, 0.3, rng)
+    p = np.concatenate((a, b))
+    e = Event(p, np.ones(len(p)), np.zeros(len(p), int), ChainConfig.of(intersect=True), 0)
+    truth = np.repeat([0, 1], 240)
+    e.labels, e.split = truth.copy(), 2
+    stolen = np.flatnonzero((truth == 1) & (np.abs(p[:, 1]) < 3))
+    e.labels[stolen] = 0  # the crossing's hits all went to one track
+    wrong = (e.labels != truth).sum()
+    e.intersections()
+    assert (e.labels != truth).sum() < wrong / 2 and set(e.labels) == {0, 1}
+
+
+def test_intersections_shed_to_a_cloud():
+    rng = np.random.default_rng(9)
+    a, cloud = line((0, 0, 0), (80, 0, 0), 400, 0.3, rng), rng.normal((40, 2.2, 0), 0.8, (500, 3))
+    p = np.concatenate((a, cloud))
+    e = Event(p, np.ones(len(p)), np.zeros(len(p), int), ChainConfig.of(intersect=True), 0)
+    e.labels, e.split = np.repeat([0, 1], (400, 500)), 1
+    near = 400 + np.flatnonzero(cloud[:, 1] < 1.4)
+    e.labels[near] = 0
+    e.intersections()
+    assert (e.labels[near] == 1).sum() > 0 and (e.labels[:400] == 0).mean() > 0.97
+
+
 @pytest.mark.parametrize("profile", ["adopted", "production"])
 def test_chain_does_not_depend_on_partitions(spark, profile):
     import pandas as pd
