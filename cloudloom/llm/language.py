@@ -17,8 +17,6 @@ repeated rows are rows of their own; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,37 +42,63 @@ _STARTS = [a for a, _ in RANGES]
 SCRIPTS = sorted({s for _, s in RANGES})
 
 
-def script(word: str) -> str:
-    """Script of a word's last letter."""
-    return RANGES[bisect_right(_STARTS, ord(word[-1])) - 1][1]
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
-def cells(word: str) -> list[int]:
-    """Hashed n-grams of one to four letters with word ends, and the whole word."""
-    w = f"<{word}>"
-    grams = [w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % CELLS for g in [*grams, "=" + word]]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Cells of 64-bit hashes."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) % CELLS
+
+
+def cells(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word index, cell) of every n-gram of two to four letters with word ends and of whole words; last letters.
+
+    All words are hashed together, as one array of code points.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    code = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    ends = np.cumsum(lengths)
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = ends[word] - np.arange(len(code))
+    at, found = [], []
+    for n in (2, 3, 4):
+        h = np.zeros(max(0, len(code) - n + 1), np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + code[k : len(code) - n + 1 + k]
+        ok = left[: len(h)] >= n
+        at.append(word[: len(h)][ok])
+        found.append(_mixed(h[ok] * np.uint64(8) + np.uint64(n)))
+    place = np.arange(len(code)) - (ends - lengths)[word]
+    whole = np.add.reduceat(code * _POWERS[place % len(_POWERS)], ends - lengths)
+    at.append(np.arange(len(words)))
+    found.append(_mixed(whole * np.uint64(8)))
+    return np.concatenate(at), np.concatenate(found), code[ends - 2].astype(np.int64)
+
+
+def scripts(last: np.ndarray) -> np.ndarray:
+    """Script number of words by their last letters."""
+    return np.array([SCRIPTS.index(s) for _, s in RANGES])[np.searchsorted(_STARTS, last, side="right") - 1]
 
 
 class Model:
     """Log scores of cells by language, and the languages of each script."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
+    def __init__(self, langs: list[str], counts: np.ndarray, in_script: np.ndarray):
         self.langs = langs
         p = (counts + 0.5) / (counts.sum(0, keepdims=True) + 0.5 * CELLS)
         logs = np.log(p)
         self.logs = (logs - logs.mean(1, keepdims=True)).astype(np.float32)
-        used = scripts / np.maximum(scripts.sum(0, keepdims=True), 1)
-        self.allowed = {s: used[k] >= 0.001 for k, s in enumerate(SCRIPTS)}
+        self.allowed = in_script / np.maximum(in_script.sum(0, keepdims=True), 1) >= 0.001
 
-    def score(self, word: str) -> np.ndarray | None:
-        """Log odds of a word by language, at most 8 below the best; None: counts for none."""
-        ok = self.allowed[script(word)]
-        if not ok.any() or not any(map(str.isalpha, word)):
-            return None
-        s = self.logs[cells(word)].sum(0)
-        s = np.where(ok, s, -np.inf)
-        return np.maximum(s - s.max(), -8.0).astype(np.float32)
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of words by language, at most 8 below the best, and which words count for any."""
+        at, cell, last = cells(words)
+        s = np.stack([np.bincount(at, self.logs[cell, k], len(words)) for k in range(len(self.langs))], 1)
+        ok = self.allowed[scripts(last)]
+        letters = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
+        s = np.where(ok, s, -1e9)
+        return np.maximum(s - s.max(1, keepdims=True), -8.0).astype(np.float32), ok.any(1) & letters
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -115,41 +139,44 @@ class Reader:
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.table: list[np.ndarray] = []
-
-    def _ids(self, words: list[str]) -> list[int]:
-        ids = self.ids
-        for w in set(words).difference(ids):
-            s = self.model.score(w)
-            ids[w] = -1 if s is None else len(self.table)
-            if s is not None:
-                self.table.append(s)
-        return [ids[w] for w in words]
-
-    def label(self, texts: list[str | None]) -> list[list[tuple[str, str]]]:
-        """(word, language) of every counted word of each text."""
-        if len(self.ids) > CACHE:
+        self.n = 0
+        self.table = np.zeros((1024, len(self.model.langs)), np.float32)
+        self.letters = np.zeros(1024, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Score words that were not met yet."""
+        scores, counts = self.model.score(words)
+        while self.n + len(words) > len(self.table):
+            self.table, self.letters = np.concatenate((self.table, self.table)), np.concatenate((self.letters, self.letters))
+        new = np.full(len(words), -1)
+        new[counts] = self.n + np.arange(counts.sum())
+        self.ids.update(zip(words, new.tolist(), strict=True))
+        self.table[self.n : self.n + counts.sum()] = scores[counts]
+        self.letters[self.n : self.n + counts.sum()] = [len(w) for w, c in zip(words, counts, strict=True) if c]
+        self.n += int(counts.sum())
+
+    def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        """(words, labels, letters) of each text: labels are language numbers, -1 for words that count for none."""
+        if self.n > CACHE or len(self.ids) > 2 * CACHE:
             self._clear()
-        all_words = [WORD.findall((t or "").lower()) for t in texts]
+        words = [WORD.findall(t.lower()) for t in texts]
         if not self.model.langs:
-            return [[] for _ in texts]
-        rows, lengths, kept = [], [], []
-        for words in all_words:
-            ids = np.array(self._ids(words), np.int64)
-            good = ids >= 0
-            kept.append([w for w, g in zip(words, good, strict=True) if g] if not good.all() else words)
-            ids = ids[good]
-            rows.append(ids)
-            lengths += [min(RESTART, len(ids) - k) for k in range(0, len(ids), RESTART)]
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        if not len(flat):
-            return [[] for _ in texts]
-        labels = viterbi(np.stack(self.table)[flat], np.array(lengths), self.penalty)
-        out, at = [], 0
-        for words in kept:
-            out.append([(w, self.model.langs[k]) for w, k in zip(words, labels[at : at + len(words)].tolist(), strict=True)])
-            at += len(words)
-        return out
+            return [(w, np.full(len(w), -1), np.zeros(len(w), np.int64)) for w in words]
+        new = list(set().union(*words).difference(self.ids))
+        for k in range(0, len(new), 50_000):
+            self._learn(new[k : k + 50_000])
+        ids = [np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w)) for w in words]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        good = flat >= 0
+        labels = np.full(len(flat), -1)
+        counted = [int(g) for g in np.add.reduceat(np.concatenate((good, [False])), np.cumsum([0, *map(len, ids)])[:-1])] if len(flat) else []
+        counted = [c if len(i) else 0 for c, i in zip(counted, ids, strict=True)] if counted else []
+        lengths = [min(RESTART, c - k) for c in counted for k in range(0, c, RESTART)]
+        if lengths:
+            labels[good] = viterbi(self.table[flat[good]], np.array(lengths), self.penalty)
+        letters = np.where(good, self.letters[flat], 0)
+        cuts = np.cumsum([len(i) for i in ids])[:-1]
+        return list(zip(words, np.split(labels, cuts), np.split(letters, cuts), strict=True))
 
 
 def learn(docs: DataFrame, sample_rows: int = 6000) -> Model:
@@ -169,11 +196,11 @@ def learn(docs: DataFrame, sample_rows: int = 6000) -> Model:
             for t, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if lang not in place:
                     continue
-                for w in WORD.findall(t.as_py().lower()):
-                    k = place[lang]
-                    for c in cells(w):
-                        total[c * n + k] += 1
-                    total[width + SCRIPTS.index(script(w)) * n + k] += 1
+                words = WORD.findall(t.as_py().lower())
+                if words:
+                    at, cell, last = cells(words)
+                    np.add.at(total, cell * n + place[lang], 1)
+                    np.add.at(total, width + scripts(last) * n + place[lang], 1)
         return total
 
     total = sum_vectors(sample, tally, width + len(SCRIPTS) * n) if n else np.zeros(0)
@@ -189,14 +216,14 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, batch_words:
         for batch in batches:
             langs, scores, shares = [], [], []
             for texts in slices(batch.column(1), batch_words * 6):
-                for words in reader.label(texts):
-                    letters: dict[str, int] = {}
-                    for w, lang in words:
-                        letters[lang] = letters.get(lang, 0) + len(w)
-                    best = max(sorted(letters), key=letters.get) if letters else "und"
-                    langs.append(best)
-                    scores.append(letters.get(best, 0) / max(1, sum(letters.values())))
-                    shares.append(list(letters.items()))
+                for _, labels, letters in reader.label(texts):
+                    counted = labels >= 0
+                    share = np.bincount(labels[counted], letters[counted], len(reader.model.langs)).astype(int).tolist()
+                    named = [(lang, v) for lang, v in zip(reader.model.langs, share, strict=True) if v]
+                    best = max(named, key=lambda x: x[1], default=("und", 0))  # of equals the first in order
+                    langs.append(best[0])
+                    scores.append(best[1] / max(1, sum(share)))
+                    shares.append(named)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.int64()))],
                 names=["doc_id", "lang_pred", "score", "letters"],
