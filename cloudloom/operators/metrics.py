@@ -116,9 +116,9 @@ def mean_over_events(scores: DataFrame, columns: list[str]) -> DataFrame:
     return scores.agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n_events"))
 
 
-def swept(hits: DataFrame, variants: DataFrame, key: str) -> DataFrame:
-    """``hits`` once for each row of a parameter table (a handful of rows, broadcast)."""
-    return hits.crossJoin(F.broadcast(variants.limit(1000))).withColumn("_v", F.col(key)).drop("_v")
+def swept(hits: DataFrame, name: str, values: list) -> DataFrame:
+    """``hits`` once for each value of a parameter, which becomes the column ``name``."""
+    return hits.withColumn(name, F.explode(F.array(*map(F.lit, values))))
 
 
 def loss_budget(stages: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -224,8 +224,7 @@ def event_limit(spark: SparkSession, sf: str) -> DataFrame:
 m AS (SELECT variant, ev, label, g, sum(e) AS e FROM s WHERE label >= 0 AND g >= 0 GROUP BY ALL), l AS (SELECT variant, ev, label, max(e) AS top, sum(e) AS e FROM m GROUP BY ALL)
 SELECT variant, ev, round(sum(top) / sum(e), 6) AS purity, count(*) AS n_clusters FROM l GROUP BY variant, ev""")
 def eps_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    variants = spark.range(1).select(F.explode(F.array(*map(F.lit, (10, 50, 100)))).alias("variant"))
-    hits = metrics.swept(event_hits(spark, sf), variants, "variant")
+    hits = metrics.swept(event_hits(spark, sf), "variant", [10, 50, 100])
     hits = hits.withColumn("label", F.when(F.col("label") >= F.col("variant"), -1).otherwise(F.col("label")))
     return rounded(metrics.purity_completeness(hits, ["variant", "ev"]).select("variant", "ev", "purity", "n_clusters"))
 

@@ -221,6 +221,21 @@ def test_relational_merges(spark):
     assert {(r.label, r["count"]) for r in merged} == {(0, 160), (2, 80)}
 
 
+def test_local_directions_and_nearest(spark):
+    from cloudloom.functions.moments import local_directions
+
+    bent = np.concatenate((np.stack((np.arange(20.0), np.zeros(20), np.zeros(20)), 1), np.stack((19 + np.arange(1, 15) * 0.1, np.arange(1.0, 15), np.zeros(14)), 1)))
+    hits = points(spark, bent, e=[1] * len(bent))
+    tips = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0), (0, 1, *map(float, bent[-1]), 0.0, 1.0, 0.0)], "ev int, end int, tx double, ty double, tz double, ox double, oy double, oz double")
+    out = {r.end: (r.ux, r.uy, r.uz) for r in local_directions(hits, tips, ["ev"], 6.0).collect()}
+    assert out[0] == pytest.approx((-1, 0, 0), abs=1e-6) and out[1][1] > 0.99
+    few = {r.end: (r.ux, r.uy) for r in local_directions(hits, tips, ["ev"], 0.5).collect()}
+    assert few[0] == pytest.approx((-1, 0), abs=1e-6)
+    a = points(spark, np.array([[0.0, 0, 0], [9, 9, 9]])).withColumnRenamed("hit_id", "i")
+    b = points(spark, np.array([[1.0, 0, 0], [-1, 0, 0], [0, 3, 0]])).withColumnRenamed("hit_id", "j")
+    assert [(r.i, r.j) for r in spatial.nearest(a, b, 2.0, ["ev"], "i", ["j"]).collect()] == [(0, 0)]
+
+
 def test_sources(spark, tmp_path):
     path = str(tmp_path)
     rows = [("f1", k, 0, 1.0, 2.0, 3.0, -1.0, 5, None, 7, 0.0, 0.0, None) for k in range(4)]
