@@ -253,15 +253,57 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, width: int = 3, seed:
     return fps.join(roots.join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = 3, width: int = 3, seed: int = 42) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(_row, shingles): distinct hashes of the word shingles of each row (_row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            sets = []
+            for t in batch.column(1):
+                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                shingles = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+                sets.append(np.array([xxh64_intdigest(s) for s in shingles], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_row", "shingles"])
+
+    return docs.select("_row", "text").mapInArrow(run, "_row long, shingles array<long>")
+
+
+def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of rows whose shingle sets have at least that Jaccard similarity (none and none: 1)."""
+    rows = checkpoint(edges.select(F.explode(F.array("a", "b")).alias("_row")).distinct())
+    few = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    sets = checkpoint(shingle_sets(docs.join(few, "_row", "left_semi"), width))
+    side = lambda s: sets.select(F.col("_row").alias(s), F.col("shingles").alias(f"_{s}"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    union = F.size("_a") + F.size("_b") - both
+    near = edges.join(side("a"), "a").join(side("b"), "b").where((union == 0) | (both >= union * similarity))
+    return near.select("a", "b")
+
+
+def keep_one(docs: DataFrame, max_bits: int = 7, width: int = 3, seed: int = 42, verify_width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each class of near-duplicates, the one of least doc_id, with all its columns.
 
+    Fingerprints within ``max_bits`` are candidates; a pair links only if its word shingles of
+    ``verify_width`` are similar enough, so texts that merely look alike in bits stay.  Equal texts
+    are one node, texts of one fingerprint are held against its first, and so are fingerprints.
     ``docs`` must give the same rows in the same partitions when read again (a table does).
     """
-    fps = checkpoint(fingerprints(docs, width, seed))
+    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    digest = rows.select("_row", F.xxhash64("_text").alias("t1"), F.xxhash64("_text", F.lit(1)).alias("t2"))
+    fps = checkpoint(fingerprints(docs, width, seed).join(digest, "_row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first")
-    stay = fps.groupBy("fp").agg(first).join(_classes(fps, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    nodes = checkpoint(fps.groupBy("fp", "t1", "t2").agg(first).select("fp", "t1", "t2", "first", F.col("first._row").alias("node")))
+    hubs = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
+    inside = nodes.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = checkpoint(links(checkpoint(hubs.select("fp")), max_bits).distinct())
+    across = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
+    edges = checkpoint(inside.unionByName(across.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    sure = verified(edges, rows.select("_row", F.col("_text").alias("text")), verify_width, similarity)
+    comps = connected_components(sure)
+    roots = nodes.join(comps, "node", "left").select("first", F.coalesce("component", "node").alias("root"))
+    stay = roots.groupBy("root").agg(F.min("first").alias("first"))
     return rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 

@@ -275,6 +275,24 @@ def test_thresholds_keep_the_pigeonhole():
         assert len(seen) == len(set(seen))
 
 
+def test_keep_one_verifies_similarity(spark, frame):
+    rng = random.Random(2)
+    base = texts(30, 21, 60, 90)
+    docs = [(i, t) for i, t in enumerate(base)]
+    for k in range(12):  # one or two words changed: over 0.8 in five-word shingles
+        words = base[k].split()
+        for at in rng.sample(range(10, 50), 1 + k % 2):
+            words[at] = "changed"
+        docs.append((100 + k, " ".join(words)))
+    docs += [(200, base[0]), (201, base[0].upper())]
+    kept = {r.doc_id for r in simhash.keep_one(frame(docs)).collect()}
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    same = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert set(range(30)) <= kept and not kept & {200, 201}
+    gone = {100 + k for k in range(12)} - kept
+    assert all(same(i, i - 100) for i in gone) and len(gone) >= 0.7 * sum(same(100 + k, k) for k in range(12))
+
+
 # --- licenses --------------------------------------------------------------
 
 
