@@ -16,13 +16,14 @@ are null; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import checkpoint, read_table, sum_vectors
@@ -34,6 +35,8 @@ CROWD = 64
 BLOCK = 20_000
 #: Rows of a table up to which it may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Texts that tell which shingles are common.
+SAMPLE = 5000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -253,18 +256,21 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, width: int = 3, seed:
     return fps.join(roots.join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of the word shingles of ``text``."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    found = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    return np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(_row, shingles): distinct hashes of the word shingles of each row (_row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         for batch in batches:
-            sets = []
-            for t in batch.column(1):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                shingles = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
-                sets.append(np.array([xxh64_intdigest(s) for s in shingles], np.uint64).view(np.int64))
+            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_row", "shingles"])
 
     return docs.select("_row", "text").mapInArrow(run, "_row long, shingles array<long>")
@@ -282,26 +288,98 @@ def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -
     return near.select("a", "b")
 
 
-def keep_one(docs: DataFrame, max_bits: int = 7, width: int = 3, seed: int = 42, verify_width: int = 5, similarity: float = 0.8) -> DataFrame:
+def common_shingles(docs: DataFrame, width: int) -> dict[int, int]:
+    """Shingle hashes that several of about ``SAMPLE`` texts share, and how many do.
+
+    They only order the shingles of ``prefixes``: what a sample misses costs time, never a pair.
+    """
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).distinct()
+    each = shingle_sets(texts.withColumn("_row", F.lit(0).cast("long")), width).select(F.explode("shingles").alias("s"))
+    top = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5).orderBy(F.desc("n"), "s").limit(100_000)
+    return {r[0]: r[1] for r in top.collect()}
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(_row, doc_id, d1, d2, size, prefix) of each row: digest and size of its shingle set, and its first shingles.
+
+    All sets are in one order, common shingles last.  Of two sets whose Jaccard is at least
+    ``similarity`` the first ``size - ceil(similarity * size) + 1`` shingles always meet.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = common.value
+        names = np.array(sorted(many), np.int64)
+        ranks = np.array([many[k] for k in names.tolist()], np.int64)
+        for batch in batches:
+            d1, d2, sizes, firsts = [], [], [], []
+            for t in batch.column(2):
+                s = shingles(t.as_py(), width)
+                s.sort()
+                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                d1.append(int.from_bytes(d[:8], "little", signed=True))
+                d2.append(int.from_bytes(d[8:], "little", signed=True))
+                sizes.append(len(s))
+                if len(names) and len(s):
+                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+                    s = s[np.argsort(np.where(names[at] == s, ranks[at], 0), kind="stable")]
+                firsts.append(s[: len(s) - ceil(similarity * len(s) - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["_row", "doc_id", "d1", "d2", "size", "prefix"],
+            )
+
+    rows = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "_row long, doc_id long, d1 long, d2 long, size int, prefix array<long>")
+
+
+def similar_links(sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of ``sets`` (node, size, prefix) that connect all with that Jaccard similarity.
+
+    Nodes that share a shingle of their prefixes meet.  In each of its keys the first node is held
+    against all others, then more and more of the next, each against the nodes of other classes,
+    until the nodes left of every key are one class: a pair is spared only if already connected.
+    """
+    index = sets.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
+    by_key = Window.partitionBy("key")
+    ranked = index.withColumns({"n": F.count(F.lit(1)).over(by_key), "rank": F.row_number().over(by_key.orderBy("node"))})
+    left = checkpoint(ranked.where("n > 1").select("key", "node", "size", "pos", "rank", F.col("node").alias("root")))
+    edges, done, hubs = None, 0, 1
+    while not left.isEmpty():
+        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "rank", "root")]
+        met = left.where(F.col("rank") <= hubs).select("key", *side("a")).join(left.select("key", *side("b")), "key")
+        least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+        most_shared = F.least("pos_a", "pos_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+        alike = (least >= similarity * most - 1e-6) & (most_shared * (1 + similarity) >= similarity * (least + most) - 1e-6)
+        tried = met.where((F.col("rank_b") > F.col("rank_a")) & (F.col("root_a") != F.col("root_b")) & alike)
+        found = verified(checkpoint(tried.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()), docs, width, similarity)
+        edges = checkpoint(found if edges is None else edges.unionByName(found))
+        done, hubs = hubs, hubs * 32
+        left = left.where(F.col("rank") > done)
+        many = left.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+        left = left.join(many, "key", "left_semi").drop("root").join(connected_components(edges).withColumnRenamed("component", "root"), "node", "left")
+        left = checkpoint(left.select("key", "node", "size", "pos", "rank", F.coalesce("root", "node").alias("root")))
+        several = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        left = checkpoint(left.join(several, "key", "left_semi"))
+    return sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if edges is None else edges
+
+
+def keep_one(docs: DataFrame, verify_width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each class of near-duplicates, the one of least doc_id, with all its columns.
 
-    Fingerprints within ``max_bits`` are candidates; a pair links only if its word shingles of
-    ``verify_width`` are similar enough, so texts that merely look alike in bits stay.  Equal texts
-    are one node, texts of one fingerprint are held against its first, and so are fingerprints.
+    Two texts link if their sets of word shingles of ``verify_width`` have at least that Jaccard
+    similarity; every such pair is found (no fingerprint decides what is looked at).  Texts of
+    equal sets are one node.
     ``docs`` must give the same rows in the same partitions when read again (a table does).
     """
     rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    digest = rows.select("_row", F.xxhash64("_text").alias("t1"), F.xxhash64("_text", F.lit(1)).alias("t2"))
-    fps = checkpoint(fingerprints(docs, width, seed).join(digest, "_row"))
+    texts = rows.select("_row", F.col("_text").alias("text"))
+    known = checkpoint(prefixes(rows.select("_row", "doc_id", F.col("_text").alias("text")), verify_width, similarity))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first")
-    nodes = checkpoint(fps.groupBy("fp", "t1", "t2").agg(first).select("fp", "t1", "t2", "first", F.col("first._row").alias("node")))
-    hubs = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
-    inside = nodes.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    near = checkpoint(links(checkpoint(hubs.select("fp")), max_bits).distinct())
-    across = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
-    edges = checkpoint(inside.unionByName(across.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    sure = verified(edges, rows.select("_row", F.col("_text").alias("text")), verify_width, similarity)
-    comps = connected_components(sure)
+    nodes = checkpoint(known.groupBy("d1", "d2").agg(first).select("first", F.col("first._row").alias("node")))
+    sets = known.withColumnRenamed("_row", "node").join(nodes.select("node"), "node", "left_semi").select("node", "size", "prefix")
+    comps = connected_components(similar_links(sets, texts, verify_width, similarity))
     roots = nodes.join(comps, "node", "left").select("first", F.coalesce("component", "node").alias("root"))
     stay = roots.groupBy("root").agg(F.min("first").alias("first"))
     return rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)

@@ -293,6 +293,22 @@ def test_keep_one_verifies_similarity(spark, frame):
     assert all(same(i, i - 100) for i in gone) and len(gone) >= 0.7 * sum(same(100 + k, k) for k in range(12))
 
 
+def test_keep_one_finds_every_pair_of_the_threshold(spark, frame):
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    docs = []
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([55, 80, 110, 250]))]
+        other = list(words)
+        for at in rng.sample(range(5, len(words) - 5), max(1, len(words) // 60)):
+            other[at] = "changed"
+        docs += [(k, " ".join(words)), (1000 + k, " ".join(other))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    whole = [k for k in range(150) if len(sets[k] & sets[1000 + k]) >= 0.8 * len(sets[k] | sets[1000 + k])]
+    kept = {r.doc_id for r in simhash.keep_one(frame(docs)).collect()}
+    assert len(whole) > 100 and kept == {i for i, _ in docs} - {1000 + k for k in whole}
+
+
 # --- licenses --------------------------------------------------------------
 
 
