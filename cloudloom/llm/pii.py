@@ -1,15 +1,15 @@
 """Personal data: exact patterns, and terms that give protected values away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Then comes
-information-theoretic sanitisation: a found value is a protected entity, the words around it are
-terms, and over the whole corpus the pointwise mutual information of a term and an entity says
-how much of the entity's information (-log2 of its document frequency) the term discloses.  A
-term that discloses at least ``threshold`` of it, seen in at least ``support`` different
-contexts, is a span of its own; in texts it is removed where it discloses all, else generalised.
+information-theoretic sanitisation: a found value is a protected entity, all words of the
+documents that hold it are terms, and over the whole corpus the pointwise mutual information of a
+term and an entity says how much of the entity's information (-log2 of its document frequency)
+the term discloses.  A term that discloses at least ``threshold`` of it, seen in at least
+``support`` different contexts, is a span of its own wherever it occurs, in any document; in texts
+it is removed where it discloses all, else generalised.
 
-Document frequencies of terms are counted in hashed cells of fixed number (a collision only
-makes a term look more frequent, so less telling); pairs exist only around found values and are
-aggregated map-side, and a copied context counts once.
+Document frequencies are exact, of every term; counts are aggregated map-side; terms too frequent
+to tell any value never meet one; a copied context counts once.
 
 Defined results: a null or empty text has no spans; repeated rows are rows of their own; an
 empty table gives no rows; other columns are ignored (or kept, by ``sanitise``).
@@ -19,15 +19,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import checkpoint, read_table, sum_vectors
+from cloudloom.llm.common import checkpoint, read_table
 
 #: Kinds in the order of ties, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -37,13 +37,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-#: Words taken on either side of a found value, and characters searched for them.
-WORDS, CHARS = 6, 200
-#: Cells of the term counts.
-CELLS = 1 << 18
+#: Words on either side of a term that make its context.
+WORDS = 6
+#: Terms that a task counts before it passes them on.
+MOST_TERMS = 200_000
 BROADCAST_ROWS = 200_000
 SPAN = "struct<kind:string,start:int,end:int>"
-CONTEXT = "struct<entity:string,term:string,start:int,end:int,context:long>"
+TOLD = "array<struct<term:string,share:double>>"
 
 
 def luhn(digits: str) -> bool:
@@ -85,102 +85,169 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, context) of the words around each span that are in no span."""
-    out = []
-    starts = np.array([s for s, _, _ in spans])
-    reach = np.maximum.accumulate(np.array([e for _, _, e in spans])) if spans else starts
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """Distinct values of the spans, as kind:value."""
+    out = set()
     for s, k, e in spans:
-        lo, hi = max(0, s - CHARS), min(len(text), e + CHARS)
-        before = [(m.start() + lo, m.end() + lo) for m in TERM.finditer(text[lo:s]) if lo == 0 or m.start()][-WORDS:]
-        after = [(m.start() + e, m.end() + e) for m in TERM.finditer(text[e:hi]) if hi == len(text) or m.end() + e < hi][:WORDS]
-        near = []
-        for a, b in before + after:
-            j = int(np.searchsorted(starts, b)) - 1  # the last span that starts before the word ends
-            if j < 0 or reach[j] <= a:
-                near.append((text[a:b].lower(), a, b))
         value = text[s:e].lower() if k == 0 else re.sub(r"[^0-9.]" if k == 1 else "[^0-9]", "", text[s:e])
-        entity = f"{KINDS[k]}:{value}"
-        mark = int.from_bytes(hashlib.blake2b(" ".join(x[0] for x in near).encode(), digest_size=8).digest(), "little", signed=True)
-        out += [(entity, t, a, b, mark) for t, a, b in near]
-    return out
+        out.add(f"{KINDS[k]}:{value}")
+    return sorted(out)
+
+
+def outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all words of ``text`` that are in no span."""
+    words = [(m[0].lower(), m.start(), m.end()) for m in TERM.finditer(text)]
+    if not spans:
+        return words
+    starts = np.array([s for s, _, _ in spans])
+    reach = np.maximum.accumulate(np.array([e for _, _, e in spans]))
+    last = (np.searchsorted(starts, np.array([e for _, _, e in words], np.int64)) - 1).tolist()  # the last span that starts before the word ends
+    return [w for w, j in zip(words, last, strict=True) if j < 0 or reach[j] <= w[1]]
+
 
+def contexts(words: list[tuple[str, int, int]], common: frozenset[str], most: int) -> dict[str, list[int]]:
+    """The ``most`` least different contexts, the words on either side, of each term but the common ones."""
+    names = [w[0] for w in words]
+    out: dict[str, set[int]] = {}
+    for k, name in enumerate(names):
+        if name not in common:
+            near = " ".join(names[max(0, k - WORDS) : k + WORDS + 1])
+            out.setdefault(name, set()).add(int.from_bytes(hashlib.blake2b(near.encode(), digest_size=8).digest(), "little", signed=True))
+    return {name: sorted(c)[:most] for name, c in out.items()}
 
-def find_base(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, base spans and the contexts of found values for each row of ``docs``."""
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    ctx = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())])
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("text"))
+
+
+def find_values(docs: DataFrame) -> DataFrame:
+    """(_row, text, entities) of the rows of ``docs`` that hold base values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, around = [], []
-            for t in batch.column(2):
+            at, held = [], []
+            for k, t in enumerate(batch.column(1)):
                 text = t.as_py() or ""
-                found = base_spans(text)
-                spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found])
-                around.append([dict(zip(("entity", "term", "start", "end", "context"), c, strict=True)) for c in contexts(text, found)] if found else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(around, pa.list_(ctx))], names=["_row", "doc_id", "base", "around"])
+                spans = base_spans(text)
+                if spans:
+                    at.append(k)
+                    held.append(entities(text, spans))
+            chosen = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(held, pa.list_(pa.string()))], names=["_row", "text", "entities"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"_row long, doc_id long, base array<{SPAN}>, around array<{CONTEXT}>")
+    return _numbered(docs).mapInArrow(run, "_row long, text string, entities array<string>")
 
 
-def term_counts(docs: DataFrame) -> np.ndarray:
-    """Number of documents (last place: of all) with a term of each hashed cell, over all of ``docs``."""
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, df): number of documents with each term, over all of ``docs``; added up in each partition first."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(CELLS + 1, np.int64)
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "df"])
+
+        total: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column(0):
-                words = set(TERM.findall((t.as_py() or "").lower()))
-                cells = {zlib.crc32(w.encode()) % CELLS for w in words}
-                total[np.fromiter(cells, np.int64, len(cells))] += 1
-                total[-1] += 1
-        return total
+                total.update({w.lower() for w in set(TERM.findall(t.as_py() or ""))})
+                if len(total) > MOST_TERMS:
+                    yield out()
+                    total.clear()
+        yield out()
 
-    return sum_vectors(docs.select(F.col("text").cast("string").alias("text")), tally, CELLS + 1, "i8")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tally, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
-    """(entity, term, share): terms that disclose at least ``threshold`` of an entity."""
-    each = found.select("_row", F.explode("around").alias("c")).select("_row", "c.entity", "c.term", "c.context")
-    seen = each.groupBy("entity", "term", "context").agg(F.count_distinct("_row").alias("docs"))
-    pairs = checkpoint(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("together")).where(F.col("contexts") >= support))
-    if pairs.isEmpty():  # no term has the support, so no frequency is needed
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    counts = docs.sparkSession.sparkContext.broadcast(term_counts(docs))
+def disclosures(docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
+    """(entity, term, share): terms that disclose at least ``threshold`` of an entity.
 
-    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A term and an entity are together in a document wherever in it they stand.  A term that is too
+    frequent for all entities (even if it were in all their documents) is left out beforehand.
+    """
+    found = checkpoint(find_values(docs))
+    total = docs.count()
+    values = checkpoint(found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_df")))
+    most = values.agg(F.max("entity_df")).first()[0]
+    if most is None:
+        return values.select("entity", F.lit("").alias("term"), F.lit(0.0).alias("share"))
+    bound = lambda n: F.lit(total * (1 + 1e-9)) * F.pow(n / F.lit(total + 1.0), F.lit(threshold))
+    counts = checkpoint(term_counts(docs))
+    frequent = counts.where(F.col("df") > bound(F.lit(most))).orderBy(F.desc("df")).limit(BROADCAST_ROWS)
+    common = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in frequent.select("term").collect()))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            df = [int(counts.value[zlib.crc32(t.encode()) % CELLS]) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(df, pa.int64())], names=[*batch.schema.names, "df"])
+            for k in range(0, batch.num_rows, 500):
+                ids, terms, marks = [], [], []
+                for row, t in zip(batch.column(0).slice(k, 500).to_pylist(), batch.column(1).slice(k, 500), strict=True):
+                    text = t.as_py()
+                    own = contexts(outside(text, base_spans(text)), common.value, support)
+                    ids += [row] * len(own)
+                    terms += own
+                    marks += own.values()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(marks, pa.list_(pa.int64()))], names=["_row", "term", "contexts"])
+
+    terms = found.select("_row", "text").mapInArrow(around, "_row long, term string, contexts array<long>")
+    rare = counts.where(F.col("df") <= bound(F.lit(most)))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    terms = terms.join(small(rare), "term").where((F.col("df") > 1) | (F.size("contexts") >= support))
+    held = found.select("_row", F.explode("entities").alias("entity")).join(small(values), "entity")
+    both = checkpoint(terms.join(held, "_row").where(F.col("df") <= bound(F.col("entity_df"))).select("entity", "term", "df", "entity_df", "_row", "contexts"))
+    names = ["entity", "term"]
+    met = both.groupBy(*names).agg(F.count(F.lit(1)).alias("together"), F.first("df").alias("df"), F.first("entity_df").alias("entity_df"))
+    pmi = F.log2(F.col("together") * total / (F.col("df") * F.col("entity_df")))
+    share = pmi / F.log2((F.lit(total) + 1) / F.col("entity_df"))
+    telling = met.select(*names, share.alias("share")).where(F.col("share") >= threshold)
+    different = both.select(*names, F.explode("contexts").alias("c")).distinct().groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+    return telling.join(different, names, "left_semi")
+
+
+def _with_telling(docs: DataFrame, threshold: float, support: int) -> tuple[DataFrame, Callable[[pa.Scalar], dict[str, float]]]:
+    """``docs`` with a last column ``_told``, and what reads the telling terms (term: share) of a row from it.
+
+    They are broadcast up to ``BROADCAST_ROWS``; beyond, each row is joined with its own, for
+    which ``docs`` must give the same rows in the same partitions when read again (a table does).
+    """
+    told = checkpoint(disclosures(docs, threshold, support).groupBy("term").agg(F.max("share").alias("share")))
+    names = docs.columns
+    if told.count() <= BROADCAST_ROWS:
+        shared = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in told.collect()})
+        return docs.select(*names, F.array().cast(TOLD).alias("_told")), lambda own: shared.value
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = sorted({w.lower() for w in set(TERM.findall(t.as_py() or ""))})
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(own), pa.int64()), pa.array(own, pa.string())], names=["_row", "term"])
 
-    total = F.lit(int(counts.value[-1]))
-    values = found.select("_row", F.explode(F.array_distinct("around.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_df"))
-    known = pairs.select("entity", "term", "together").mapInArrow(frequency, "entity string, term string, together long, df long").join(values, "entity")
-    pmi = F.log2(F.least("together", "df", "entity_df") * total / (F.col("df") * F.col("entity_df")))
-    share = pmi / F.log2((total + 1) / F.col("entity_df"))
-    return known.select("entity", "term", share.alias("share")).where(F.col("share") >= threshold)
+    own = _numbered(docs).mapInArrow(words, "_row long, term string").join(told, "term").groupBy("_row").agg(F.collect_list(F.struct("term", "share")).alias("_told"))
+    rows = docs.withColumn("_at", F.monotonically_increasing_id()).join(own.withColumnRenamed("_row", "_at"), "_at", "left")
+    return rows.select(*[rows[c] for c in names], "_told"), lambda own: {x["term"]: x["share"] for x in own.as_py() or []}
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
     """doc_id, base spans and the method's term spans for each row of ``docs``."""
-    found = checkpoint(find_base(docs))
-    told = disclosures(docs, found, threshold, support)
-    terms = found.select("_row", F.explode("around").alias("c")).select("_row", "c.*").join(told, ["entity", "term"])
-    spans = terms.groupBy("_row").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms"))
-    return found.select("_row", "doc_id", "base").join(spans, "_row", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>")).alias("terms"))
+    rows, known = _with_telling(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), threshold, support)
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, terms = [], []
+            for t, own in zip(batch.column(1), batch.column(2), strict=True):
+                text, told = t.as_py() or "", known(own)
+                spans = base_spans(text)
+                base.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
+                terms.append([{"kind": "term", "start": s, "end": e} for name, s, e in outside(text, spans) if name in told] if told else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(terms, span)], names=["doc_id", "base", "terms"])
+
+    return rows.mapInArrow(run, f"doc_id long, base array<{SPAN}>, terms array<{SPAN}>")
 
 
-def sanitise_text(text: str, told: dict[tuple[str, str], float], remove_at: float = 0.999) -> str:
+def sanitise_text(text: str, told: dict[str, float], remove_at: float = 0.999) -> str:
     """``text`` with values and telling terms generalised to their kind, or terms removed."""
     spans = base_spans(text)
-    if not spans:
-        return text
     edits = [(s, e, f"<{KINDS[k].upper()}>") for s, k, e in spans]
-    for entity, term, s, e, _ in contexts(text, spans) if told else []:
-        if (entity, term) in told:
-            edits.append((s, e, "" if told[entity, term] >= remove_at else "<TERM>"))
+    if told:
+        edits += [(s, e, "" if told[name] >= remove_at else "<TERM>") for name, s, e in outside(text, spans) if name in told]
     out, at = [], 0
     for s, e, put in sorted(set(edits)):
         if s >= at:
@@ -190,30 +257,15 @@ def sanitise_text(text: str, told: dict[tuple[str, str], float], remove_at: floa
 
 
 def sanitise(docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced; no row is dropped.
-
-    Telling pairs are broadcast up to ``BROADCAST_ROWS``; beyond, each row is joined with its own,
-    for which ``docs`` must give the same rows in the same partitions when read again (a table does).
-    """
-    found = checkpoint(find_base(docs))
-    told = checkpoint(disclosures(docs, found, threshold, support))
+    """``docs`` with personal data in ``text`` replaced; no row is dropped."""
     names = docs.columns
-    if told.count() <= BROADCAST_ROWS:
-        pairs = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in told.collect()})
-        rows = docs.select(*names, F.array().cast("array<struct<entity:string,term:string,share:double>>").alias("_told"))
-    else:
-        pairs = None
-        own = found.select("_row", F.explode("around").alias("c")).select("_row", "c.entity", "c.term").join(told, ["entity", "term"])
-        own = own.groupBy("_row").agg(F.collect_set(F.struct("entity", "term", "share")).alias("_told"))
-        rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(own, "_row", "left").select(*names, "_told")
+    rows, known = _with_telling(docs, threshold, support)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
-            texts = []
-            for t, own in zip(batch.column(k), batch.column(batch.num_columns - 1), strict=True):
-                known = pairs.value if pairs else {(x["entity"], x["term"]): x["share"] for x in own.as_py() or []}
-                texts.append(None if t.as_py() is None else sanitise_text(t.as_py(), known))
+            own = batch.column(batch.num_columns - 1)
+            texts = [None if t.as_py() is None else sanitise_text(t.as_py(), known(o)) for t, o in zip(batch.column(k), own, strict=True)]
             cols = [pa.array(texts, pa.string()) if i == k else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -354,6 +354,29 @@ def test_telling_terms(spark, frame):
     assert "zorblax" not in safe[0] and "jo@ex.org" not in safe[0] and "<EMAIL>" in safe[0] and safe[100] == docs[8][1]
 
 
+def test_terms_far_from_the_value_and_in_other_documents(spark, frame):
+    rng = random.Random(9)
+    some = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    docs = [(i, f"{some(8)} zorblax {some(60)} jo@ex.org {some(5)}") for i in range(20)]
+    docs += [(50, f"{some(10)} Zorblax {some(10)}")] + [(100 + i, some(30)) for i in range(200)]
+    rows = {r.doc_id: r for r in pii.find_personal_data(frame(docs)).collect()}
+    for i, t in docs[:21]:
+        assert [t[s.start : s.end].lower() for s in rows[i].terms] == ["zorblax"]
+    assert not any(rows[i].terms for i, _ in docs[21:])
+    safe = {r.doc_id: r.text for r in pii.sanitise(frame(docs)).collect()}
+    assert not any("zorblax" in t.lower() for t in safe.values()) and all(safe[i] == t for i, t in docs[21:])
+
+
+def test_document_frequencies_are_exact(spark, frame):
+    docs = [(i, f"word{''.join(chr(97 + int(c)) for c in str(k))} Shared") for i in range(3) for k in range(100)]
+    docs += [(i, f"{''.join(chr(97 + (k // 26**p) % 26) for p in range(4))}" + " x") for i, k in enumerate(range(0, 400_000, 40))]
+    want = {}
+    for _, t in docs:
+        for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
+            want[w] = want.get(w, 0) + 1
+    assert {r.term: r.df for r in pii.term_counts(frame(docs)).collect()} == want
+
+
 # --- media -----------------------------------------------------------------
 
 
