@@ -37,6 +37,8 @@ BLOCK = 20_000
 BROADCAST_ROWS = 200_000
 #: Texts that tell which shingles are common.
 SAMPLE = 5000
+#: Edges of one text that are verified in one call.
+SLICE = 2000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -277,15 +279,33 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of rows whose shingle sets have at least that Jaccard similarity (none and none: 1)."""
-    rows = checkpoint(edges.select(F.explode(F.array("a", "b")).alias("_row")).distinct())
-    few = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    sets = checkpoint(shingle_sets(docs.join(few, "_row", "left_semi"), width))
-    side = lambda s: sets.select(F.col("_row").alias(s), F.col("shingles").alias(f"_{s}"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    union = F.size("_a") + F.size("_b") - both
-    near = edges.join(side("a"), "a").join(side("b"), "b").where((union == 0) | (both >= union * similarity))
-    return near.select("a", "b")
+    """Edges (a, b) of rows whose shingle sets have at least that Jaccard similarity (none and none: 1).
+
+    The set of each ``b`` goes to its ``a``, in slices of about ``SLICE`` edges.
+    """
+    sizes = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("n"))
+    dealt = edges.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).alias("slice"))
+    own = sizes.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"))
+    rows = checkpoint(dealt.unionByName(own))
+    few = (lambda df: F.broadcast(df)) if rows.count() <= BROADCAST_ROWS else (lambda df: df)
+    sets = shingle_sets(docs.join(few(rows.select(F.col("b").alias("_row")).distinct()), "_row", "left_semi"), width)
+
+    def compare(table: pa.Table) -> pa.Table:
+        a = table.column("a")[0].as_py()
+        b = table.column("b").to_pylist()
+        held = [x.values.to_numpy() for x in table.column("shingles")]
+        hub = np.sort(held[b.index(a)])
+        near = []
+        for name, s in zip(b, held, strict=True):
+            at = np.searchsorted(hub, s)
+            both = int((hub[np.minimum(at, len(hub) - 1)] == s).sum()) if len(hub) else 0
+            union = len(hub) + len(s) - both
+            if name != a and (union == 0 or both >= union * similarity):
+                near.append(name)
+        return pa.table({"a": pa.array([a] * len(near), pa.int64()), "b": pa.array(near, pa.int64())})
+
+    met = sets.withColumnRenamed("_row", "b").join(few(rows), "b")
+    return met.groupBy("a", "slice").applyInArrow(compare, "a long, b long")
 
 
 def common_shingles(docs: DataFrame, width: int) -> dict[int, int]:
@@ -337,7 +357,7 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 def similar_links(sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b): pairs of ``sets`` (node, size, prefix) that connect all with that Jaccard similarity.
 
-    Nodes that share a shingle of their prefixes meet.  In each of its keys the first node is held
+    Nodes that share a shingle of their prefixes meet.  In each key the first node is held
     against all others, then more and more of the next, each against the nodes of other classes,
     until the nodes left of every key are one class: a pair is spared only if already connected.
     """
@@ -345,20 +365,22 @@ def similar_links(sets: DataFrame, docs: DataFrame, width: int, similarity: floa
     by_key = Window.partitionBy("key")
     ranked = index.withColumns({"n": F.count(F.lit(1)).over(by_key), "rank": F.row_number().over(by_key.orderBy("node"))})
     left = checkpoint(ranked.where("n > 1").select("key", "node", "size", "pos", "rank", F.col("node").alias("root")))
-    edges, done, hubs = None, 0, 1
+    edges = before = None
+    done, hubs = 0, 0
     while not left.isEmpty():
         side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "rank", "root")]
-        met = left.where(F.col("rank") <= hubs).select("key", *side("a")).join(left.select("key", *side("b")), "key")
+        met = left.where(F.col("rank") <= max(1, hubs)).select("key", *side("a")).join(left.select("key", *side("b")), "key")
         least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
         most_shared = F.least("pos_a", "pos_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
         alike = (least >= similarity * most - 1e-6) & (most_shared * (1 + similarity) >= similarity * (least + most) - 1e-6)
-        tried = met.where((F.col("rank_b") > F.col("rank_a")) & (F.col("root_a") != F.col("root_b")) & alike)
-        found = verified(checkpoint(tried.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()), docs, width, similarity)
+        tried = met.where((F.col("rank_b") > F.col("rank_a")) & (F.col("root_a") != F.col("root_b")) & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        # Round 0 links each node to one hub, which settles most keys; the rounds after it leave nothing out.
+        tried = checkpoint(tried.distinct().join(before, ["a", "b"], "left_anti") if hubs else tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        before = tried if before is None else before.unionByName(tried)
+        found = verified(tried, docs, width, similarity)
         edges = checkpoint(found if edges is None else edges.unionByName(found))
-        done, hubs = hubs, hubs * 32
-        left = left.where(F.col("rank") > done)
-        many = left.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-        left = left.join(many, "key", "left_semi").drop("root").join(connected_components(edges).withColumnRenamed("component", "root"), "node", "left")
+        done, hubs = hubs, max(1, hubs * 32)
+        left = left.where(F.col("rank") > done).drop("root").join(connected_components(edges).withColumnRenamed("component", "root"), "node", "left")
         left = checkpoint(left.select("key", "node", "size", "pos", "rank", F.coalesce("root", "node").alias("root")))
         several = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
         left = checkpoint(left.join(several, "key", "left_semi"))

@@ -309,6 +309,27 @@ def test_keep_one_finds_every_pair_of_the_threshold(spark, frame):
     assert len(whole) > 100 and kept == {i for i, _ in docs} - {1000 + k for k in whole}
 
 
+def test_keep_one_follows_links_that_miss_the_hub(spark, frame):
+    rng = random.Random(5)
+    docs = []
+    for g in range(3):  # 80 texts that share keys, each a chain of changes away from the last
+        words = [f"g{g}w{k}" for k in range(200)]
+        for k in range(80):
+            docs.append((g * 100 + k, " ".join(words)))
+            for at in rng.sample(range(200), 4):
+                words[at] = f"n{g}x{k}y{at}"
+    rng.shuffle(docs)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in docs}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                p, q = sorted((root[i], root[j]))
+                root = {k: p if r == q else r for k, r in root.items()}
+    kept = {r.doc_id for r in simhash.keep_one(frame(docs)).collect()}
+    assert kept == set(root.values()) and len(kept) < 60
+
+
 # --- licenses --------------------------------------------------------------
 
 
