@@ -6,8 +6,8 @@ penalty for each switch labels the words of a text, so that mixed texts fall int
 language with the most letters is the text's.  The pass starts anew every ``RESTART`` words,
 which bounds its memory; every word of a text is labelled.
 
-The model is counted on a bounded sample of labelled rows (``sample_rows``, the rows least in
-hash order), whole texts, in cells of fixed number.
+The model holds every language of the table, each counted on a bounded sample of its rows
+(``sample_rows`` a language, those least in hash order), whole texts, in cells of fixed number.
 
 Defined results: a null text or one without letters is ``und`` with score 0; a word in a script
 that no learned language uses counts for none; with nothing to learn from all is ``und``;
@@ -17,21 +17,20 @@ repeated rows are rows of their own; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import fold, read_table, slices, sum_vectors
+from cloudloom.llm.common import fold, read_table, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 CELLS = 1 << 16
 RESTART = 8192
 CACHE = 300_000
-#: Most languages that a model holds; each costs CELLS numbers.
-MAX_LANGUAGES = 64
 #: First code points of script ranges, and the scripts.
 RANGES = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "devanagari"),
@@ -107,7 +106,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     lens, starts = lengths[order], (np.cumsum(lengths) - lengths)[order]
     n_labels = scores.shape[1]
     state = np.zeros((len(lens), n_labels), np.float32)
-    best_from = np.zeros(len(scores), np.uint8)
+    best_from = np.zeros(len(scores), np.int32 if n_labels > 256 else np.uint8)
     stays = np.zeros((len(scores), n_labels), bool)
     live = np.searchsorted(-lens, -np.arange(1, (lens[0] if len(lens) else 0) + 1), side="right")
     for t, a in enumerate(live):
@@ -119,7 +118,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
         best_from[at] = top
         stays[at] = stay
         state[:a] = np.where(stay, now, jump[:, None]) + scores[at]
-    labels = np.zeros(len(scores), np.uint8)
+    labels = np.zeros(len(scores), best_from.dtype)
     last = state.argmax(1)
     for t in range(len(live) - 1, -1, -1):
         a = live[t]
@@ -157,14 +156,16 @@ class Reader:
 
     def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
         """(words, labels, letters) of each text: labels are language numbers, -1 for words that count for none."""
-        if self.n > CACHE or len(self.ids) > 2 * CACHE:
+        wide = max(1, len(self.model.langs) // 16)
+        if self.n > CACHE // wide or len(self.ids) > 2 * CACHE // wide:
             self._clear()
         words = [WORD.findall(t.lower()) for t in texts]
         if not self.model.langs:
             return [(w, np.full(len(w), -1), np.zeros(len(w), np.int64)) for w in words]
         new = list(set().union(*words).difference(self.ids))
-        for k in range(0, len(new), 50_000):
-            self._learn(new[k : k + 50_000])
+        step = max(1, 50_000 // wide)
+        for k in range(0, len(new), step):
+            self._learn(new[k : k + step])
         ids = [np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w)) for w in words]
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         good = flat >= 0
@@ -180,31 +181,44 @@ class Reader:
 
 
 def learn(docs: DataFrame, sample_rows: int = 6000) -> Model:
-    """A model from at most ``sample_rows`` rows (text, lang) of ``docs``, whole texts."""
+    """A model of every language of ``docs`` from at most ``sample_rows`` rows (text, lang) of each, whole texts."""
     known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    # The rows least in hash order, found without their texts.
-    order = F.xxhash64("text", "lang")
-    edge = known.select(order.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = known.where(order <= F.lit(edge)) if edge is not None else known.limit(0)
-    n, width = len(langs), CELLS * len(langs)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(width + len(SCRIPTS) * n)
-        place = {lang: k for k, lang in enumerate(langs)}
+    # The rows of each language least in hash order, found without their texts.
+    known = known.withColumn("h", F.xxhash64("text", "lang"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    edges = known.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= sample_rows).groupBy("lang").agg(F.max("h").alias("edge"))
+    sample = known.join(F.broadcast(edges), "lang").where("h <= edge").select("text", "lang")
+    width = CELLS + len(SCRIPTS)
+    counts = "lang string, counts binary"
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], names=["lang", "counts"])
+
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if lang not in place:
-                    continue
+                v = total.setdefault(lang, np.zeros(width))
                 words = WORD.findall(t.as_py().lower())
                 if words:
-                    at, cell, last = cells(words)
-                    np.add.at(total, cell * n + place[lang], 1)
-                    np.add.at(total, width + scripts(last) * n + place[lang], 1)
-        return total
-
-    total = sum_vectors(sample, tally, width + len(SCRIPTS) * n) if n else np.zeros(0)
-    return Model(langs, total[:width].reshape(CELLS, n), total[width:].reshape(len(SCRIPTS), n))
+                    _, cell, last = cells(words)
+                    np.add.at(v, cell, 1)
+                    np.add.at(v, CELLS + scripts(last), 1)
+                if len(total) > 64:
+                    yield out()
+                    total.clear()
+        yield out()
+
+    def together(table: pa.Table) -> pa.Table:
+        v = np.zeros(width)
+        for x in table.column("counts"):
+            v += np.frombuffer(zlib.decompress(x.as_py()))
+        return pa.table({"lang": table.column("lang")[:1], "counts": pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())})
+
+    found = {r[0]: np.frombuffer(zlib.decompress(bytes(r[1]))) for r in sample.mapInArrow(tally, counts).groupBy("lang").applyInArrow(together, counts).collect()}
+    langs = sorted(found)
+    total = np.stack([found[lang] for lang in langs], 1) if langs else np.zeros((width, 0))
+    return Model(langs, total[:CELLS], total[CELLS:])
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 12.0, batch_words: int = 2_000_000) -> DataFrame:
@@ -215,7 +229,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, batch_words:
         reader = Reader(shared.value, penalty)
         for batch in batches:
             langs, scores, shares = [], [], []
-            for texts in slices(batch.column(1), batch_words * 6):
+            for texts in slices(batch.column(1), batch_words * 6 // max(1, len(reader.model.langs) // 4)):
                 for _, labels, letters in reader.label(texts):
                     counted = labels >= 0
                     share = np.bincount(labels[counted], letters[counted], len(reader.model.langs)).astype(int).tolist()

@@ -165,6 +165,16 @@ def test_language_and_spans(spark, frame):
     assert set(found[3].letters) >= {"fr", "en"} and 0 < found[3].score < 1
 
 
+def test_every_language_is_learned(spark, frame):
+    rng = random.Random(7)
+    own = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(300)}
+    rows = [(0, " ".join(rng.sample(w, 12)), lang) for lang, w in own.items() for _ in range(1 if lang == "l150" else 2)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=2)
+    assert model.langs == sorted(own)
+    found = {r.doc_id: r.lang_pred for r in language.identify(frame([(k, " ".join(own[f"l{k:03d}"])) for k in (0, 70, 150, 299)]), model).collect()}
+    assert found == {k: f"l{k:03d}" for k in (0, 70, 150, 299)}
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(0)
     from itertools import product
