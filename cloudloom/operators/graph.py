@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the session's shared checkpoint folder (a temporary one only if unset)."""
+    """Cut lineage through the session's shared checkpoint folder.
+
+    Only a session on one machine that names none gets a temporary one; on a cluster, whose
+    executors could not read it, that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         own = sc.getConf().get("spark.checkpoint.dir")
+        if not own and not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="cloudloom-ckpt-"))
     return df.checkpoint(eager=True)
 
@@ -33,6 +39,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     now = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     state = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
