@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.operators.graph import checkpointed
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,14 +23,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder of ``spark.checkpoint.dir``.
 
-    A reliable checkpoint survives the loss of any executor and fixes the rows and their
-    partitions. Only where a session sets no folder (tests on one machine) is one made here.
+    A reliable checkpoint survives the loss of any executor and fixes the rows and their partitions.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="cloudloom-ckpt-"))
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(text: Column) -> Column:

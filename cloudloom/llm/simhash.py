@@ -17,16 +17,18 @@ are null; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import checkpoint, read_table, sum_vectors
+from cloudloom.llm.common import checkpoint, fresh, read_table, sum_vectors
+from cloudloom.llm.rounds import link_rounds
 from cloudloom.operators.graph import connected_components
 
 #: Index entries of one key beyond which its bucket goes to the kernel.
@@ -35,10 +37,10 @@ CROWD = 64
 BLOCK = 20_000
 #: Rows of a table up to which it may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Texts that tell which shingles are common.
-SAMPLE = 5000
-#: Edges of one text that are verified in one call.
-SLICE = 2000
+#: Differing bits of the word fingerprints of near-duplicates, and of their shingle fingerprints.
+MAX_BITS, NEAR_BITS = 7, 22
+#: Cells of word counts; words that a task remembers.
+CELLS, CACHE = 1 << 18, 200_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -149,7 +151,7 @@ def _signed(x: int) -> int:
 
 
 def keyed(reps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, key, fp, probe): each fingerprint at its own value and, as a probe, at near values.
+    """(part, key, probe) and all columns of ``reps``: each row at its fingerprint's own values and, as a probe, at near ones.
 
     Of two different values only the one whose highest differing bit is clear probes the other.
     """
@@ -163,9 +165,9 @@ def keyed(reps: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
     probes = F.array([F.struct(F.lit(a).alias("part"), F.lit(b).cast("long").alias("mask"), F.lit(c).cast("long").alias("flip"), F.lit(d).cast("long").alias("top")) for a, b, c, d in rows])
     fp, q = F.col("fp"), F.col("q")
     return (
-        reps.select("fp", F.explode(probes).alias("q"))
+        reps.select("*", F.explode(probes).alias("q"))
         .where(fp.bitwiseAND(q["top"]) == 0)
-        .select(q["part"].alias("part"), fp.bitwiseAND(q["mask"]).bitwiseXOR(q["flip"]).alias("key"), "fp", (q["flip"] != 0).alias("probe"))
+        .select(q["part"].alias("part"), fp.bitwiseAND(q["mask"]).bitwiseXOR(q["flip"]).alias("key"), *reps.columns, (q["flip"] != 0).alias("probe"))
     )
 
 
@@ -258,153 +260,155 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, width: int = 3, seed:
     return fps.join(roots.join(least, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct hashes of the word shingles of ``text``."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII blanks only
+
+
+def shingles(words: list[bytes], width: int) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text's words, ascending."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     found = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
-    return np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
+    out = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found)).view(np.int64)
+    out.sort()
+    return out
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(_row, shingles): distinct hashes of the word shingles of each row (_row, text)."""
+class WordHashes:
+    """Hashes of words, remembering those met."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_row", "shingles"])
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
 
-    return docs.select("_row", "text").mapInArrow(run, "_row long, shingles array<long>")
+    def counted(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the different words of a text, and how often each occurs."""
+        from xxhash import xxh64_intdigest
 
+        if len(self.known) > CACHE:
+            self.known = {}
+        known, times = self.known, Counter(words)
+        for w in times.keys() - known.keys():
+            known[w] = xxh64_intdigest(w, 42)
+        return np.fromiter(map(known.__getitem__, times), np.uint64, len(times)), np.fromiter(times.values(), float, len(times))
 
-def verified(edges: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of rows whose shingle sets have at least that Jaccard similarity (none and none: 1).
 
-    The set of each ``b`` goes to its ``a``, in slices of about ``SLICE`` edges.
-    """
-    sizes = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("n"))
-    dealt = edges.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).alias("slice"))
-    own = sizes.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"))
-    rows = checkpoint(dealt.unionByName(own))
-    few = (lambda df: F.broadcast(df)) if rows.count() <= BROADCAST_ROWS else (lambda df: df)
-    sets = shingle_sets(docs.join(few(rows.select(F.col("b").alias("_row")).distinct()), "_row", "left_semi"), width)
-
-    def compare(table: pa.Table) -> pa.Table:
-        a = table.column("a")[0].as_py()
-        b = table.column("b").to_pylist()
-        held = [x.values.to_numpy() for x in table.column("shingles")]
-        hub = np.sort(held[b.index(a)])
-        near = []
-        for name, s in zip(b, held, strict=True):
-            at = np.searchsorted(hub, s)
-            both = int((hub[np.minimum(at, len(hub) - 1)] == s).sum()) if len(hub) else 0
-            union = len(hub) + len(s) - both
-            if name != a and (union == 0 or both >= union * similarity):
-                near.append(name)
-        return pa.table({"a": pa.array([a] * len(near), pa.int64()), "b": pa.array(near, pa.int64())})
-
-    met = sets.withColumnRenamed("_row", "b").join(few(rows), "b")
-    return met.groupBy("a", "slice").applyInArrow(compare, "a long, b long")
-
-
-def common_shingles(docs: DataFrame, width: int) -> dict[int, int]:
-    """Shingle hashes that several of about ``SAMPLE`` texts share, and how many do.
-
-    They only order the shingles of ``prefixes``: what a sample misses costs time, never a pair.
-    """
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))).distinct()
-    each = shingle_sets(texts.withColumn("_row", F.lit(0).cast("long")), width).select(F.explode("shingles").alias("s"))
-    top = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 5).orderBy(F.desc("n"), "s").limit(100_000)
-    return {r[0]: r[1] for r in top.collect()}
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(40)).astype(np.int64) % CELLS
+
 
+def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
+    """Bits that outweigh in ``hashes``, as a signed long; zero without any."""
+    total = np.zeros(64)
+    for k in range(0, len(hashes), 50_000):
+        bits = np.unpackbits(hashes[k : k + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(0, dtype=np.int64) * 2.0 - len(bits) if weights is None else weights[k : k + 50_000] @ (bits * 2.0 - 1)
+    return int(np.packbits(total > 0, bitorder="little").view("<i8")[0])
 
-def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(_row, doc_id, d1, d2, size, prefix) of each row: digest and size of its shingle set, and its first shingles.
 
-    All sets are in one order, common shingles last.  Of two sets whose Jaccard is at least
-    ``similarity`` the first ``size - ceil(similarity * size) + 1`` shingles always meet.
+def word_weights(docs: DataFrame) -> np.ndarray:
+    """Weight of each word cell: the root of the log of how rare its words are among all rows (text)."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        words, total = WordHashes(), np.zeros(CELLS + 1)
+        for batch in batches:
+            for t in batch.column(0):
+                total[np.unique(_cells(words.counted(_words(t.as_py()))[0]))] += 1
+            total[-1] += batch.num_rows
+        return total
+
+    total = sum_vectors(docs.select("text"), tally, CELLS + 1)
+    return np.sqrt(np.log((total[-1] + 1) / np.maximum(total[:-1], 1))).astype(np.float32)
+
+
+def described(docs: DataFrame, weights: np.ndarray, width: int) -> DataFrame:
+    """(_row, doc_id, d1, d2, size, fp, near) of each row (_row, doc_id, text).
+
+    d1, d2 and size tell the set of shingles; fp is the SimHash of the text's words by weight,
+    near that of its set of shingles.
     """
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = common.value
-        names = np.array(sorted(many), np.int64)
-        ranks = np.array([many[k] for k in names.tolist()], np.int64)
+        known = WordHashes()
         for batch in batches:
-            d1, d2, sizes, firsts = [], [], [], []
+            cols: list[list[int]] = [[] for _ in range(5)]
             for t in batch.column(2):
-                s = shingles(t.as_py(), width)
-                s.sort()
+                words = _words(t.as_py())
+                hashes, times = known.counted(words)
+                s = shingles(words, width)
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                d1.append(int.from_bytes(d[:8], "little", signed=True))
-                d2.append(int.from_bytes(d[8:], "little", signed=True))
-                sizes.append(len(s))
-                if len(names) and len(s):
-                    at = np.minimum(np.searchsorted(names, s), len(names) - 1)
-                    s = s[np.argsort(np.where(names[at] == s, ranks[at], 0), kind="stable")]
-                firsts.append(s[: len(s) - ceil(similarity * len(s) - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["_row", "doc_id", "d1", "d2", "size", "prefix"],
-            )
-
-    rows = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "_row long, doc_id long, d1 long, d2 long, size int, prefix array<long>")
-
-
-def similar_links(sets: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): pairs of ``sets`` (node, size, prefix) that connect all with that Jaccard similarity.
-
-    Nodes that share a shingle of their prefixes meet.  In each key the first node is held
-    against all others, then more and more of the next, each against the nodes of other classes,
-    until the nodes left of every key are one class: a pair is spared only if already connected.
+                row = np.frombuffer(d, "<i8").tolist() + [len(s), _majority(hashes, times * shared.value[_cells(hashes)]), _majority(s)]
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["_row", "doc_id", "d1", "d2", "size", "fp", "near"])
+
+    return docs.mapInArrow(run, "_row long, doc_id long, d1 long, d2 long, size long, fp long, near long")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(node, payload): the ascending hashes of the word shingles of each row (_row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(_words(t.as_py()), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "payload"])
+
+    return docs.select("_row", "text").mapInArrow(run, "node long, payload array<long>")
+
+
+def jaccard_at_least(similarity: float) -> Callable[[np.ndarray, np.ndarray], bool]:
+    """Whether two ascending sets have that Jaccard similarity (none and none: 1)."""
+
+    def same(x: np.ndarray, y: np.ndarray) -> bool:
+        both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+        union = len(x) + len(y) - both
+        return union == 0 or both >= union * similarity
+
+    return same
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, max_bits: int) -> DataFrame:
+    """(a, b): links that connect all ``nodes`` (node, fp, near, size) whose texts (_row, text) are that similar.
+
+    Candidates are nodes whose word fingerprints differ in at most ``max_bits``, found by
+    generalised pigeonhole; sizes and the shingle fingerprints (at most ``NEAR_BITS`` apart) spare
+    hopeless ones, and the sets of shingles decide.
     """
-    index = sets.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
-    by_key = Window.partitionBy("key")
-    ranked = index.withColumns({"n": F.count(F.lit(1)).over(by_key), "rank": F.row_number().over(by_key.orderBy("node"))})
-    left = checkpoint(ranked.where("n > 1").select("key", "node", "size", "pos", "rank", F.col("node").alias("root")))
-    edges = before = None
-    done, hubs = 0, 0
-    while not left.isEmpty():
-        side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "rank", "root")]
-        met = left.where(F.col("rank") <= max(1, hubs)).select("key", *side("a")).join(left.select("key", *side("b")), "key")
-        least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-        most_shared = F.least("pos_a", "pos_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-        alike = (least >= similarity * most - 1e-6) & (most_shared * (1 + similarity) >= similarity * (least + most) - 1e-6)
-        tried = met.where((F.col("rank_b") > F.col("rank_a")) & (F.col("root_a") != F.col("root_b")) & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        # Round 0 links each node to one hub, which settles most keys; the rounds after it leave nothing out.
-        tried = checkpoint(tried.distinct().join(before, ["a", "b"], "left_anti") if hubs else tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        before = tried if before is None else before.unionByName(tried)
-        found = verified(tried, docs, width, similarity)
-        edges = checkpoint(found if edges is None else edges.unionByName(found))
-        done, hubs = hubs, max(1, hubs * 32)
-        left = left.where(F.col("rank") > done).drop("root").join(connected_components(edges).withColumnRenamed("component", "root"), "node", "left")
-        left = checkpoint(left.select("key", "node", "size", "pos", "rank", F.coalesce("root", "node").alias("root")))
-        several = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        left = checkpoint(left.join(several, "key", "left_semi"))
-    return sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if edges is None else edges
-
-
-def keep_one(docs: DataFrame, verify_width: int = 5, similarity: float = 0.8) -> DataFrame:
+    n, both = bit_statistics(nodes)
+    if n < 2:
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    index = keyed(nodes, choose_partitions(n, both, max_bits))
+
+    def close(p, q) -> Column:
+        alike = F.least(p("size"), q("size")) >= similarity * F.greatest(p("size"), q("size")) - 1e-6
+        return (F.bit_count(p("fp").bitwiseXOR(q("fp"))) <= max_bits) & alike & (F.bit_count(p("near").bitwiseXOR(q("near"))) <= NEAR_BITS)
+
+    load = lambda names: shingle_sets(texts.join(names.select(F.col("node").alias("_row")), "_row", "left_semi"), width)
+    return link_rounds(index, close, load, jaccard_at_least(similarity))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each class of near-duplicates, the one of least doc_id, with all its columns.
 
-    Two texts link if their sets of word shingles of ``verify_width`` have at least that Jaccard
-    similarity; every such pair is found (no fingerprint decides what is looked at).  Texts of
-    equal sets are one node.
+    Two texts link if their sets of word shingles of ``width`` have at least that Jaccard
+    similarity and the SimHashes of their words differ in at most ``max_bits``.  A changed word
+    alters ``width`` shingles but one word, so words weighted by rarity are the sharper
+    fingerprint; seven bits find over 0.95 of the pairs (measured, see README).  Texts of equal
+    sets are one node.
+
+    Ties: of rows of one doc_id the first as read stays; a null doc_id yields to any other.
     ``docs`` must give the same rows in the same partitions when read again (a table does).
     """
-    rows = docs.withColumns({"_row": F.monotonically_increasing_id(), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    texts = rows.select("_row", F.col("_text").alias("text"))
-    known = checkpoint(prefixes(rows.select("_row", "doc_id", F.col("_text").alias("text")), verify_width, similarity))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first")
-    nodes = checkpoint(known.groupBy("d1", "d2").agg(first).select("first", F.col("first._row").alias("node")))
-    sets = known.withColumnRenamed("_row", "node").join(nodes.select("node"), "node", "left_semi").select("node", "size", "prefix")
-    comps = connected_components(similar_links(sets, texts, verify_width, similarity))
-    roots = nodes.join(comps, "node", "left").select("first", F.coalesce("component", "node").alias("root"))
-    stay = roots.groupBy("root").agg(F.min("first").alias("first"))
-    return rows.join(stay.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    (row,) = fresh(docs, "_row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    texts = rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = checkpoint(described(texts, word_weights(texts), width))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row", "fp", "near", "size")).alias("first")
+    nodes = checkpoint(known.groupBy("d1", "d2").agg(first).select("first.*").withColumnRenamed("_row", "node"))
+    comps = connected_components(similar_links(nodes.select("node", "fp", "near", "size"), texts, width, similarity, max_bits))
+    roots = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    stay = roots.groupBy("root").agg(F.min(F.struct("unknown", "doc_id", "node")).alias("first")).select(F.col("first.node").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
