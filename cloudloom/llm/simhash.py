@@ -287,8 +287,9 @@ class WordHashes:
         if len(self.known) > CACHE:
             self.known = {}
         known, times = self.known, Counter(words)
-        for w in times.keys() - known.keys():
-            known[w] = xxh64_intdigest(w, 42)
+        for w in times:
+            if w not in known:
+                known[w] = xxh64_intdigest(w, 42)
         return np.fromiter(map(known.__getitem__, times), np.uint64, len(times)), np.fromiter(times.values(), float, len(times))
 
 
