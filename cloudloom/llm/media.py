@@ -2,15 +2,18 @@
 
 Local descriptors: at several scales corners are found, each is turned by the direction of its
 patch's intensity centroid, and 128 brightness comparisons around it become a binary descriptor.
-Descriptors meet in Hamming tables, joins on the two
-halves of their bits; a pair of images is linked if enough of its matches agree on one shift, turn
-and scale.  Images of equal bytes are one image from the start.  A crowded entry is joined on all
-bits, and what is crowded even so inside bins of several random orders, so no entry costs the
-square of its size and a class of copies stays connected.
-
-Media are binary PGM (P5) or 8-bit PNG (not interlaced).  Defined results: null, empty or
-unreadable media have no corners and stay alone; repeated rows share a class; an empty table
-gives no rows; other columns are ignored.
+Descriptors meet in Hamming tables, one for each quarter of their bits: two that differ in at most
+``SEED_BITS`` agree in a quarter, so all such pairs of corners meet, and images with such a pair are
+candidates.  A candidate is settled by geometric consensus over all corners of both images: of the
+matches within ``max_bits``, ``min_agree`` places must fit the shift, turn and scale that one of
+them tells.  Images of equal bytes are one image from the start, and crowded table entries are
+settled in rounds of hubs (``rounds``), so a class of copies costs its size and no pair is left out.
+
+Media are binary PGM (P5) or 8-bit PNG (not interlaced).  Defined results: null, empty, unreadable
+or too large media (over ``MOST_PIXELS``) have no corners and are one class with what has the same
+bytes; repeated rows share a class; a null image_id names a class only if all its members are null;
+ties among copies do not matter, the least image_id names the class; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import checkpoint, read_table
+from cloudloom.llm.rounds import link_rounds
 from cloudloom.operators.graph import connected_components
 
-#: Rows of a table up to which it may be broadcast.
-BROADCAST_ROWS = 200_000
-SCALES = (1.0, 0.75, 0.5)
-RADIUS, TURNS, CROWD, BIN, ORDERS = 8, 32, 16, 12, 4
+SCALES = (1.0, 0.9, 0.8, 0.7)
+RADIUS, TURNS = 8, 32
+#: Differing bits up to which all pairs of descriptors meet in the tables (one less than there are tables).
+SEED_BITS = 3
+MOST_PIXELS = 1 << 26
 _rng = np.random.default_rng(17)
 _ENDS = _rng.normal(0, RADIUS / 2, (128, 2, 2))
 #: Both ends of each comparison, inside the disc in every direction.
@@ -55,44 +60,67 @@ _DISC = (_GRID[0] ** 2 + _GRID[1] ** 2) <= RADIUS**2
 
 
 def decode(media: bytes | None) -> np.ndarray | None:
-    """Grey image of PGM or PNG bytes; None if it can't be read."""
+    """Grey image, 0 to 255, of PGM or PNG bytes; None if it can't be read."""
     try:
         if not media:
             return None
         if media[:2] == b"P5":
             m = re.match(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s", media)
-            w, h = int(m[1]), int(m[2])
-            return np.frombuffer(media, np.uint8, w * h, m.end()).reshape(h, w).astype(np.float32)
+            w, h, top = int(m[1]), int(m[2]), int(m[3])
+            if w * h > MOST_PIXELS or not 0 < top < 65536:
+                return None
+            pixels = np.frombuffer(media, np.uint8 if top < 256 else ">u2", w * h, m.end())
+            return pixels.reshape(h, w).astype(np.float32) * np.float32(255 / top)
         if media[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(media)
-    except (TypeError, ValueError, KeyError, IndexError, zlib.error):
+    except (TypeError, ValueError, KeyError, IndexError, MemoryError, zlib.error):
         return None
     return None
 
 
 def _png(media: bytes) -> np.ndarray | None:
-    at, data, head = 8, b"", b""
+    at, data, head = 8, [], b""
     while at + 8 <= len(media):
         size, kind = int.from_bytes(media[at : at + 4], "big"), media[at + 4 : at + 8]
         body = media[at + 8 : at + 8 + size]
-        head, data = (body, data) if kind == b"IHDR" else (head, data + body) if kind == b"IDAT" else (head, data)
+        if kind == b"IHDR":
+            head = body
+        elif kind == b"IDAT":
+            data.append(body)
         at += size + 12
     w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}[head[9]]
-    if head[8] != 8 or head[12]:
+    n = {0: 1, 2: 3, 4: 2, 6: 4}[head[9]]
+    if head[8] != 8 or head[12] or w * h > MOST_PIXELS:
         return None
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * channels)
-    rows = np.zeros((h + 1, (w + 1) * channels), np.int64)
-    for y in range(h):
-        kind, line, up = int(raw[y, 0]), raw[y, 1:].astype(np.int64), rows[y]
-        out = rows[y + 1]
-        for x in range(len(line)):
-            a, b, c = out[x], up[x + channels], up[x]
+    raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(data), h * (1 + w * n)), np.uint8).reshape(h, 1 + w * n)
+    up, rows = np.zeros(w * n, np.uint8), []
+    for line in raw:
+        up = _unfiltered(int(line[0]), line[1:], up, n)
+        rows.append(up)
+    px = np.stack(rows).reshape(h, w, n)[:, :, : 3 if n > 2 else 1].astype(np.float32)
+    return px @ np.array([0.299, 0.587, 0.114], np.float32) if n > 2 else px[:, :, 0]
+
+
+def _unfiltered(kind: int, line: np.ndarray, up: np.ndarray, n: int) -> np.ndarray:
+    """A PNG line of ``n`` bytes a pixel, from its filtered bytes and the line above."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, n), 0, dtype=np.uint8).ravel()
+    if kind == 2:
+        return line + up
+    out, above = bytearray(n), bytes(n) + up.tobytes()
+    for x, v in enumerate(line.tolist()):
+        a, b, c = out[x], above[x + n], above[x]
+        if kind == 3:
+            guess = (a + b) // 2
+        elif kind == 4:
             p = a + b - c
-            guess = (0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2])[kind]
-            out[x + channels] = (line[x] + guess) & 255
-    px = rows[1:, channels:].reshape(h, w, channels)[:, :, : 3 if channels > 2 else 1].astype(np.float32)
-    return px @ np.array([0.299, 0.587, 0.114], np.float32) if channels > 2 else px[:, :, 0]
+            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+        else:
+            raise ValueError(kind)
+        out.append((v + guess) & 255)
+    return np.frombuffer(bytes(out[n:]), np.uint8)
 
 
 def pgm(image: np.ndarray) -> bytes:
@@ -147,12 +175,9 @@ def describe(image: np.ndarray | None) -> list[tuple[float, float, float, int, i
     return out
 
 
-#: A packed corner: place in sixteenths of a pixel, scale, turn, descriptor.
-PACKED = np.dtype([("x", "<u4"), ("y", "<u4"), ("scale", "u1"), ("turn", "u1"), ("low", "<i8"), ("high", "<i8")])
-
-
-def pack(found: list[tuple[float, float, float, int, int, int]]) -> bytes:
-    return np.array([(round(x * 16), round(y * 16), SCALES.index(s), t, lo, hi) for x, y, s, t, lo, hi in found], PACKED).tobytes()
+def pack(found: list[tuple[float, float, float, int, int, int]]) -> np.ndarray:
+    """Three longs a corner: place in sixteenths of a pixel, scale and turn; low bits; high bits."""
+    return np.array([(round(x * 16) << 40 | round(y * 16) << 16 | SCALES.index(s) << 8 | t, lo, hi) for x, y, s, t, lo, hi in found], np.int64).ravel()
 
 
 def corners(images: DataFrame) -> DataFrame:
@@ -162,129 +187,138 @@ def corners(images: DataFrame) -> DataFrame:
         for batch in batches:
             media = [m.as_py() or b"" for m in batch.column(1)]
             digests = [hashlib.blake2b(m, digest_size=16).digest() for m in media]
-            known: dict[bytes, bytes] = {}
+            known: dict[bytes, np.ndarray] = {}
             for d, m in zip(digests, media, strict=True):
                 if d not in known:
                     known[d] = pack(describe(decode(m)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([known[d] for d in digests], pa.binary())], names=["image_id", "digest", "corners"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([known[d] for d in digests], pa.list_(pa.int64()))], names=["image_id", "digest", "corners"])
 
-    return images.select(F.col("image_id").cast("long").alias("image_id"), "media").mapInArrow(run, "image_id long, digest binary, corners binary")
+    return images.select(F.col("image_id").cast("long").alias("image_id"), "media").mapInArrow(run, "image_id long, digest binary, corners array<long>")
 
 
 def table_rows(found: DataFrame) -> DataFrame:
-    """(image, key, full, c) for each corner of (image, corners) and each half of its bits.
+    """(part, key, node, probe, low, high) for each corner of (node, corners) and each quarter of its bits."""
+    k = F.col("k")
+    each = found.select("node", F.explode(F.sequence(F.lit(0), F.size("corners") - 1, F.lit(3))).alias("k"), "corners").where(F.size("corners") > 0)
+    each = each.select("node", F.col("corners")[k + 1].alias("low"), F.col("corners")[k + 2].alias("high"))
+    quarter = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(0xFFFFFFFF))
+    keys = [F.struct(F.lit(part).alias("part"), quarter(c, shift).alias("key")) for part, (c, shift) in enumerate((c, shift) for c in ("low", "high") for shift in (0, 32))]
+    return each.select(F.explode(F.array(*keys)).alias("q"), "node", "low", "high").select("q.part", "q.key", "node", F.lit(False).alias("probe"), "low", "high").distinct()
 
-    ``full`` is a hash of all bits, the finer key of crowded entries.
-    """
-    kind = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("scale", pa.float64()), ("turn", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                ids, packed = (batch.column(k).slice(part, 500) for k in (0, 1))
-                blobs = [b.as_py() or b"" for b in packed]
-                c = np.frombuffer(b"".join(blobs), PACKED)
-                image = np.repeat(ids.to_numpy(zero_copy_only=False), [len(b) // PACKED.itemsize for b in blobs])
-                low, high = c["low"].astype(np.int64), c["high"].astype(np.int64)
-                # The two halves are two tables: an odd multiplier keeps their keys apart.
-                key = np.stack([low, high * np.int64(0x5851F42D4C957F2D) + 1], 1).ravel()
-                full = low * np.int64(0x2545F4914F6CDD1D) + high
-                cols = [c["x"] / 16, c["y"] / 16, np.array(SCALES)[c["scale"]], c["turn"].astype(np.int32), low, high]
-                corner = pa.StructArray.from_arrays([pa.array(np.repeat(v, 2)) for v in cols], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(image, 2)), pa.array(key), pa.array(np.repeat(full, 2)), corner], names=["image", "key", "full", "c"])
-
-    return found.select("image", "corners").mapInArrow(run, "image long, key long, full long, c struct<x:double,y:double,scale:double,turn:int,low:long,high:long>")
-
-
-def _agreeing(pairs: DataFrame, min_agree: int) -> DataFrame:
-    """(a, b) of pairs of corners (a, p, b, q) that agree on turn, scale and shift in places enough.
-
-    A corner found at several scales is one place.
-    """
-    turn = F.pmod(F.col("q.turn") - F.col("p.turn"), F.lit(TURNS))
-    angle, ratio = turn * (2 * np.pi / TURNS), F.col("p.scale") / F.col("q.scale")
-    dx = F.col("q.x") - ratio * (F.cos(angle) * F.col("p.x") - F.sin(angle) * F.col("p.y"))
-    dy = F.col("q.y") - ratio * (F.sin(angle) * F.col("p.x") + F.cos(angle) * F.col("p.y"))
-    cells = pairs.select("a", "b", F.round(turn / 2).alias("t"), F.round(F.log2(ratio) * 2).alias("s"), F.round(dx / 6).alias("i"), F.round(dy / 6).alias("j"), F.struct(F.round(F.col("p.x") / 6), F.round(F.col("p.y") / 6)).alias("at"))
-    return cells.groupBy("a", "b", "t", "s", "i", "j").agg(F.count_distinct("at").alias("n")).where(F.col("n") >= min_agree).select("a", "b").distinct()
 
+def consensus(min_agree: int, max_bits: int) -> Callable[[np.ndarray, np.ndarray], bool]:
+    """Whether places enough of two images' packed corners fit one shift, turn and scale.
 
-def _match(left: DataFrame, right: DataFrame, on: list[str], max_bits: int) -> DataFrame:
-    """Corners of different images in one table entry that differ in at most ``max_bits``."""
-    met = left.select(*on, F.col("image").alias("a"), F.col("c").alias("p")).join(right.select(*on, F.col("image").alias("b"), F.col("c").alias("q")), on)
-    bits = F.bit_count(F.col("p.low").bitwiseXOR(F.col("q.low"))) + F.bit_count(F.col("p.high").bitwiseXOR(F.col("q.high")))
-    return met.where((F.col("a") < F.col("b")) & (bits <= max_bits)).select("a", "p", "b", "q")
+    Each match tells a transformation; another agrees if its turn and scale are near and its
+    place is where the transformation puts it.  A corner found at several scales is one place.
+    """
 
+    def same(a: np.ndarray, b: np.ndarray) -> bool:
+        p, q = a.reshape(-1, 3), b.reshape(-1, 3)
+        met = []
+        for k in range(0, len(p), 512):
+            bits = np.bitwise_count(p[k : k + 512, None, 1] ^ q[None, :, 1]) + np.bitwise_count(p[k : k + 512, None, 2] ^ q[None, :, 2])
+            i, j = np.nonzero(bits <= max_bits)
+            met.append(np.stack((i + k, j)))
+        i, j = np.concatenate(met, 1) if met else (np.zeros(0, np.int64),) * 2
+        if len(i) < min_agree:
+            return False
+        place = lambda c: (c >> 40) / 16 + 1j * ((c >> 16 & 0xFFFFFF) / 16)
+        scale = lambda c: np.array(SCALES)[c >> 8 & 0xFF]
+        cp, cq = p[i, 0], q[j, 0]
+        x, y = place(cp), place(cq)
+        turn, ratio = (cq - cp & 0xFF) % TURNS, scale(cp) / scale(cq)
+        cells = lambda z: np.round(z.real / 6) * (1 << 24) + np.round(z.imag / 6)
+        at, to = cells(x), cells(y)
+        for k in range(0, len(i), 256):
+            one = slice(k, k + 256)
+            step = (turn - turn[one, None]) % TURNS
+            move = ratio[one] * np.exp(2j * np.pi * turn[one] / TURNS)
+            gone = x - x[one, None]
+            miss = np.abs(y - y[one, None] - move[:, None] * gone)
+            fits = (np.minimum(step, TURNS - step) <= 2) & (np.abs(np.log(ratio / ratio[one, None])) <= 0.2) & (miss <= 3 + 0.15 * np.abs(move[:, None] * gone))
+            for row in fits[fits.sum(1) >= min_agree]:
+                if min(len(np.unique(at[row])), len(np.unique(to[row]))) >= min_agree:
+                    return True
+        return False
+
+    return same
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n): entries of different images, and their rows."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("image").alias("lo"), F.max("image").alias("hi"))
-    return checkpoint(sizes.where("lo < hi").select(key, "n"))
 
+def find_copies(images: DataFrame, min_agree: int = 6, max_bits: int = 12) -> DataFrame:
+    """image_id, n_corners, class_id (least image_id reachable) and class_size (rows) of each row (image_id, media)."""
+    named = checkpoint(corners(images))
+    found = named.groupBy("digest").agg(F.min("image_id").alias("image"), F.first("corners").alias("corners"), F.count(F.lit(1)).alias("n"))
+    found = checkpoint(found.withColumn("node", F.monotonically_increasing_id()))
+    close = lambda p, q: F.bit_count(p("low").bitwiseXOR(q("low"))) + F.bit_count(p("high").bitwiseXOR(q("high"))) <= SEED_BITS
+    load = lambda names: found.join(names, "node", "left_semi").select("node", F.col("corners").alias("payload"))
+    links = link_rounds(table_rows(found), close, load, consensus(min_agree, max_bits), sparse=True)
+    rooted = found.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    classes = rooted.groupBy("root").agg(F.min("image").alias("class_id"), F.sum("n").alias("class_size"))
+    info = rooted.select("digest", (F.size("corners") / 3).cast("long").alias("n_corners"), "root").join(classes, "root").drop("root")
+    return named.select("image_id", "digest").join(info, "digest").select("image_id", "n_corners", "class_id", "class_size")
+
+
+#: Numbers of the longest vector that is drawn, side of a picture, and edits of planted copies.
+NUMBERS, SIDE = 4096, 48
+EDITS = ("crop", "brightness", "turn", "noise", "smaller", "blur")
+
+
+def _patterns(n: int) -> np.ndarray:
+    """[n, SIDE, SIDE]: a smooth random pattern for each number of a vector."""
+    out = np.random.default_rng(5).normal(size=(n, SIDE, SIDE)).astype(np.float32)
+    for _ in range(4):
+        out = np.stack([_blur(p) for p in out])
+    return out
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+def picture(vector: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """A vector as the sum of its numbers' patterns, so that near vectors are alike all over."""
+    g = np.tensordot(vector, patterns[: len(vector)], 1)
+    return np.clip(np.rint(128 + 48 * (g - g.mean()) / max(float(g.std()), 1e-9)), 0, 255).astype(np.float32)
 
-def image_links(found: DataFrame, min_agree: int = 6, max_bits: int = 12) -> DataFrame:
-    """(a, b): verified links among images (image, corners), each named once.
 
-    Few table entries are shared by different images; only their rows are dealt out and joined.
-    Entries with more than ``CROWD`` rows are joined on all bits instead; what is crowded even so
-    is dealt into bins of about ``BIN`` images in ``ORDERS`` different orders and joined inside
-    the bins, which keeps a class of copies connected without all of its pairs.
-    """
-    rows = table_rows(found)
-    shared = _shared(rows, "key")
-    thin = rows.join(_small(shared.where(F.col("n") <= CROWD).select("key")), "key", "left_semi")
-    pairs = _match(thin, thin, ["key"], max_bits)
-    crowded = shared.where(F.col("n") > CROWD).select("key")
-    if not crowded.isEmpty():
-        dense = rows.join(_small(crowded), "key", "left_semi").select("image", "full", "c").distinct()
-        fine = _shared(dense, "full")
-        few = dense.join(_small(fine.where(F.col("n") <= CROWD).select("full")), "full", "left_semi")
-        many = dense.join(_small(fine.where(F.col("n") > CROWD)), "full")
-        order = F.explode(F.array(*map(F.lit, range(ORDERS)))).alias("order")
-        dealt = many.select("*", order).withColumn("bin", F.pmod(F.xxhash64("image", "order"), F.ceil(F.col("n") / BIN)))
-        pairs = pairs.unionByName(_match(few, few, ["full"], max_bits)).unionByName(_match(dealt, dealt, ["full", "order", "bin"], max_bits))
-    return _agreeing(pairs, min_agree)
+def edited(image: np.ndarray, edit: str) -> np.ndarray:
+    """A copy of ``image`` after one of ``EDITS``."""
+    if edit == "crop":
+        return image[3:-5, 5:-3]
+    if edit == "brightness":
+        return image * 0.8 + 20
+    if edit == "turn":
+        return np.rot90(image)
+    if edit == "noise":
+        return image + np.random.default_rng(int(image.sum())).normal(0, 4, image.shape)
+    return _resize(image, 0.9) if edit == "smaller" else _blur(image)
 
 
-def find_copies(images: DataFrame, min_agree: int = 6, max_bits: int = 12) -> DataFrame:
-    """image_id, n_corners, class_id (least image_id reachable) and n_links of each row (image_id, media).
+def media_from_vectors(vectors: DataFrame, every: int = 50) -> DataFrame:
+    """(image_id, media): each vector (vec_id, embedding) as a picture, numbered 2 * vec_id.
 
-    Images of equal bytes are represented by their least image_id; links are between those.
+    Of every ``every``-th vec_id an edited copy stands beside it, numbered one more; EDITS are taken in turn.
     """
-    named = checkpoint(corners(images))
-    found = checkpoint(named.groupBy("digest").agg(F.min("image_id").alias("image"), F.first("corners").alias("corners")))
-    links = checkpoint(image_links(found, min_agree, max_bits))
-    degree = links.select(F.col("a").alias("image")).unionByName(links.select(F.col("b").alias("image"))).groupBy("image").agg(F.count(F.lit(1)).alias("n_links"))
-    info = found.select("digest", "image", (F.length("corners") / PACKED.itemsize).cast("long").alias("n_corners"))
-    info = info.join(connected_components(links).withColumnRenamed("node", "image"), "image", "left").join(degree, "image", "left")
-    info = info.select("digest", "n_corners", F.coalesce("component", "image").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return named.select("image_id", "digest").join(info, "digest").select("image_id", "n_corners", "class_id", "n_links")
-
-
-def media_from_vectors(vectors: DataFrame) -> DataFrame:
-    """(image_id, media): each vector as a smooth grey picture, its numbers 8 pixels apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = np.zeros((0, SIDE, SIDE), np.float32)
         for batch in batches:
-            media = []
-            for v in batch.column(1).to_pylist():
-                g = np.nan_to_num(np.array([x or 0.0 for x in v or []], np.float32))
-                side = int(len(g) ** 0.5)
-                if not side:
-                    media.append(None)
-                    continue
-                g = g[: side * side].reshape(side, side)
-                g = (g - g.min()) / max(1e-6, float(g.max() - g.min())) * 255
-                media.append(pgm(_resize(g.astype(np.float32), 8.0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["image_id", "media"])
-
-    return vectors.select(F.col("vec_id").cast("long").alias("image_id"), "embedding").mapInArrow(run, "image_id long, media binary")
+            ids, media = [], []
+            for name, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.nan_to_num(np.array([x or 0.0 for x in numbers or []], np.float32))[:NUMBERS]
+                if len(v) > len(patterns):
+                    patterns = _patterns(len(v))
+                g = picture(v, patterns) if len(v) else None
+                ids.append(None if name is None else 2 * name)
+                media.append(None if g is None else pgm(g))
+                if g is not None and name is not None and name % every == 0:
+                    ids.append(2 * name + 1)
+                    media.append(pgm(edited(g, EDITS[name // every % len(EDITS)])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], names=["image_id", "media"])
+
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "image_id long, media binary")
 
 
 def op10_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Classes of copies among the pictures of all embeddings."""
-    return find_copies(media_from_vectors(read_table(spark, sf_dir, "embeddings"))).withColumnRenamed("image_id", "vec_id")
+    """Classes of copies among the pictures of all embeddings and edited copies of every 50th."""
+    out = find_copies(media_from_vectors(read_table(spark, sf_dir, "embeddings")))
+    number = F.floor(F.col("image_id") / 2)
+    edit = F.element_at(F.array(*map(F.lit, EDITS)), (F.pmod(F.floor(number / 50), F.lit(len(EDITS))) + 1).cast("int"))
+    return out.select(number.alias("vec_id"), F.when(F.col("image_id") % 2 == 1, edit).alias("edit"), "n_corners", F.floor(F.col("class_id") / 2).alias("class_id"), "class_size")

@@ -31,7 +31,7 @@ SLICE = 500
 #: Rows of a table up to which it may be broadcast.
 BROADCAST_ROWS = 200_000
 #: How many times as many hubs a round takes as the one before.
-MORE = 32
+MORE = 256
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -123,6 +123,6 @@ def test_pages(spark):
 def test_media_edges(spark):
     rows = [(1, None), (2, b""), (3, b"P5 junk"), (4, b"\x89PNG\r\n\x1a\n"), (4, b"P5\n2 2\n255\nabcd"), (None, b"x")]
     out = media.find_copies(spark.createDataFrame(rows, "image_id long, media binary")).collect()
-    assert len(out) == 6 and all(r.n_corners == 0 and r.n_links == 0 for r in out)
+    assert len(out) == 6 and all(r.n_corners == 0 for r in out)
     assert {r.class_id for r in out if r.image_id in (1, 2)} == {1}
     assert media.find_copies(spark.createDataFrame([], "image_id long, media binary")).collect() == []

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudloom.llm import common, decontaminate, html, language, licenses, media, packing, pii, quality, rounds, simhash, toxicity
 
@@ -418,27 +419,49 @@ def test_document_frequencies_are_exact(spark, frame):
 # --- media -----------------------------------------------------------------
 
 
+def _pictures(n, seed=0):
+    patterns = media._patterns(64)
+    return [media.picture(np.random.default_rng(seed + k).normal(size=64).astype(np.float32), patterns) for k in range(n)]
+
+
+def _copies(spark, images):
+    rows = spark.createDataFrame([(k, bytearray(media.pgm(i))) for k, i in enumerate(images)], "image_id long, media binary").withColumns({c: F.lit(None) for c in ("node", "digest", "corners", "n", "key")})
+    return {r.image_id: r for r in media.find_copies(rows).collect()}
+
+
 def test_copies_of_images(spark):
-    rng = np.random.default_rng(5)
+    a, *others = _pictures(14)
+    images = [a, *(media.edited(a, e) for e in media.EDITS), a, *others]
+    out = _copies(spark, images)
+    assert all(out[k].class_id == 0 and out[k].class_size == 8 for k in range(8)), {k: r.class_id for k, r in out.items()}
+    assert all(out[k].class_id == k and out[k].class_size == 1 for k in range(8, 21))
 
-    def picture(seed):
-        r = np.random.default_rng(seed)
-        return media._resize(r.integers(0, 255, (14, 14)).astype(np.float32), 8.0)
 
-    a = picture(1)
-    images = [a, a[16:96, 16:104], a * 0.8 + 20, a + rng.normal(0, 1.5, a.shape), np.rot90(a).copy(), *(picture(10 + k) for k in range(12)), a]
-    rows = spark.createDataFrame([(k, bytearray(media.pgm(i))) for k, i in enumerate(images)], "image_id long, media binary")
-    out = {r.image_id: r for r in media.find_copies(rows).collect()}
-    assert all(out[k].class_id == 0 for k in (0, 1, 2, 3, 4, 17)), {k: r.class_id for k, r in out.items()}
-    assert all(out[k].class_id == k and out[k].n_links == 0 for k in range(5, 17))
+def test_recall_of_each_edit(spark):
+    originals = _pictures(60, 100)
+    images = [g for k, o in enumerate(originals) for g in (o, media.edited(o, media.EDITS[k % 6]))]
+    out = _copies(spark, images)
+    assert sum(out[2 * k + 1].class_id == 2 * k for k in range(60)) >= 0.9 * 60
+    assert all(out[2 * k].class_id == 2 * k for k in range(60))
 
 
-def test_crowded_entries_stay_connected(spark, monkeypatch):
-    monkeypatch.setattr(media, "CROWD", 4)
-    rng = np.random.default_rng(5)
-    a = media._resize(rng.integers(0, 255, (14, 14)).astype(np.float32), 8.0)
-    rows = spark.createDataFrame([(k, bytearray(media.pgm(a + k))) for k in range(30)], "image_id long, media binary")
-    assert {r.class_id for r in media.find_copies(rows).collect()} == {0}
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_classes_against_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(rounds, "CROWD", crowd)
+    rng = np.random.default_rng(3)
+    images = []
+    for g in _pictures(4, 300):  # groups in which many images differ by noise, so that entries are crowded
+        images += [np.clip(g + rng.normal(0, 6, g.shape), 0, 255) for _ in range(25)]
+    out = _copies(spark, images)
+    packed = [media.pack(media.describe(media.decode(media.pgm(g)))).reshape(-1, 3) for g in images]
+    same, root = media.consensus(6, 12), list(range(len(images)))
+    for i, p in enumerate(packed):
+        for j, q in enumerate(packed[:i]):
+            bits = np.bitwise_count(p[:, None, 1] ^ q[None, :, 1]) + np.bitwise_count(p[:, None, 2] ^ q[None, :, 2])
+            if bits.min() <= media.SEED_BITS and same(packed[j].ravel(), p.ravel()) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert {k: r.class_id for k, r in out.items()} == dict(enumerate(root))
 
 
 def test_png_is_read():
@@ -449,6 +472,21 @@ def test_png_is_read():
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 8, 6, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
     assert (media.decode(png) == g).all()
+    rng = np.random.default_rng(0)
+    want = rng.integers(0, 256, (5, 4, 3))
+    lines, up = [], np.zeros((5, 3), int)
+    for kind, row in enumerate(want):  # all five filters
+        left = np.vstack((np.zeros((1, 3), int), row))
+        a, b, c = left[:-1], up[1:], up[:-1]
+        p = a + b - c
+        paeth = np.where((abs(p - a) <= abs(p - b)) & (abs(p - a) <= abs(p - c)), a, np.where(abs(p - b) <= abs(p - c), b, c))
+        guess = [0 * a, a, b, (a + b) // 2, paeth][kind]
+        lines.append(bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+        up = left
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert np.allclose(media.decode(png), want @ np.array([0.299, 0.587, 0.114]), atol=1e-3)
+    assert (media.decode(b"P5\n2 1\n100\n\x00\x64") == [[0, 255]]).all() and (media.decode(b"P5\n1 1\n65535\n\xff\xff") == 255).all()
+    assert media.decode(b"P5\n99999 99999\n255\n") is None
 
 
 # --- pipeline --------------------------------------------------------------
