@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 
 from cloudloom.operators import kernels as K
@@ -517,10 +519,14 @@ class Event:
         self.counts["intersections"] = int((before != self.labels).sum())
 
     def _crossings(self, models: dict) -> list[tuple[int, int, np.ndarray, float]]:
-        """(a, b, middle, half length) of tracks that cross away from their ends; at most 256 pairs a cell."""
+        """(a, b, middle, half length) of tracks that cross away from their ends.
+
+        Of the crossings of a cell the first 256 by label are taken, as published; what is left out
+        is counted.
+        """
         out = []
         names = sorted(models)
-        for a, b in [(a, b) for x, a in enumerate(names) for b in names[x + 1 :]][:256]:
+        for a, b in combinations(names, 2):
             la, lb = models[a].line, models[b].line
             turn = float(np.degrees(np.arccos(min(1.0, abs(la.d @ lb.d)))))
             gap, mid = K.segment_gap(*la.ends(), *lb.ends())
@@ -529,6 +535,9 @@ class Event:
             at = [float(ln.project(mid[None])[0][0]) for ln in (la, lb)]
             if any(min(t - ln.t.min(), ln.t.max() - t) < 6 for t, ln in zip(at, (la, lb), strict=True)):
                 continue
+            if len(out) == 256:
+                self.counts["crossings left out"] = self.counts.get("crossings left out", 0) + 1
+                continue
             half = float(np.clip((models[a].radius + models[b].radius) / np.sin(np.radians(turn)), 3, 10))
             out.append((a, b, mid, half))
             for k, t in zip((a, b), at, strict=True):
