@@ -203,7 +203,7 @@ def table_rows(found: DataFrame) -> DataFrame:
     each = each.select("node", F.col("corners")[k + 1].alias("low"), F.col("corners")[k + 2].alias("high"))
     quarter = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(0xFFFFFFFF))
     keys = [F.struct(F.lit(part).alias("part"), quarter(c, shift).alias("key")) for part, (c, shift) in enumerate((c, shift) for c in ("low", "high") for shift in (0, 32))]
-    return each.select(F.explode(F.array(*keys)).alias("q"), "node", "low", "high").select("q.part", "q.key", "node", F.lit(False).alias("probe"), "low", "high").distinct()
+    return each.select(F.explode(F.array(*keys)).alias("q"), "node", "low", "high").select("q.part", "q.key", "node", F.lit(False).alias("probe"), "low", "high")
 
 
 def consensus(min_agree: int, max_bits: int) -> Callable[[np.ndarray, np.ndarray], bool]:

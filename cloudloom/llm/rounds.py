@@ -5,11 +5,12 @@ Candidates are verified by bringing one node's payload to the other's.  Links on
 connect: a pair is spared if and only if its nodes are connected already, so the classes are
 those of all verified pairs.
 
-Keys of at most ``CROWD`` nodes give their pairs at once; each node is tried with one partner
-first and with the others where that left them apart.  In a crowded key a few hubs are held
-against all its other nodes, then leave it; the next hubs are taken from what stands outside the
-key's largest class, more in each round, until every key is one class.  So a group of copies
-costs its size, and what is no copy is compared in full.
+Keys of at most ``CROWD`` nodes give their candidate pairs at once.  In a crowded key a few hubs
+are held against all its other nodes, then leave it; the next hubs are taken from what stands
+outside the key's largest class, more in each round, until every key is one class.  Of the
+candidates each class has one pair verified first, then more in each round, until those left
+stand inside one class.  So a group of copies costs its size, and what is no copy is compared in
+full.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ CROWD = 64
 SLICE = 500
 #: Rows of a table up to which it may be broadcast.
 BROADCAST_ROWS = 200_000
-#: How many times as many hubs a round takes as the one before.
-MORE = 256
+#: How many times as many hubs, and pairs of a class, a round takes as the one before.
+MORE = 64
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def link_rounds(
     cols = [c for c in index.columns if c not in on]
     if sparse:
         ends = index.groupBy(*on).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(*on)
-        index = checkpoint(index.join(small(checkpoint(ends)), on, "left_semi"))
+        index = checkpoint(index.join(small(checkpoint(ends)), on, "left_semi").distinct())
     crowded = checkpoint(index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(*on))
     n_crowded = crowded.count()
     few = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
@@ -95,25 +96,39 @@ def link_rounds(
     near = close(named("a"), named("b")) & (F.col("node_a") != F.col("node_b"))
     met = side(thin.where("not probe"), "a").join(side(thin, "b"), on).where(near & (F.col("probe_b") | (F.col("node_a") < F.col("node_b"))))
     pairs = checkpoint(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = checkpoint(delivered(first, load, same))
-
-    def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
-        comps = connected_components(edges).select(F.col("node").alias(node), F.col("component").alias(root))
-        return df.join(comps, node, "left").withColumn(root, F.coalesce(root, node))
-
-    apart = rooted(rooted(pairs, "a", "root_a"), "b", "root_b").where("root_a <> root_b").select("a", "b")
-    apart = checkpoint(apart.join(first, ["a", "b"], "left_anti"))
-    if not apart.isEmpty():
-        edges = checkpoint(edges.unionByName(delivered(apart, load, same)))
+    edges = pairs.limit(0)
+
+    def rooted(df: DataFrame, *nodes: str) -> DataFrame:
+        comps = connected_components(edges)
+        for node in nodes:
+            df = df.join(comps.select(F.col("node").alias(node), F.col("component").alias(f"root_{node}")), node, "left").withColumn(f"root_{node}", F.coalesce(f"root_{node}", node))
+        return df
+
+    def settle(left: DataFrame) -> DataFrame:
+        """All links so far and those among the pairs ``left``, but for pairs that they connect already."""
+        nonlocal edges
+        most = 1
+        while True:
+            rows = rooted(left, "a", "b").where("root_a <> root_b").withColumn("class", F.greatest("root_a", "root_b"))
+            rows = checkpoint(rows.select("a", "b", "class", F.xxhash64("a", "b").alias("mark")))
+            if rows.isEmpty():
+                return edges
+            if most == 1:
+                chosen = rows.groupBy("class").agg(F.min(F.struct("mark", "a", "b")).alias("best")).select("best.a", "best.b")
+            else:
+                sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+                chosen = rows.join(sizes, "class").where(F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)).select("a", "b")
+            chosen = checkpoint(chosen)
+            edges = checkpoint(edges.unionByName(delivered(chosen, load, same)))
+            left, most = rows.select("a", "b").join(chosen, ["a", "b"], "left_anti"), most * MORE
+
+    settle(pairs)
     if not n_crowded:
         return edges
-
-    ordered = lambda df: df.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-    tried = checkpoint(ordered(first.unionByName(apart)))
+    tried = pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
     left, hubs = index.join(few, on, "left_semi"), 1
     while True:
-        rows = rooted(left, "node", "root")
+        rows = rooted(left, "node").withColumnRenamed("root_node", "root")
         classes = rows.groupBy(*on, "root").agg(F.count(F.lit(1)).alias("n"))
         largest = classes.groupBy(*on).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
         outside = F.col("root") != F.col("top.root")
@@ -129,9 +144,9 @@ def link_rounds(
         rows = checkpoint(rows.select(*on, *cols, "root", "chosen"))
         apart = (F.col("root_a") != F.col("root_b")) & ~(F.col("probe_a") & F.col("probe_b")) & (~F.col("chosen_b") | (F.col("node_a") < F.col("node_b")))
         met = side(rows.where("chosen"), "a", "root").join(side(rows, "b", "root", "chosen"), on).where(near & apart)
-        new = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        new = checkpoint(new.join(tried, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti"))
+        new = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        new = checkpoint(new.join(tried, (F.col("a") == F.col("lo")) & (F.col("b") == F.col("hi")), "left_anti"))
         if not new.isEmpty():
-            tried = checkpoint(tried.unionByName(ordered(new)))
-            edges = checkpoint(edges.unionByName(delivered(new, load, same)))
+            tried = tried.unionByName(new.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
+            settle(new)
         left, hubs = rows.where("not chosen").select(*on, *cols), hubs * MORE
