@@ -8,8 +8,9 @@ footers, sidebars, notices, adverts, forms, scripts, styles, comments), which ar
 role, class or id.  Nothing else inside the container is dropped or cut.
 
 Defined results: a null, empty or markup-free page gives its bare text or none; broken markup
-(unclosed or stray tags, quotes left open) never fails; repeated rows are rows of their own; an
-empty table gives no rows; other columns are ignored.
+(unclosed or stray tags, quotes left open) never fails; very long pages are read whole; of
+containers with equal points the first in the page is taken; repeated rows are rows of their own;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from cloudloom.llm.common import read_table
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = frozenset("script style noscript template textarea title iframe svg math select object".split())
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul br hr".split()
@@ -36,6 +37,8 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert banner newsletter subscribe signup popup modal overlay share sharing social related recommended masthead topbar toolbar skip".split()
 )
+#: Words that say nothing about what a class named by them holds.
+FILLER_WORDS = frozenset("area bar block bottom box button buttons center col column container content group holder home icon icons inline inner item items left line link links list main outer page panel right row section site slot small top unit widget wrap wrapper x".split())
 WEAK_WORDS = frozenset("header widget meta tools tags byline".split())
 KEEP_WORDS = frozenset("article content main body post entry text story".split())
 #: An open element on the left ends where one on the right begins.
@@ -56,21 +59,28 @@ class Node:
         self.chars = self.link_chars = self.own = self.commas = 0
 
 
-def _dropped(tag: str, attrs: str) -> bool:
-    if tag in DROP_TAGS:
+def _dropped(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is never the article; ``inside``: it stands in one, whose header is its own.
+
+    A class or id tells so only if all its words do: ``related-links`` goes, ``related-work`` stays.
+    """
+    if tag in DROP_TAGS and not (tag == "header" and inside):
         return True
     if not attrs or attrs.isspace():
         return False
-    words: set[str] = set()
+    words, drop = set(), False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "role" and value in DROP_ROLES:
             return True
         if name in ("class", "id"):
-            words.update(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", (m[2] or "")).lower()))
-    if tag in ("html", "body", "main"):
+            for token in (m[2] or "").strip("\"'").split():
+                own = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+                drop = drop or bool(own & DROP_WORDS) and own <= DROP_WORDS | FILLER_WORDS
+                words |= own
+    if tag in ("html", "body", "main", "article"):
         return False
-    return bool(words & DROP_WORDS) or bool(words & WEAK_WORDS) and not words & KEEP_WORDS
+    return drop or not inside and bool(words & WEAK_WORDS) and not words & KEEP_WORDS
 
 
 def parse(page: str) -> Node:
@@ -129,7 +139,7 @@ def parse(page: str) -> Node:
                 if stack[k].tag in SCOPE:
                     break
         order += 1
-        node = Node(tag, stack[-1], stack[-1].drop or _dropped(tag, attrs), order)
+        node = Node(tag, stack[-1], stack[-1].drop or _dropped(tag, attrs, any(n.tag == "article" for n in stack)), order)
         stack[-1].kids.append(node)
         if not attrs.endswith("/"):
             stack.append(node)
