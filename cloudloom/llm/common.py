@@ -91,7 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(text, y) of at most ``per_class`` labelled documents of each class, and all class counts.
 
     Chosen are the doc_ids least in hash order, so the sample does not depend on partitions; a
-    doc_id with several rows or labels gives one row.
+    doc_id with several texts or labels gives one row, the least text and the greatest label.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.withColumn("h", F.xxhash64("doc_id", F.lit(7)))
@@ -102,7 +102,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         pick = pick | ((F.col("y") == y) & (F.col("h") <= F.lit(edge)))
     chosen = known.where(pick).select("doc_id", "y")  # at most 2 * per_class rows
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return rows.dropDuplicates(["doc_id"]).select("text", "y"), sizes
+    # The least text of a doc_id that has several, so that every run learns from the same rows.
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), sizes
 
 
 def slices(column: pa.Array, most_chars: int) -> Iterator[list[str]]:

@@ -9,7 +9,8 @@ the hash instead, window by window.  Spans or documents can then be removed.
 
 Defined results: a null text has no words; an item without words has no window; repeated rows
 are rows of their own; an item_id that is null marks hits but is not listed; an empty benchmark
-hits nothing; other columns are ignored (or kept, by ``remove_contaminated``).
+hits nothing; very long texts are read whole; several items with one window are all listed; other
+columns are ignored (or kept as they are, whatever their names, by ``remove_contaminated``).
 """
 
 from __future__ import annotations
@@ -114,14 +115,17 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, width: int = 10, drop
     A document of whose words at least ``drop_share`` are hit goes; from others the hit words go
     (what stood between them stays).  Documents without a hit keep their text as it is.
     """
-    hit = pinned(with_hits(docs, benchmark_windows(bench, width), set_limit), "_at", hit_words(F.col("_hits")))
+    # The rows travel as one struct, so that no column of theirs meets one made here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_kept"), docs["text"].alias("text"))
+    hit = pinned(with_hits(rows, benchmark_windows(bench, width), set_limit), "_at", hit_words(F.col("_hits")))
     hit = hit.where((F.size("_at") == 0) | (F.size("_at") < F.size("_words") * drop_share))
     words, gaps = F.regexp_extract_all("text", F.lit(CASED_WORD), F.lit(0)), F.split("text", CASED_WORD, -1)
     cut = pinned(pinned(hit, "_w", F.when(F.size("_at") > 0, words)), "_g", F.when(F.size("_at") > 0, gaps))
     # Spared words, each with the gap after it, from the first gap on.
     spared = F.array_except(F.sequence(F.lit(0), F.size("_w") - 1), "_at")
     kept = F.array_join(F.transform(spared, lambda i: F.concat(F.col("_w")[i], F.col("_g")[i + 1])), "")
-    return cut.withColumn("text", F.when(F.size("_at") > 0, F.concat(F.col("_g")[0], kept)).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("_at") > 0, F.concat(F.col("_g")[0], kept)).otherwise(F.col("text"))
+    return cut.select(*[text.alias(c) if c == "text" else F.col("_kept")[c].alias(c) for c in docs.columns])
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -3,15 +3,16 @@
 The script of a word leaves only the languages seen in that script; among them each word is
 scored by hashed letter n-grams (with word ends, and the whole word).  A Viterbi pass with a
 penalty for each switch labels the words of a text, so that mixed texts fall into spans, and the
-language with the most letters is the text's.  The pass starts anew every ``RESTART`` words,
-which bounds its memory; every word of a text is labelled.
+language with the most letters is the text's.  The pass runs through the whole text, however long:
+its memory is about ten bytes for each word and language of the longest text of a task.
 
 The model holds every language of the table, each counted on a bounded sample of its rows
 (``sample_rows`` a language, those least in hash order), whole texts, in cells of fixed number.
 
 Defined results: a null text or one without letters is ``und`` with score 0; a word in a script
 that no learned language uses counts for none; with nothing to learn from all is ``und``;
-repeated rows are rows of their own; an empty table gives no rows.
+of languages with equally many letters the first by name is taken; repeated rows are rows of their
+own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from cloudloom.llm.common import fold, read_table, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 CELLS = 1 << 16
-RESTART = 8192
 CACHE = 300_000
 #: First code points of script ranges, and the scripts.
 RANGES = [
@@ -87,7 +87,7 @@ class Model:
         self.langs = langs
         p = (counts + 0.5) / (counts.sum(0, keepdims=True) + 0.5 * CELLS)
         logs = np.log(p)
-        self.logs = (logs - logs.mean(1, keepdims=True)).astype(np.float32)
+        self.logs = (logs - logs.sum(1, keepdims=True) / max(1, len(langs))).astype(np.float32)
         self.allowed = in_script / np.maximum(in_script.sum(0, keepdims=True), 1) >= 0.001
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ class Reader:
         labels = np.full(len(flat), -1)
         counted = [int(g) for g in np.add.reduceat(np.concatenate((good, [False])), np.cumsum([0, *map(len, ids)])[:-1])] if len(flat) else []
         counted = [c if len(i) else 0 for c, i in zip(counted, ids, strict=True)] if counted else []
-        lengths = [min(RESTART, c - k) for c in counted for k in range(0, c, RESTART)]
+        lengths = [c for c in counted if c]
         if lengths:
             labels[good] = viterbi(self.table[flat[good]], np.array(lengths), self.penalty)
         letters = np.where(good, self.letters[flat], 0)

@@ -9,8 +9,10 @@ with as many documents a sequence as fit.  The resulting slot table is bounded b
 lengths too, so it is broadcast; every piece finds its slot from its rank among the pieces of
 its length.
 
-Defined results: a null or empty text is the single end id; rows that repeat are packed as
-often as they occur; an empty table gives no rows; columns other than the id and the text are
+Defined results: a null or empty text is the single end id; very long texts are cut into as many
+pieces as they need; rows that repeat are packed as often as they occur, in any order among
+themselves; pieces of one length go in order of doc_id, piece, start and checksum; an empty table
+gives no rows; columns other than the id and the text are
 ignored, so clashing names do no harm.
 """
 
@@ -114,8 +116,11 @@ def tokenize_pieces(
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
-def enumerate_patterns(lengths: np.ndarray, max_tokens: int, max_patterns: int = 400_000) -> np.ndarray:
-    """Patterns of one to three of ``lengths`` that fill a sequence, as rows a >= b >= c (0: unused)."""
+def enumerate_patterns(lengths: np.ndarray, max_tokens: int) -> np.ndarray:
+    """All patterns of one to three of ``lengths`` that fill a sequence, as rows a >= b >= c (0: unused).
+
+    There are about max_tokens ** 2 / 12 of them at most, however large the input.
+    """
     have = np.zeros(max_tokens + 1, dtype=bool)
     have[lengths] = True
     desc = np.sort(lengths)[::-1]
@@ -123,16 +128,12 @@ def enumerate_patterns(lengths: np.ndarray, max_tokens: int, max_patterns: int =
     a = desc[(desc < max_tokens) & (2 * desc >= max_tokens)]
     pairs = np.stack([a, max_tokens - a, 0 * a], 1)
     out.append(pairs[have[pairs[:, 1]]])
-    total = sum(map(len, out))
     for a in desc[(3 * desc >= max_tokens) & (desc < max_tokens)]:
         rest = max_tokens - a
         b = desc[(desc <= a) & (2 * desc >= rest) & (desc < rest)]
         c = rest - b
         keep = have[c] & (c >= 1)
-        if total + keep.sum() > max_patterns:
-            break
         out.append(np.stack([np.full(keep.sum(), a), b[keep], c[keep]], 1))
-        total += int(keep.sum())
     return np.concatenate(out).astype(np.int64).reshape(-1, 3)
 
 
@@ -271,7 +272,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 1024) -> DataFrame:
     sizes = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start")
+    within = Window.partitionBy("length", "_bucket").orderBy(*[c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns])
     ranked = dealt.withColumn("_row", F.row_number().over(within)).join(first, ["length", "_bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("_first") + F.col("_row") - 1).cast("long").alias("_rank"))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"

@@ -11,8 +11,9 @@ it is removed where it discloses all, else generalised.
 Document frequencies are exact, of every term; counts are aggregated map-side; terms too frequent
 to tell any value never meet one; a copied context counts once.
 
-Defined results: a null or empty text has no spans; repeated rows are rows of their own; an
-empty table gives no rows; other columns are ignored (or kept, by ``sanitise``).
+Defined results: a null or empty text has no spans; very long texts are read whole; spans of equal
+start are in the order of kinds; repeated rows are rows of their own; an empty table gives no
+rows; other columns are ignored (or kept, by ``sanitise``).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import checkpoint, read_table
+from cloudloom.llm.common import checkpoint, fresh, read_table
 
 #: Kinds in the order of ties, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -202,16 +203,16 @@ def disclosures(docs: DataFrame, threshold: float = 0.95, support: int = 3) -> D
 
 
 def _with_telling(docs: DataFrame, threshold: float, support: int) -> tuple[DataFrame, Callable[[pa.Scalar], dict[str, float]]]:
-    """``docs`` with a last column ``_told``, and what reads the telling terms (term: share) of a row from it.
+    """``docs`` with one more, last column, and what reads the telling terms (term: share) of a row from it.
 
     They are broadcast up to ``BROADCAST_ROWS``; beyond, each row is joined with its own, for
     which ``docs`` must give the same rows in the same partitions when read again (a table does).
     """
     told = checkpoint(disclosures(docs, threshold, support).groupBy("term").agg(F.max("share").alias("share")))
-    names = docs.columns
+    names, (telling, at) = docs.columns, fresh(docs, "_told", "_at")
     if told.count() <= BROADCAST_ROWS:
         shared = docs.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in told.collect()})
-        return docs.select(*names, F.array().cast(TOLD).alias("_told")), lambda own: shared.value
+        return docs.select(*names, F.array().cast(TOLD).alias(telling)), lambda own: shared.value
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,8 +221,8 @@ def _with_telling(docs: DataFrame, threshold: float, support: int) -> tuple[Data
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(own), pa.int64()), pa.array(own, pa.string())], names=["_row", "term"])
 
     own = _numbered(docs).mapInArrow(words, "_row long, term string").join(told, "term").groupBy("_row").agg(F.collect_list(F.struct("term", "share")).alias("_told"))
-    rows = docs.withColumn("_at", F.monotonically_increasing_id()).join(own.withColumnRenamed("_row", "_at"), "_at", "left")
-    return rows.select(*[rows[c] for c in names], "_told"), lambda own: {x["term"]: x["share"] for x in own.as_py() or []}
+    rows = docs.withColumn(at, F.monotonically_increasing_id()).join(own.select(F.col("_row").alias(at), F.col("_told").alias(telling)), at, "left")
+    return rows.select(*names, telling), lambda own: {x["term"]: x["share"] for x in own.as_py() or []}
 
 
 def find_personal_data(docs: DataFrame, threshold: float = 0.95, support: int = 3) -> DataFrame:

@@ -8,8 +8,9 @@ probability; its temperature is calibrated on a part of the sample that it was n
 its offset corrects the sample's class balance.
 
 Defined results: a null or empty text is pooled to zeros and scored like any other; with labels
-of one class or none the score is that class's share (a half without any); repeated rows are rows
-of their own; an empty table gives no rows.
+of one class or none the score is that class's share (a half without any); very long texts are
+pooled whole; repeated rows are rows of their own; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ import pytest
 from .conftest import EDGES
 from pyspark.sql import functions as F
 
-from cloudloom.llm import decontaminate, html, language, licenses, media, packing, pii, quality, simhash, toxicity
+from cloudloom.llm import common, decontaminate, html, language, licenses, media, packing, pii, quality, simhash, toxicity
 
 SENTENCE = {"en": "the of and to is that it for was with house people", "de": "der die und das ist nicht mit auf haus leute"}
 
@@ -79,10 +79,24 @@ def test_edges(spark, frame, op):
     assert op(spark, frame([])).collect() == []
 
 
-def test_stages_keep_columns(spark, frame):
-    docs = frame(EDGES)
+CLASH = ("_row", "_text", "_words", "_hits", "_at", "_w", "_g", "_told", "_kept", "node", "root", "fp", "pos")
+
+
+def test_stages_keep_columns_and_their_values(spark, frame):
+    docs = frame(EDGES, extra=False).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id"), F.lit(0))) for c in CLASH})
+    docs = simhash.checkpoint(docs)
     for op in (op_keep, op_remove, op_sanitise, op_clean):
-        assert op(spark, docs).columns == docs.columns
+        out = op(spark, docs)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c}{r.doc_id or 0}" for c in CLASH), (op.__name__, r.doc_id)
+
+
+def test_a_repeated_doc_id_teaches_one_text(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    rows, sizes = common.labelled_sample(docs, labels, "toxic", 10)
+    assert sorted(map(tuple, rows.collect())) == [("", 1), ("c", 0)] and sizes == {1: 1, 0: 1}
 
 
 def test_defined_results(spark, frame):

@@ -90,6 +90,15 @@ def test_main_text_of_a_page():
     assert html.main_text(PAGE)[0] == "Title & more First, long paragraph, with commas, and boldtext. Next line Second."
 
 
+@pytest.mark.parametrize(
+    "part", ["<header><h1>inner title</h1></header>", "<p>let <math><mi>inner</mi></math> be</p>", '<section class="related-work"><p>inner work</p></section>', "<p>one of <select><option>inner</select></p>", '<div id="share-of-voice"><p>inner share</p></div>']
+)
+def test_parts_of_the_article_stay(part):
+    page = f"<html><head><title>T</title></head><body><header>Site</header><article><p>{'Some long text, with commas, and more. ' * 4}</p>{part}<div class='share-buttons social'>Tweet</div><div class='related-links'>See also</div></article><footer>f</footer></body></html>"
+    text = html.main_text(page)[0]
+    assert "inner" in text and not any(x in text for x in ("Site", "Tweet", "See also")) and text.startswith("Some long")
+
+
 def test_container_without_semantic_tags():
     page = "<div id=a><a href=1>one</a><a href=2>two</a></div><div id=b><p>" + "Real text, with commas, and words. " * 5 + "</p><p>" + "More text, with commas, too. " * 5 + "</p></div><div id=c><a href=3>See also, these, many, links, here</a></div>"
     text = html.main_text(page)[0]
@@ -183,6 +192,15 @@ def test_viterbi_against_all_paths():
     scores = rng.normal(0, 2, (7, 3)).astype(np.float32)
     best = max(product(range(3), repeat=7), key=lambda p: sum(scores[k, s] for k, s in enumerate(p)) - 1.5 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
     assert language.viterbi(scores, np.array([7]), 1.5).tolist() == list(best)
+    long = rng.normal(0, 1, (20_000, 3)).astype(np.float32)  # the path through a long text is one path
+    state, back = np.zeros(3), []
+    for s in long.astype(float):
+        back.append([int(np.argmax(state - 2.0 * (np.arange(3) != k))) for k in range(3)])
+        state = np.array([state[b] - 2.0 * (b != k) for k, b in enumerate(back[-1])]) + s
+    path = [int(state.argmax())]
+    for b in reversed(back[1:]):
+        path.append(b[path[-1]])
+    assert np.mean(language.viterbi(long, np.array([20_000]), 2.0) == path[::-1]) > 0.999  # float32 sums may tie
     both = language.viterbi(np.concatenate((scores[:3], scores)), np.array([3, 7]), 1.5)
     assert both[3:].tolist() == list(best)
 
