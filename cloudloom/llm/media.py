@@ -252,7 +252,7 @@ def find_copies(images: DataFrame, min_agree: int = 6, max_bits: int = 12) -> Da
     found = checkpoint(found.withColumn("node", F.monotonically_increasing_id()))
     close = lambda p, q: F.bit_count(p("low").bitwiseXOR(q("low"))) + F.bit_count(p("high").bitwiseXOR(q("high"))) <= SEED_BITS
     load = lambda names: found.join(names, "node", "left_semi").select("node", F.col("corners").alias("payload"))
-    links = link_rounds(table_rows(found), close, load, consensus(min_agree, max_bits), sparse=True)
+    links = link_rounds(table_rows(found), close, load, consensus(min_agree, max_bits), sparse=True, crowd=1)
     rooted = found.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
     classes = rooted.groupBy("root").agg(F.min("image").alias("class_id"), F.sum("n").alias("class_size"))
     info = rooted.select("digest", (F.size("corners") / 3).cast("long").alias("n_corners"), "root").join(classes, "root").drop("root")

@@ -8,8 +8,8 @@ those of all verified pairs.
 Keys of at most ``CROWD`` nodes give their candidate pairs at once.  In a crowded key a few hubs
 are held against all its other nodes, then leave it; the next hubs are taken from what stands
 outside the key's largest class, more in each round, until every key is one class.  Of the
-candidates each class has one pair verified first, then more in each round, until those left
-stand inside one class.  So a group of copies costs its size, and what is no copy is compared in
+candidates each class has a few verified first, then more in each round, until those left stand
+inside one class.  So a group of copies costs its size, and what is no copy is compared in
 full.
 """
 
@@ -31,6 +31,8 @@ CROWD = 64
 SLICE = 500
 #: Rows of a table up to which it may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Pairs of each class that the first round verifies.
+START = 16
 #: How many times as many hubs, and pairs of a class, a round takes as the one before.
 MORE = 64
 
@@ -70,19 +72,20 @@ def link_rounds(
     load: Callable[[DataFrame], DataFrame],
     same: Callable[[np.ndarray, np.ndarray], bool],
     sparse: bool = False,
+    crowd: int | None = None,
 ) -> DataFrame:
     """(a, b): verified links that connect all nodes of ``index`` that candidate pairs connect.
 
     ``index`` holds (part, key, node, probe) and what ``close`` reads of both sides; two probes
     are no candidates.  It must give the same rows when read again.  ``sparse``: most keys hold
-    one node and are dropped before anything is joined.
+    one node and are dropped before anything is joined.  ``crowd`` stands in for ``CROWD``.
     """
     on = ["part", "key"]
     cols = [c for c in index.columns if c not in on]
     if sparse:
         ends = index.groupBy(*on).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(*on)
         index = checkpoint(index.join(small(checkpoint(ends)), on, "left_semi").distinct())
-    crowded = checkpoint(index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(*on))
+    crowded = checkpoint(index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (CROWD if crowd is None else crowd)).select(*on))
     n_crowded = crowded.count()
     few = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
     thin = index.join(few, on, "left_anti") if n_crowded else index
@@ -96,30 +99,27 @@ def link_rounds(
     near = close(named("a"), named("b")) & (F.col("node_a") != F.col("node_b"))
     met = side(thin.where("not probe"), "a").join(side(thin, "b"), on).where(near & (F.col("probe_b") | (F.col("node_a") < F.col("node_b"))))
     pairs = checkpoint(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
-    edges = pairs.limit(0)
+    edges = checkpoint(pairs.limit(0))
+    comps = connected_components(edges)
 
     def rooted(df: DataFrame, *nodes: str) -> DataFrame:
-        comps = connected_components(edges)
         for node in nodes:
             df = df.join(comps.select(F.col("node").alias(node), F.col("component").alias(f"root_{node}")), node, "left").withColumn(f"root_{node}", F.coalesce(f"root_{node}", node))
         return df
 
     def settle(left: DataFrame) -> DataFrame:
         """All links so far and those among the pairs ``left``, but for pairs that they connect already."""
-        nonlocal edges
-        most = 1
+        nonlocal edges, comps
+        most = START
         while True:
             rows = rooted(left, "a", "b").where("root_a <> root_b").withColumn("class", F.greatest("root_a", "root_b"))
             rows = checkpoint(rows.select("a", "b", "class", F.xxhash64("a", "b").alias("mark")))
             if rows.isEmpty():
                 return edges
-            if most == 1:
-                chosen = rows.groupBy("class").agg(F.min(F.struct("mark", "a", "b")).alias("best")).select("best.a", "best.b")
-            else:
-                sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-                chosen = rows.join(sizes, "class").where(F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)).select("a", "b")
-            chosen = checkpoint(chosen)
+            sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+            chosen = checkpoint(rows.join(sizes, "class").where(F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)).select("a", "b"))
             edges = checkpoint(edges.unionByName(delivered(chosen, load, same)))
+            comps = connected_components(edges)
             left, most = rows.select("a", "b").join(chosen, ["a", "b"], "left_anti"), most * MORE
 
     settle(pairs)
