@@ -28,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import checkpoint, read_table
+from cloudloom.llm.common import read_table
 from cloudloom.llm.rounds import link_rounds
-from cloudloom.operators.graph import connected_components
+from cloudloom.operators.graph import connected_components, stored
 
 SCALES = (1.0, 0.9, 0.8, 0.7)
 RADIUS, TURNS = 8, 32
 #: Differing bits up to which all pairs of descriptors meet in the tables (one less than there are tables).
 SEED_BITS = 3
 MOST_PIXELS = 1 << 26
+#: Corners of one table entry beyond which its pairs are not made at once.
+CROWD = 8
 _rng = np.random.default_rng(17)
 _ENDS = _rng.normal(0, RADIUS / 2, (128, 2, 2))
 #: Both ends of each comparison, inside the disc in every direction.
@@ -197,13 +199,12 @@ def corners(images: DataFrame) -> DataFrame:
 
 
 def table_rows(found: DataFrame) -> DataFrame:
-    """(part, key, node, probe, low, high) for each corner of (node, corners) and each quarter of its bits."""
-    k = F.col("k")
-    each = found.select("node", F.explode(F.sequence(F.lit(0), F.size("corners") - 1, F.lit(3))).alias("k"), "corners").where(F.size("corners") > 0)
-    each = each.select("node", F.col("corners")[k + 1].alias("low"), F.col("corners")[k + 2].alias("high"))
+    """(key, node, probe, low, high) for each different corner of (node, corners) and each quarter of its bits; key tells the quarter too."""
+    corners = F.transform(F.sequence(F.lit(0), F.size("corners") - 1, F.lit(3)), lambda k: F.struct(F.col("corners")[k + 1].alias("low"), F.col("corners")[k + 2].alias("high")))
+    each = found.where(F.size("corners") > 0).select("node", F.inline(F.array_distinct(corners)))
     quarter = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = [F.struct(F.lit(part).alias("part"), quarter(c, shift).alias("key")) for part, (c, shift) in enumerate((c, shift) for c in ("low", "high") for shift in (0, 32))]
-    return each.select(F.explode(F.array(*keys)).alias("q"), "node", "low", "high").select("q.part", "q.key", "node", F.lit(False).alias("probe"), "low", "high")
+    keys = [quarter(c, shift).bitwiseOR(F.lit(part << 32)) for part, (c, shift) in enumerate((c, shift) for c in ("low", "high") for shift in (0, 32))]
+    return each.select(F.explode(F.array(*keys)).alias("key"), "node", F.lit(False).alias("probe"), "low", "high")
 
 
 def consensus(min_agree: int, max_bits: int) -> Callable[[np.ndarray, np.ndarray], bool]:
@@ -247,12 +248,12 @@ def consensus(min_agree: int, max_bits: int) -> Callable[[np.ndarray, np.ndarray
 
 def find_copies(images: DataFrame, min_agree: int = 6, max_bits: int = 12) -> DataFrame:
     """image_id, n_corners, class_id (least image_id reachable) and class_size (rows) of each row (image_id, media)."""
-    named = checkpoint(corners(images))
+    named = stored(corners(images))
     found = named.groupBy("digest").agg(F.min("image_id").alias("image"), F.first("corners").alias("corners"), F.count(F.lit(1)).alias("n"))
-    found = checkpoint(found.withColumn("node", F.monotonically_increasing_id()))
+    found = stored(found.withColumn("node", F.monotonically_increasing_id()))
     close = lambda p, q: F.bit_count(p("low").bitwiseXOR(q("low"))) + F.bit_count(p("high").bitwiseXOR(q("high"))) <= SEED_BITS
     load = lambda names: found.join(names, "node", "left_semi").select("node", F.col("corners").alias("payload"))
-    links = link_rounds(table_rows(found), close, load, consensus(min_agree, max_bits), sparse=True, crowd=1)
+    links = link_rounds(table_rows(found), close, load, consensus(min_agree, max_bits), sparse=True, crowd=CROWD)
     rooted = found.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
     classes = rooted.groupBy("root").agg(F.min("image").alias("class_id"), F.sum("n").alias("class_size"))
     info = rooted.select("digest", (F.size("corners") / 3).cast("long").alias("n_corners"), "root").join(classes, "root").drop("root")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import checkpoint
-from cloudloom.operators.graph import connected_components
+from cloudloom.operators.graph import connected_components, stored
 
 #: Nodes of one key beyond which its pairs are not made at once.
 CROWD = 64
@@ -76,19 +76,24 @@ def link_rounds(
 ) -> DataFrame:
     """(a, b): verified links that connect all nodes of ``index`` that candidate pairs connect.
 
-    ``index`` holds (part, key, node, probe) and what ``close`` reads of both sides; two probes
-    are no candidates.  It must give the same rows when read again.  ``sparse``: most keys hold
-    one node and are dropped before anything is joined.  ``crowd`` stands in for ``CROWD``.
+    ``index`` holds (part, key, node, probe), or all but part, and what ``close`` reads of both
+    sides; two probes are no candidates.  Its rows are distinct and the same when read again.
+    ``sparse``: it has no probes and most of its keys hold one node; those meet nothing and are
+    left out before rows are joined.  ``crowd`` stands in for ``CROWD``.
     """
-    on = ["part", "key"]
+    on = [c for c in ("part", "key") if c in index.columns]
     cols = [c for c in index.columns if c not in on]
+    most = CROWD if crowd is None else crowd
+    keys = index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     if sparse:
-        ends = index.groupBy(*on).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(*on)
-        index = checkpoint(index.join(small(checkpoint(ends)), on, "left_semi").distinct())
-    crowded = checkpoint(index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (CROWD if crowd is None else crowd)).select(*on))
+        keys = stored(keys.where("lo < hi").select(*on, "n"))
+    crowded = checkpoint(keys.where(F.col("n") > most).select(*on))
     n_crowded = crowded.count()
     few = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
-    thin = index.join(few, on, "left_anti") if n_crowded else index
+    if sparse:
+        thin = index.join(small(keys.where(F.col("n") <= most).select(*on)), on, "left_semi")
+    else:
+        thin = index.join(few, on, "left_anti") if n_crowded else index
 
     def side(df: DataFrame, s: str, *more: str) -> DataFrame:
         return df.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in (*cols, *more)])
@@ -100,7 +105,7 @@ def link_rounds(
     met = side(thin.where("not probe"), "a").join(side(thin, "b"), on).where(near & (F.col("probe_b") | (F.col("node_a") < F.col("node_b"))))
     pairs = checkpoint(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     edges = checkpoint(pairs.limit(0))
-    comps = connected_components(edges)
+    comps = small(connected_components(edges))
 
     def rooted(df: DataFrame, *nodes: str) -> DataFrame:
         for node in nodes:
@@ -119,34 +124,35 @@ def link_rounds(
             sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
             chosen = checkpoint(rows.join(sizes, "class").where(F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)).select("a", "b"))
             edges = checkpoint(edges.unionByName(delivered(chosen, load, same)))
-            comps = connected_components(edges)
+            comps = small(connected_components(edges))
             left, most = rows.select("a", "b").join(chosen, ["a", "b"], "left_anti"), most * MORE
 
     settle(pairs)
     if not n_crowded:
         return edges
     tried = pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
-    left, hubs = index.join(few, on, "left_semi"), 1
+    left, hubs = stored(index.join(few, on, "left_semi")), 1
     while True:
         rows = rooted(left, "node").withColumnRenamed("root_node", "root")
         classes = rows.groupBy(*on, "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = classes.groupBy(*on).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        outside = F.col("root") != F.col("top.root")
-        rows = rows.join(largest, on).withColumns({"outside": outside, "n": F.col("all") - F.col("top.n"), "mark": F.xxhash64("node", F.lit(hubs))})
-        rows = checkpoint(rows.select(*on, *cols, "root", "outside", "n", "mark"))
-        if rows.isEmpty():
+        keys = classes.groupBy(*on).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        keys = checkpoint(keys.select(*on, F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("n")))
+        if keys.isEmpty():
             return edges
+        outside, mark = F.col("root") != F.col("top"), F.xxhash64("node", F.lit(hubs))
+        rows = rows.join(small(keys), on)
         if hubs == 1:
-            best = rows.where("outside").groupBy(*on).agg(F.min_by("node", "mark").alias("best"))
-            rows = rows.join(best, on).withColumn("chosen", F.col("node") == F.col("best"))
+            best = checkpoint(rows.where(outside).groupBy(*on).agg(F.min_by("node", mark).alias("best")))
+            rows = rows.join(small(best), on).withColumn("chosen", F.col("node") == F.col("best"))
         else:
-            rows = rows.withColumn("chosen", F.col("outside") & (F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(hubs * (1 << 20))))
-        rows = checkpoint(rows.select(*on, *cols, "root", "chosen"))
+            rows = rows.withColumn("chosen", outside & (F.pmod(mark, F.lit(1 << 20)) * F.col("n") < F.lit(hubs * (1 << 20))))
+        rows = rows.select(*on, *cols, "root", "chosen")
         apart = (F.col("root_a") != F.col("root_b")) & ~(F.col("probe_a") & F.col("probe_b")) & (~F.col("chosen_b") | (F.col("node_a") < F.col("node_b")))
         met = side(rows.where("chosen"), "a", "root").join(side(rows, "b", "root", "chosen"), on).where(near & apart)
         new = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         new = checkpoint(new.join(tried, (F.col("a") == F.col("lo")) & (F.col("b") == F.col("hi")), "left_anti"))
+        rows = stored(rows.where("not chosen").select(*on, *cols))
         if not new.isEmpty():
             tried = tried.unionByName(new.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
             settle(new)
-        left, hubs = rows.where("not chosen").select(*on, *cols), hubs * MORE
+        left, hubs = rows, hubs * MORE
