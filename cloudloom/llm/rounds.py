@@ -105,7 +105,7 @@ def link_rounds(
     met = side(thin.where("not probe"), "a").join(side(thin, "b"), on).where(near & (F.col("probe_b") | (F.col("node_a") < F.col("node_b"))))
     pairs = checkpoint(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
     edges = checkpoint(pairs.limit(0))
-    comps = small(connected_components(edges))
+    comps = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     def rooted(df: DataFrame, *nodes: str) -> DataFrame:
         for node in nodes:
@@ -124,16 +124,16 @@ def link_rounds(
             sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
             chosen = checkpoint(rows.join(sizes, "class").where(F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)).select("a", "b"))
             edges = checkpoint(edges.unionByName(delivered(chosen, load, same)))
-            comps = small(connected_components(edges))
+            comps = small(checkpoint(connected_components(edges)))
             left, most = rows.select("a", "b").join(chosen, ["a", "b"], "left_anti"), most * MORE
 
     settle(pairs)
     if not n_crowded:
         return edges
     tried = pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
-    left, hubs = stored(index.join(few, on, "left_semi")), 1
+    left, hubs = index.join(few, on, "left_semi"), 1
     while True:
-        rows = rooted(left, "node").withColumnRenamed("root_node", "root")
+        rows = stored(rooted(left, "node").withColumnRenamed("root_node", "root"))
         classes = rows.groupBy(*on, "root").agg(F.count(F.lit(1)).alias("n"))
         keys = classes.groupBy(*on).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
         keys = checkpoint(keys.select(*on, F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("n")))
@@ -151,8 +151,7 @@ def link_rounds(
         met = side(rows.where("chosen"), "a", "root").join(side(rows, "b", "root", "chosen"), on).where(near & apart)
         new = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         new = checkpoint(new.join(tried, (F.col("a") == F.col("lo")) & (F.col("b") == F.col("hi")), "left_anti"))
-        rows = stored(rows.where("not chosen").select(*on, *cols))
         if not new.isEmpty():
             tried = tried.unionByName(new.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
             settle(new)
-        left, hubs = rows, hubs * MORE
+        left, hubs = rows.where("not chosen").select(*on, *cols), hubs * MORE
