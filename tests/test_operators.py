@@ -50,7 +50,9 @@ def test_dbscan_and_components(spark, seed):
     assert pairs == {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b}
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("one_task", [-1, graph.ONE_TASK])
+def test_components_of_chains_and_hubs(spark, monkeypatch, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = np.random.default_rng(0)
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (40, 2))] + [(5, 5), (7, 8), (8, 7)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
