@@ -119,12 +119,15 @@ def link_rounds(
         while True:
             rows = rooted(left, "a", "b").where("root_a <> root_b").withColumn("class", F.greatest("root_a", "root_b"))
             rows = checkpoint(rows.select("a", "b", "class", F.xxhash64("a", "b").alias("mark")))
-            if rows.isEmpty():
+            n_rows = rows.count()
+            if n_rows == 0:
                 return edges
             sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
             chosen = checkpoint(rows.join(sizes, "class").where(F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)).select("a", "b"))
             edges = checkpoint(edges.unionByName(delivered(chosen, load, same)))
-            comps = small(checkpoint(connected_components(edges)))
+            comps = small(connected_components(edges))
+            if chosen.count() == n_rows:
+                return edges
             left, most = rows.select("a", "b").join(chosen, ["a", "b"], "left_anti"), most * MORE
 
     settle(pairs)
