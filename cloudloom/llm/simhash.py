@@ -19,8 +19,10 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ BLOCK = 20_000
 BROADCAST_ROWS = 200_000
 #: Differing bits of the word fingerprints of near-duplicates, and of their shingle fingerprints.
 MAX_BITS, NEAR_BITS = 7, 22
+#: Columns of 64 cells each that tell in which an odd number of a text's shingles lies.
+ODD = ("odd0", "odd1", "odd2", "odd3")
 #: Cells of word counts; words that a task remembers.
 CELLS, CACHE = 1 << 18, 200_000
 
@@ -306,6 +310,17 @@ def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
     return int(np.packbits(total > 0, bitorder="little").view("<i8")[0])
 
 
+def odd_cells(hashes: np.ndarray) -> list[int]:
+    """Cells with an odd number of ``hashes``, as signed longs.
+
+    Two sets differ in at least as many members as their cells do, so this never spares a pair
+    of alike sets.
+    """
+    n = 64 * len(ODD)
+    odd = np.bincount(hashes & (n - 1), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def word_weights(docs: DataFrame) -> np.ndarray:
     """Weight of each word cell: the root of the log of how rare its words are among all rows (text)."""
 
@@ -322,28 +337,29 @@ def word_weights(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, weights: np.ndarray, width: int) -> DataFrame:
-    """(_row, doc_id, d1, d2, size, fp, near) of each row (_row, doc_id, text).
+    """(_row, doc_id, d1, d2, size, fp, near, ODD) of each row (_row, doc_id, text).
 
     d1, d2 and size tell the set of shingles; fp is the SimHash of the text's words by weight,
-    near that of its set of shingles.
+    near that of its set of shingles, ODD its odd cells.
     """
+    names = ["d1", "d2", "size", "fp", "near", *ODD]
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            cols: list[list[int]] = [[] for _ in range(5)]
+            cols: list[list[int]] = [[] for _ in names]
             for t in batch.column(2):
                 words = _words(t.as_py())
                 hashes, times = known.counted(words)
                 s = shingles(words, width)
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                row = np.frombuffer(d, "<i8").tolist() + [len(s), _majority(hashes, times * shared.value[_cells(hashes)]), _majority(s)]
+                row = np.frombuffer(d, "<i8").tolist() + [len(s), _majority(hashes, times * shared.value[_cells(hashes)]), _majority(s), *odd_cells(s)]
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["_row", "doc_id", "d1", "d2", "size", "fp", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["_row", "doc_id", *names])
 
-    return docs.mapInArrow(run, "_row long, doc_id long, d1 long, d2 long, size long, fp long, near long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ["_row", "doc_id", *names]))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -369,11 +385,11 @@ def jaccard_at_least(similarity: float) -> Callable[[np.ndarray, np.ndarray], bo
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, max_bits: int) -> DataFrame:
-    """(a, b): links that connect all ``nodes`` (node, fp, near, size) whose texts (_row, text) are that similar.
+    """(a, b): links that connect all ``nodes`` (node, fp, near, size, ODD) whose texts (_row, text) are that similar.
 
     Candidates are nodes whose word fingerprints differ in at most ``max_bits``, found by
-    generalised pigeonhole; sizes and the shingle fingerprints (at most ``NEAR_BITS`` apart) spare
-    hopeless ones, and the sets of shingles decide.
+    generalised pigeonhole; sizes, odd cells and the shingle fingerprints (at most ``NEAR_BITS``
+    apart) spare hopeless ones, and the sets of shingles decide.
     """
     n, both = bit_statistics(nodes)
     if n < 2:
@@ -382,6 +398,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
 
     def close(p, q) -> Column:
         alike = F.least(p("size"), q("size")) >= similarity * F.greatest(p("size"), q("size")) - 1e-6
+        differ = reduce(add, [F.bit_count(p(c).bitwiseXOR(q(c))) for c in ODD])
+        alike &= differ <= (1 - similarity) / (1 + similarity) * (p("size") + q("size")) + 1e-6
         return (F.bit_count(p("fp").bitwiseXOR(q("fp"))) <= max_bits) & alike & (F.bit_count(p("near").bitwiseXOR(q("near"))) <= NEAR_BITS)
 
     load = lambda names: shingle_sets(texts.join(names.select(F.col("node").alias("_row")), "_row", "left_semi"), width)
@@ -404,9 +422,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits:
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     texts = rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = checkpoint(described(texts, word_weights(texts), width))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row", "fp", "near", "size")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row", "fp", "near", "size", *ODD)).alias("first")
     nodes = checkpoint(known.groupBy("d1", "d2").agg(first).select("first.*").withColumnRenamed("_row", "node"))
-    comps = connected_components(similar_links(nodes.select("node", "fp", "near", "size"), texts, width, similarity, max_bits))
+    comps = connected_components(similar_links(nodes.select("node", "fp", "near", "size", *ODD), texts, width, similarity, max_bits))
     roots = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
     stay = roots.groupBy("root").agg(F.min(F.struct("unknown", "doc_id", "node")).alias("first")).select(F.col("first.node").alias(row))
     return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -541,3 +541,15 @@ def test_pipeline_catches_planted_cases(spark, tmp_path):
     if 500 in kept["personal_data"]:
         assert "jo@ex.org" not in kept["personal_data"][500].text
     assert set(kept["best_fit_packing"]) == set(kept["personal_data"])
+
+
+def test_odd_cells_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 40, 400, 3000):
+        for changed in (0, 1, n // 9, n):
+            a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+            b = np.unique(np.concatenate((a[changed:], rng.integers(-(1 << 62), 1 << 62, changed))))
+            cells = sum((x ^ y).bit_count() for x, y in zip(*([c & (1 << 64) - 1 for c in simhash.odd_cells(s)] for s in (a, b)), strict=True))
+            assert cells <= len(np.setxor1d(a, b))
+            if simhash.jaccard_at_least(0.8)(a, b):
+                assert cells <= 0.2 / 1.8 * (len(a) + len(b)) + 1e-6
