@@ -89,7 +89,7 @@ def focus(hits: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """Own, foreign and context hits in the cells that the ``wanted`` labels (keys, label) touch."""
     own = hits.join(wanted, [*keys, "label"], "left_semi")
     cells = own.select(*keys, "tpc").distinct()
-    mark = F.broadcast(wanted.distinct().withColumn("_own", F.lit(True)))
+    mark = wanted.distinct().withColumn("_own", F.lit(True))
     around = hits.join(cells, [*keys, "tpc"], "left_semi").join(mark, [*keys, "label"], "left")
     role = F.when(F.col("_own").isNull(), "context").otherwise("own")
     return around.withColumn("role", role).drop("_own")

@@ -67,7 +67,7 @@ def absorb_into_showers(noise: DataFrame, showers: DataFrame, keys: list[str], l
     sigma = [F.greatest(F.sqrt(F.col(f"l{k}") * grow), F.lit(floor)) * widen for k in (1, 2, 3)]
     m = pinned(second_axis(m), {f"s{k + 1}": s for k, s in enumerate(sigma)})
     cols = ["n", "cx", "cy", "cz", "dx", "dy", "dz", "px", "py", "pz", "s1", "s2", "s3"]
-    met = noise.select(*keys, "hit_id", "x", "y", "z").join(F.broadcast(m.select(*keys, F.col("label").alias("target"), *cols)), keys)
+    met = noise.select(*keys, "hit_id", "x", "y", "z").join(m.select(*keys, F.col("label").alias("target"), *cols), keys)
     r = geom.sub(geom.vec(), geom.vec("c"))
     third = geom.cross(geom.vec("d"), geom.vec("p"))
     score = F.sqrt((geom.dot(r, geom.vec("d")) / F.col("s1")) ** 2 + (geom.dot(r, geom.vec("p")) / F.col("s2")) ** 2 + (geom.dot(r, third) / F.col("s3")) ** 2)
@@ -103,7 +103,7 @@ def select_lines(points: DataFrame, lines: DataFrame, keys: list[str], rss_limit
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "label")
     ranked = lines.withColumn("rank", F.row_number().over(order)).select(*keys, "rank", "cx", "cy", "cz", "dx", "dy", "dz")
     d = geom.line_distance(geom.vec(), geom.vec("c"), geom.vec("d"))
-    met = points.select(*keys, "hit_id", "x", "y", "z").join(F.broadcast(ranked), keys).withColumn("d2", d * d)
+    met = points.select(*keys, "hit_id", "x", "y", "z").join(ranked, keys).withColumn("d2", d * d)
     best = F.min("d2").over(Window.partitionBy(*keys, "hit_id").orderBy("rank"))
     curve = met.withColumn("d2", best).groupBy(*keys, F.col("rank").alias("k")).agg(F.sum("d2").alias("rss"), F.count(F.lit(1)).alias("n"))
     curve = curve.withColumn("bic", F.col("n") * F.log(F.greatest(F.col("rss"), F.lit(1e-12)) / F.col("n")) + 5 * F.col("k") * F.log("n"))

@@ -549,7 +549,7 @@ SELECT id, round(first, 4) AS first, round(last, 4) AS last FROM f""")
 def box_extension(spark: SparkSession, sf: str) -> DataFrame:
     box = audit.bounding_boxes(point_hits(spark, sf), ["ev"])
     first, last = geom.extend_to_box(geom.vec("c"), geom.vec("d"), geom.vec("lo"), geom.vec("hi"))
-    return segments(spark, sf).join(F.broadcast(box), "ev").select("id", F.round(first, 4).alias("first"), F.round(last, 4).alias("last"))
+    return segments(spark, sf).join(box, "ev").select("id", F.round(first, 4).alias("first"), F.round(last, 4).alias("last"))
 
 
 @query("end_anchors", f"""WITH {PT}, {moments_sql('pt', 'ev, label')}, j AS (SELECT ev, label, hit_id, x, y, z, (x - cx) * dx + (y - cy) * dy + (z - cz) * dz AS t FROM pt JOIN mo USING (ev, label)),
