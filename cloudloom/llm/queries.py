@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import decontaminate, html, language, licenses, media, packing, pii, quality, simhash, toxicity
+from cloudloom.llm import decontaminate, html, language, licenses, media, packing, pii, quality, simhash, toxicity, windows
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_personal_data": pii.op9_personal_data,
     "op10_media_columns": media.op10_media_columns,
+    "op12_packing": windows.op12_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
