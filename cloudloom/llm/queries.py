@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cloudloom.llm import decontaminate, html, language, licenses, media, packing, pii, quality, simhash, toxicity, windows
+from cloudloom.llm import decontaminate, html, language, licenses, media, negatives, packing, pii, quality, simhash, toxicity, windows
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_personal_data": pii.op9_personal_data,
     "op10_media_columns": media.op10_media_columns,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_packing": windows.op12_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_benchmark_decontamination": decontaminate.OP5_SQL,
     "op8_license_scans": licenses.OP8_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
 }
