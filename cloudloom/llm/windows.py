@@ -17,9 +17,12 @@ table gives no rows; columns other than the id and the text are ignored, so clas
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +39,12 @@ SLICE_CHARS = 4_000_000
 BROADCAST_PARTITIONS = 1_000_000
 #: Partitions that one task of the first level of prefix sums adds up.
 LEVEL = 1024
-#: The word pattern of the vocabulary file, and its mark of a word's end.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+"
+#: The word pattern of the vocabulary file (letters, numbers and white space as classes), and its mark of a word's end.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 WORD_END = "</w>"
 _MARK = "\x01"
-_OTHER = re.compile("[^\x00\x02-į]|<\\|")
+_PLAIN = [chr(c) for c in range(0x130)]
+_OTHER = re.compile(f"[^{_PLAIN[0]}{_PLAIN[2]}-{_PLAIN[-1]}]")
 _TOKENIZERS: dict[str, WordBpe] = {}
 
 
@@ -51,33 +55,47 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(odd)}
 
 
+def word_pattern() -> re.Pattern:
+    """``WORD`` for letters below U+0130, with its classes written out from their Unicode categories."""
+    kind = {c: unicodedata.category(c)[0] for c in _PLAIN}
+    classes = {k: "".join(re.escape(c) for c in _PLAIN if kind[c] == k) for k in "LN"}
+    return re.compile(WORD.format(**classes, S=r"\t-\r \x85\xa0"))
+
+
 class WordBpe:
     """Ids, as little-endian 32-bit bytes, of a lower-casing BPE file with word ends.
 
-    Texts of Latin letters below U+0130 without the mark or the start of an added token are split
+    Texts of Latin letters below U+0130 without the mark or an added token are split
     by the file's own pattern and encoded by ranks, each word with a mark for its end; all other
     texts go through the ``tokenizers`` library.  The ids are the same either way (tested).
     """
 
     def __init__(self, json_path: str):
-        import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(json_path)
-        added = {t.content for t in self.full.get_added_tokens_decoder().values()}
+        with open(json_path, encoding="utf-8") as f:
+            model = json.load(f)
+        added = {t["content"] for t in model["added_tokens"]}
         letters, ranks = byte_letters(), {}
-        for token, number in self.full.get_vocab(with_added_tokens=True).items():
+        for token, number in model["model"]["vocab"].items():
             if token in added:
                 continue
             ends = token.endswith(WORD_END)
             core = bytes(letters[c] for c in (token[: -len(WORD_END)] if ends else token))
             ranks[core + _MARK.encode() * ends] = number
-        self.words = regex.compile(WORD).findall
+        self.json_path, self.added = json_path, tuple(added)
+        self.words = word_pattern().findall
         self.fast = tiktoken.Encoding("word_bpe", pat_str=f"[^{_MARK}]+{_MARK}", mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def full(self):
+        """The file as its library reads it, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def __call__(self, text: str) -> list[int]:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or any(t in text for t in self.added):
             return self.full.encode(text, add_special_tokens=False).ids
         words = self.words(text.lower())
         return self.fast.encode_ordinary(_MARK.join(words) + _MARK) if words else []
