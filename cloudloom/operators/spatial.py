@@ -43,6 +43,21 @@ def eps_pairs(points: DataFrame, r: float, keys: list[str], hit: str = "hit_id")
     return eps_join(left, right, r, keys).where("i < j").select(*keys, "i", "j", "dist")
 
 
+def near_pairs(points: DataFrame, r: float, keys: list[str], hit: str = "hit_id") -> DataFrame:
+    """(keys, i, j, dist) of all pairs i < j within ``r``, each met once.
+
+    A point is copied to its own cell and to the 13 that come after it, half of its neighbours.
+    """
+    steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+    ahead = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("xyz", s, strict=True)]) for s in steps]))
+    left = _cells(points.select(*keys, F.col(hit).alias("_a"), "x", "y", "z"), r, False).withColumn("_s", ahead)
+    left = left.withColumns({f"_c{k}": F.col(f"_c{k}") + F.col(f"_s.{k}") for k in "xyz"} | {"_same": F.col("_s") == F.struct(*[F.lit(0).alias(k) for k in "xyz"])}).drop("_s")
+    right = _cells(points.select(*keys, F.col(hit).alias("_b"), "x", "y", "z"), r, False).withColumnsRenamed({"x": "rx", "y": "ry", "z": "rz"})
+    met = left.join(right, [*keys, "_cx", "_cy", "_cz"]).where(~F.col("_same") | (F.col("_a") < F.col("_b")))
+    met = met.withColumn("dist", geom.distance(geom.vec(), geom.vec("r"))).where(F.col("dist") <= r)
+    return met.select(*keys, F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j"), "dist")
+
+
 def nearest(left: DataFrame, right: DataFrame, r: float, keys: list[str], left_id: str, order: list) -> DataFrame:
     """For each left row the nearest right row within ``r``; ``order`` settles ties after the distance."""
     met = eps_join(left, right, r, keys)
