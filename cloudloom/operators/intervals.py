@@ -60,7 +60,7 @@ def cloud_windows(models: DataFrame, clouds: DataFrame, keys: list[str], margin:
     return made.select(*keys, "tpc", "label", "other", "lo", "hi", "n", F.when(long, "long").alias("reason"))
 
 
-def crossing_windows(models: DataFrame, keys: list[str], turn: float = 10.0, margin: float = 3.0, guard: float = 6.0, scale: float = 1.0, least: float = 3.0, most: float = 10.0) -> DataFrame:
+def crossing_windows(models: DataFrame, keys: list[str], turn: float = 10.0, guard: float = 6.0, scale: float = 1.0, least: float = 3.0, most: float = 10.0) -> DataFrame:
     """(keys, tpc, label, other, lo, hi): on both tracks of a cell the stretch around the place where they cross.
 
     They cross if they meet within the larger of their radii (by half as much again), at an angle of at

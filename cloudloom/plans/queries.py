@@ -220,10 +220,10 @@ def event_limit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.events_up_to(table(spark, sf, "orders").select(F.col("o_custkey").alias("file_tag"), F.col("o_orderkey").alias("event_id")), 3)
 
 
-@query("eps_sweep", f"""WITH {EV}, v AS (SELECT unnest([10, 50, 100]) AS variant), s AS (SELECT variant, ev, CASE WHEN label >= variant THEN -1 ELSE label END AS label, g, e FROM ev, v),
+@query("label_cut_sweep", f"""WITH {EV}, v AS (SELECT unnest([10, 50, 100]) AS variant), s AS (SELECT variant, ev, CASE WHEN label >= variant THEN -1 ELSE label END AS label, g, e FROM ev, v),
 m AS (SELECT variant, ev, label, g, sum(e) AS e FROM s WHERE label >= 0 AND g >= 0 GROUP BY ALL), l AS (SELECT variant, ev, label, max(e) AS top, sum(e) AS e FROM m GROUP BY ALL)
 SELECT variant, ev, round(sum(top) / sum(e), 6) AS purity, count(*) AS n_clusters FROM l GROUP BY variant, ev""")
-def eps_sweep(spark: SparkSession, sf: str) -> DataFrame:
+def label_cut_sweep(spark: SparkSession, sf: str) -> DataFrame:
     hits = metrics.swept(event_hits(spark, sf), "variant", [10, 50, 100])
     hits = hits.withColumn("label", F.when(F.col("label") >= F.col("variant"), -1).otherwise(F.col("label")))
     return rounded(metrics.purity_completeness(hits, ["variant", "ev"]).select("variant", "ev", "purity", "n_clusters"))
