@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudloom.functions.moments import ends, line_moments
-from cloudloom.operators import audit, graph, intervals, metrics, segments, sweeps
-from cloudloom.plans.queries import EPS, PT, moments_sql, query, rounded
-from cloudloom.sources.bindings import point_hits
+from cloudloom.operators import audit, families, graph, intervals, links, metrics, segments, sweeps
+from cloudloom.plans.queries import EPS, PT, _lsql, moments_sql, query, rounded, rsql
+from cloudloom.sources.bindings import point_hits, table
 
 PE = PT.replace("SELECT 0 AS ev", "SELECT CAST(vec_id % 3 AS INTEGER) AS ev")
 
@@ -182,3 +182,60 @@ def track_baselines(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["ev", "tpc", "label", "lo", "hi"]
     windows = graph.stored(cloud.select(*cols).unionByName(cross.select(*cols)))
     return rounded(intervals.baselines(tracks, models, windows, ["ev"]), 4)
+
+
+# --- families --------------------------------------------------------------
+
+FAMILY = f"""pt AS (SELECT 0 AS ev, vec_id AS hit_id, CAST(embedding[1] AS DOUBLE) * 20 * (1 + 4 * (vec_id % 2)) + (vec_id % 7) * 8 AS x, CAST(embedding[2] AS DOUBLE) * 20 + (vec_id % 4) * 6 AS y, CAST(embedding[3] AS DOUBLE) * 20 AS z,
+ abs(CAST(embedding[4] AS DOUBLE)) * 10 AS e, CAST(label AS BIGINT) AS g, CAST(vec_id % 4 AS INTEGER) AS tpc, (vec_id % 7) * 4 + vec_id % 4 AS label FROM embeddings),
+inf AS (SELECT l.*, p.t10, p.t90 FROM (WITH {moments_sql('pt', 'label')} SELECT * FROM lin) l JOIN (SELECT label, quantile_cont(t, 0.1) AS t10, quantile_cont(t, 0.9) AS t90 FROM (SELECT pt.label, (x - cx) * dx + (y - cy) * dy + (z - cz) * dz AS t FROM pt JOIN (WITH {moments_sql('pt', 'label')} SELECT * FROM lin) k USING (label)) GROUP BY label) p USING (label)),
+cel AS (SELECT label, arg_max(tpc, (k, -tpc)) AS cell FROM (SELECT label, tpc, count(*) AS k FROM pt GROUP BY ALL) GROUP BY label), tch AS (SELECT DISTINCT label, tpc FROM pt),
+mem AS (SELECT label, arg_max(g, (e, -g)) AS family FROM (SELECT label, g, sum(e) AS e FROM pt GROUP BY ALL) GROUP BY label),
+nf AS (SELECT inf.*, cell, CASE WHEN inf.label < 8 THEN 1.0 ELSE 0.0 END AS track FROM inf JOIN cel USING (label)),
+clo AS (SELECT i.label AS i, family, m.label AS m, m.e AS em, sqrt((i.cx - m.cx) ** 2 + (i.cy - m.cy) ** 2 + (i.cz - m.cz) ** 2) AS dc, abs(i.dx * m.dx + i.dy * m.dy + i.dz * m.dz) AS al FROM nf i JOIN nf m ON i.label <> m.label JOIN mem ON mem.label = m.label WHERE dc <= 45),
+few AS (SELECT * FROM clo QUALIFY row_number() OVER (PARTITION BY i, family ORDER BY dc, m) <= 8),
+pp AS (SELECT DISTINCT least(i, m) AS a, greatest(i, m) AS b FROM few), pd AS (SELECT a, b, p.hit_id AS ha, q.hit_id AS hb, {EPS} AS d, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz FROM pp JOIN pt p ON p.label = a JOIN pt q ON q.label = b),
+pn AS (SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY d, ha, hb) = 1), pc AS (SELECT a, b, count(*) FILTER (d <= 3) AS n3 FROM (SELECT a, b, ha, min(d) AS d FROM pd GROUP BY ALL) GROUP BY a, b),
+pf AS (SELECT pn.*, n3, d AS f0, ln(1 + n3) AS f1, abs(p.dx * q.dx + p.dy * q.dy + p.dz * q.dz) AS f2, least(p.linearity, q.linearity) AS f3, greatest(p.linearity, q.linearity) AS f4, log10(greatest(least(p.e, q.e), 0.1)) AS f5, log10(greatest(greatest(p.e, q.e), 0.1)) AS f6, log10(least(p.n, q.n)) AS f7, p.track * q.track AS f8,
+ sqrt((q.cx - p.cx) ** 2 + (q.cy - p.cy) ** 2 + (q.cz - p.cz) ** 2) AS f9 FROM pn JOIN pc USING (a, b) JOIN nf p ON a = p.label JOIN nf q ON b = q.label), pj AS (SELECT *, 1 / (1 + exp(-({_lsql(links.V0, 10)}))) AS j0 FROM pf),
+sid AS (SELECT a AS i, b AS m, d, n3, j0, ax AS ox, ay AS oy, az AS oz, bx AS hx, by_ AS hy, bz AS hz FROM pj UNION ALL SELECT b, a, d, n3, j0, bx, by_, bz, ax, ay, az FROM pj),
+me AS (SELECT few.i, family, few.m, d, n3, j0, ox, oy, oz, hx, hy, hz, row_number() OVER (PARTITION BY few.i, family ORDER BY d, few.m) AS kd, row_number() OVER (PARTITION BY few.i, family ORDER BY j0 DESC) AS kj FROM few JOIN sid ON few.i = sid.i AND few.m = sid.m),
+be AS (SELECT i, family, sum(n3) AS n3, max(j0) AS j0_max, avg(j0) FILTER (kj <= 2) AS j0_top2 FROM me GROUP BY i, family), ne AS (SELECT * FROM me WHERE kd = 1),
+flo AS (SELECT i, family, sum(em * al) / sum(em) AS flow FROM clo WHERE dc <= 30 GROUP BY i, family),
+src AS (SELECT c.i, c.family, pt.label AS ml, pt.tpc, x, y, z, e FROM be c JOIN mem ON mem.family = c.family AND mem.label <> c.i JOIN pt ON pt.label = mem.label),
+fm AS (SELECT * FROM (WITH {moments_sql('src', 'i, family')} SELECT * FROM lin)), fc AS (SELECT i, family, count(DISTINCT ml) AS size, count(DISTINCT tpc) AS ntpc, list(DISTINCT tpc) AS tpcs FROM src GROUP BY i, family),
+al1 AS (SELECT be.*, d, coalesce(flow, 0) AS flow, o.linearity AS lin_i, o.e AS ei, o.cell, (o.cx - fm.cx) * fm.dx + (o.cy - fm.cy) * fm.dy + (o.cz - fm.cz) * fm.dz AS along, (o.cx - fm.cx) ** 2 + (o.cy - fm.cy) ** 2 + (o.cz - fm.cz) ** 2 AS off2, greatest(sqrt(fm.l2 + fm.l3), 0.5) AS spread, greatest(1.645 * sqrt(fm.l1), 0.5) AS half,
+ degrees(acos(least(abs(o.dx * w.dx + o.dy * w.dy + o.dz * w.dz), 1))) AS angle, (ox - o.cx) * o.dx + (oy - o.cy) * o.dy + (oz - o.cz) * o.dz BETWEEN o.t10 AND o.t90 AS ii, (hx - w.cx) * w.dx + (hy - w.cy) * w.dy + (hz - w.cz) * w.dz BETWEEN w.t10 AND w.t90 AS im, fm.e AS fe, size, ntpc, tpcs
+ FROM be JOIN ne USING (i, family) JOIN fm USING (i, family) JOIN fc USING (i, family) LEFT JOIN flo USING (i, family) JOIN nf o ON o.label = be.i JOIN nf w ON w.label = ne.m),
+ff AS (SELECT i AS label, family, d AS d_min, ln(1 + n3) AS n_contact, j0_max, j0_top2, flow, sqrt(greatest(off2 - along * along, 0)) / spread AS r_sigma, least(greatest(abs(along) - half, 0) / (2 * half), 3) AS ext, angle AS ang_nn, CAST(d < 3 AND angle > 25 AND ii AND im AS INTEGER) * 1.0 AS crossing, CAST(d < 3 AND angle < 15 AND NOT ii AND NOT im AS INTEGER) * 1.0 AS endjoin,
+ CAST(lin_i > 0.9 AND spread > 4 AND ii AS INTEGER) * 1.0 AS thru_shower, lin_i, log10(greatest(ei, 0.1)) AS e_i, log10(greatest(fe, 0.1)) AS fam_e, log10(size) AS fam_n, spread AS fam_sigma, ntpc * 1.0 AS fam_ntpc, CAST(list_contains(tpcs, cell) AS INTEGER) * 1.0 AS tpc_in FROM al1)"""
+
+
+def _fsql() -> str:
+    m = links.FAMILY
+    return " + ".join(f"({c} - ({m['mean'][k]!r})) / {m['scale'][k]!r} * ({m['coef'][k]!r})" for k, c in enumerate(families.FEATURES)) + f" + ({m['intercept']!r})"
+
+
+def family_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points of drawn-out and round clusters side by side, cluster summaries, and families by dominant truth group."""
+    v, i = F.col("embedding"), F.col("vec_id")
+    x = v[0].cast("double") * 20 * (1 + 4 * (i % 2)) + (i % 7) * 8
+    p = table(spark, sf, "embeddings").select(
+        F.lit(0).alias("ev"), i.alias("hit_id"), x.alias("x"), (v[1].cast("double") * 20 + (i % 4) * 6).alias("y"), (v[2].cast("double") * 20).alias("z"),
+        (F.abs(v[3].cast("double")) * 10).alias("e"), F.col("label").cast("long").alias("g"), (i % 4).cast("int").alias("tpc"), ((i % 7) * 4 + i % 4).alias("label"),
+    )
+    infos = graph.stored(links.summaries(p, ["ev"], p.where("label < 8").select("ev", "label")))
+    return p, infos, graph.stored(metrics.dominant(p, ["ev"]).select("ev", "label", F.col("dom").alias("family")))
+
+
+@query("family_features", f"WITH {FAMILY} SELECT {rsql('label family ' + ' '.join('*' + c for c in families.FEATURES))} FROM ff")
+def family_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The eighteen features of every cluster against every family near it."""
+    return rounded(families.family_features(*family_input(spark, sf), ["ev"])).drop("ev")
+
+
+@query("family_score", f"WITH {FAMILY}, sc AS (SELECT label, family, 1 / (1 + exp(-({_fsql()}))) AS s FROM ff), ra AS (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS nx FROM sc WINDOW w AS (PARTITION BY label ORDER BY s DESC, family)) SELECT label, family, round(s, 6) AS s, round(CASE WHEN k = 1 THEN s - nx END, 6) AS margin FROM ra")
+def family_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The family model's score of the same rows, and each cluster's lead of its best family over the next."""
+    features = families.family_features(*family_input(spark, sf), ["ev"])
+    return rounded(families.family_scores(features, ["ev"])).drop("ev")

@@ -569,17 +569,6 @@ def vertex_merge_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pairs(p, ["ev"], least=10, reach=25.0, line=25.0, core=0.5))
 
 
-@query("family_score")
-def family_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of pairs read as cluster-and-family rows; what the model needs more is held at its mean."""
-    p, infos = _infos(spark, sf)
-    rows = links._sided(links.candidate_pairs(infos, links.sample_points(p, ["ev"]), ["ev"]), infos, ["ev"])
-    names = [f"f{k}" for k in range(18)]
-    known = {0: F.col("d_min"), 1: F.log1p("n3"), 11: F.col("a_linearity"), 12: geom.log10_floor(F.col("a_e")), 13: geom.log10_floor(F.col("b_e")), 14: F.log10("b_n")}
-    features = rows.select("a", "b", *[known.get(k, F.lit(links.FAMILY["mean"][k])).alias(n) for k, n in enumerate(names)])
-    return rounded(links.family_score(features, names).select("a", "b", "s"))
-
-
 @query("ransac_segments")
 def ransac_segments(spark: SparkSession, sf: str) -> DataFrame:
     from cloudloom.plans import chain
