@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloudloom.functions import quantiles
 from cloudloom.functions.moments import ends, line_moments
-from cloudloom.operators import audit, families, graph, intervals, links, metrics, segments, sweeps
-from cloudloom.plans.queries import EPS, PT, _lsql, moments_sql, query, rounded, rsql
-from cloudloom.sources.bindings import point_hits, table
+from cloudloom.operators import audit, families, graph, intervals, lineage, links, metrics, segments, sweeps, vertices
+from cloudloom.plans.queries import EPS, EV, LN, PT, _lsql, moments_sql, query, rounded, rsql
+from cloudloom.sources.bindings import event_hits, line_hits, point_hits, table
 
 PE = PT.replace("SELECT 0 AS ev", "SELECT CAST(vec_id % 3 AS INTEGER) AS ev")
 
@@ -239,3 +240,66 @@ def family_score(spark: SparkSession, sf: str) -> DataFrame:
     """The family model's score of the same rows, and each cluster's lead of its best family over the next."""
     features = families.family_features(*family_input(spark, sf), ["ev"])
     return rounded(families.family_scores(features, ["ev"])).drop("ev")
+
+
+# --- lineage, quantiles, vertices ------------------------------------------
+
+RELABEL = """re AS (SELECT ev, hit_id, label AS old, g, e, CASE WHEN label < 0 AND hit_id % 5 = 0 THEN 500 + ev WHEN label < 0 THEN -1 WHEN label % 9 = 1 THEN label WHEN label % 9 = 2 AND hit_id % 6 = 0 THEN -1 WHEN label % 9 = 3 AND hit_id % 3 = 0 THEN 300 + label WHEN label % 9 IN (4, 5) THEN label - label % 9 + 4
+ WHEN label % 9 IN (6, 7) AND hit_id % 2 = 0 THEN 400 + label - label % 9 WHEN label % 9 = 8 THEN -1 ELSE label END AS new FROM ev)"""
+
+
+def relabelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Event hits with a label before and one after: some labels kept, peeled, split, merged, mixed, lost, some new."""
+    q, h, ev = F.col("label"), F.col("hit_id"), F.col("ev")
+    new = (
+        F.when((q < 0) & (h % 5 == 0), 500 + ev).when(q < 0, -1).when(q % 9 == 1, q).when((q % 9 == 2) & (h % 6 == 0), -1).when((q % 9 == 3) & (h % 3 == 0), 300 + q)
+        .when((q % 9).isin(4, 5), q - q % 9 + 4).when((q % 9).isin(6, 7) & (h % 2 == 0), 400 + q - q % 9).when(q % 9 == 8, -1).otherwise(q)
+    )
+    return event_hits(spark, sf).select("ev", "hit_id", q.alias("old"), new.cast("long").alias("new"), "g", "e")
+
+
+@query("label_lineage", f"""WITH RECURSIVE {EV}, {RELABEL}, ov AS (SELECT ev, CASE WHEN old >= 0 THEN old END AS o, CASE WHEN new >= 0 THEN new END AS w, count(*) AS n, sum(e) AS e FROM re GROUP BY ALL HAVING o IS NOT NULL OR w IS NOT NULL),
+nd AS (SELECT DISTINCT ev, o * 2 AS i FROM ov WHERE o IS NOT NULL UNION SELECT DISTINCT ev, w * 2 + 1 FROM ov WHERE w IS NOT NULL), ed AS (SELECT ev, o * 2 AS i, w * 2 + 1 AS j FROM ov WHERE o IS NOT NULL AND w IS NOT NULL UNION ALL SELECT ev, w * 2 + 1, o * 2 FROM ov WHERE o IS NOT NULL AND w IS NOT NULL),
+cc(ev, i, r) AS (SELECT ev, i, i FROM nd UNION SELECT ed.ev, ed.j, cc.r FROM cc JOIN ed ON ed.ev = cc.ev AND ed.i = cc.i), co AS (SELECT ev, i, min(r) AS root FROM cc GROUP BY ev, i),
+si AS (SELECT ev, root, count(*) FILTER (i % 2 = 0) AS olds, count(*) FILTER (i % 2 = 1) AS news, coalesce(min(i // 2) FILTER (i % 2 = 0), min(i // 2)) AS component FROM co GROUP BY ev, root),
+su AS (SELECT ov.ev, co.root, sum(e) FILTER (o IS NOT NULL AND w IS NOT NULL) AS ek, sum(e) FILTER (w IS NULL) AS el, sum(e) FILTER (o IS NULL) AS eg, sum(n) FILTER (w IS NULL) AS nl, sum(n) FILTER (o IS NULL) AS ng, sum(n) AS n FROM ov JOIN co ON ov.ev = co.ev AND co.i = coalesce(o * 2, w * 2 + 1) GROUP BY ALL)
+SELECT ev, component, CASE WHEN news = 0 THEN 'lost' WHEN olds = 0 THEN 'new' WHEN olds > 1 AND news > 1 THEN 'mixed' WHEN news > 1 THEN 'split' WHEN olds > 1 THEN 'merged' WHEN nl > 0 THEN 'peeled' WHEN ng > 0 THEN 'fed' ELSE 'kept' END AS kind, olds, news,
+ round(coalesce(ek, 0), 6) AS e_kept, round(coalesce(el, 0), 6) AS e_lost, round(coalesce(eg, 0), 6) AS e_gained, CAST(n AS BIGINT) AS n FROM si JOIN su USING (ev, root)""")
+def label_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every label between two labellings."""
+    hits = relabelled(spark, sf)
+    table = lineage.overlaps(hits.select("ev", "hit_id", F.col("old").alias("label"), "e"), hits.select("ev", "hit_id", F.col("new").alias("label")), ["ev", "hit_id"], ["ev"])
+    return lineage.lineage(table, ["ev"]).withColumns({c: F.round(c, 6) for c in ("e_kept", "e_lost", "e_gained")})
+
+
+@query("separation_audit", f"""WITH {EV}, {RELABEL}, t AS (SELECT ev, old, CASE WHEN new >= 0 THEN new END AS w, CASE WHEN g >= 0 THEN g END AS g, sum(e) AS e FROM re WHERE old >= 0 GROUP BY ALL),
+p AS (SELECT ev, old, w, sum(e) AS e_new, arg_max(g, (e, -g)) FILTER (g IS NOT NULL) AS dom FROM t GROUP BY ev, old, w), k AS (SELECT ev, old, w AS keeper, dom AS kd FROM p WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ev, old ORDER BY CASE WHEN w = old THEN 0 ELSE 1 END, e_new DESC, w) = 1)
+SELECT p.ev, p.old, p.w AS new, round(e_new, 6) AS e_new, round(coalesce((SELECT sum(t.e) FROM t WHERE t.ev = p.ev AND t.old = p.old AND t.w IS NOT DISTINCT FROM p.w AND t.g <> k.kd), 0), 6) AS e_foreign, CASE WHEN dom IS NULL OR kd IS NULL THEN 'no_truth' WHEN dom = kd THEN 'broke_same' ELSE 'separated' END AS verdict
+FROM p JOIN k USING (ev, old) WHERE p.w IS DISTINCT FROM keeper""")
+def separation_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdict on every part that left its label."""
+    return lineage.separation_audit(relabelled(spark, sf), ["ev"]).withColumns({"e_new": F.round("e_new", 6), "e_foreign": F.round("e_foreign", 6)})
+
+
+@query("exact_quantiles", f"WITH {LN} SELECT tpc, {', '.join(f'round(quantile_cont(e, {s}), 6) AS q{k}' for k, s in enumerate((0.05, 0.5, 0.68, 0.999)))} FROM ln GROUP BY tpc")
+def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of groups that are refined by histograms because they are too large to rank at once."""
+    return rounded(quantiles.exact_quantiles(line_hits(spark, sf), ["tpc"], "e", [0.05, 0.5, 0.68, 0.999], large=1000, bins=64, few=50))
+
+
+@query("track_vertices", f"""WITH RECURSIVE {SEG}, {TIP}, ed AS (SELECT p.ev, p.id * 2 + p.tip AS i, q.id * 2 + q.tip AS j FROM tp p JOIN tp q ON p.ev = q.ev AND (p.id <> q.id OR p.tip <> q.tip) WHERE sqrt((p.tx - q.tx) ** 2 + (p.ty - q.ty) ** 2 + (p.tz - q.tz) ** 2) <= 9),
+no AS (SELECT ev, i FROM ed GROUP BY ev, i HAVING count(*) + 1 >= 2), ce AS (SELECT ed.* FROM ed SEMI JOIN no a ON ed.ev = a.ev AND ed.i = a.i SEMI JOIN no b ON ed.ev = b.ev AND ed.j = b.i),
+cc(ev, i, r) AS (SELECT ev, i, i FROM no UNION SELECT ce.ev, ce.j, cc.r FROM cc JOIN ce ON ce.ev = cc.ev AND ce.i = cc.i), co AS (SELECT ev, i, min(r) AS least FROM cc GROUP BY ev, i),
+nu AS (SELECT ev, i, dense_rank() OVER (PARTITION BY ev ORDER BY least) - 1 AS c FROM co), bo AS (SELECT ed.ev, ed.i, min(c) AS c FROM ed JOIN nu ON ed.ev = nu.ev AND ed.j = nu.i GROUP BY ALL),
+al AS (SELECT DISTINCT tp.ev, tp.id, coalesce(nu.c, bo.c) AS c FROM tp LEFT JOIN nu ON tp.ev = nu.ev AND tp.id * 2 + tp.tip = nu.i LEFT JOIN bo ON tp.ev = bo.ev AND tp.id * 2 + tp.tip = bo.i WHERE coalesce(nu.c, bo.c) IS NOT NULL),
+ln AS (SELECT mo.ev, label * 4 + tpc AS id, cx, cy, cz, dx, dy, dz FROM mo), pr AS (SELECT p.ev, p.c, s.dx * t.dx + s.dy * t.dy + s.dz * t.dz AS k, s.dx AS ax, s.dy AS ay, s.dz AS az, t.dx AS bx, t.dy AS by_, t.dz AS bz, s.cx - t.cx AS wx, s.cy - t.cy AS wy, s.cz - t.cz AS wz
+ FROM al p JOIN al q ON p.ev = q.ev AND p.c = q.c AND p.id < q.id JOIN ln s ON s.ev = p.ev AND s.id = p.id JOIN ln t ON t.ev = q.ev AND t.id = q.id),
+ps AS (SELECT *, (k * (bx * wx + by_ * wy + bz * wz) - (ax * wx + ay * wy + az * wz)) / (1 - k * k) AS s, (bx * wx + by_ * wy + bz * wz - k * (ax * wx + ay * wy + az * wz)) / (1 - k * k) AS t FROM pr),
+md AS (SELECT ev, c, quantile_cont(sqrt((wx + s * ax - t * bx) ** 2 + (wy + s * ay - t * by_) ** 2 + (wz + s * az - t * bz) ** 2), 0.5) AS dca FROM ps GROUP BY ev, c HAVING dca <= 8),
+nt AS (SELECT ev, c, count(*) AS n FROM al GROUP BY ev, c), vx AS (SELECT md.ev, md.c, n, row_number() OVER (PARTITION BY md.ev ORDER BY md.c) - 1 AS v FROM md JOIN nt USING (ev, c)),
+mi AS (SELECT al.ev, al.id, min(v) AS v, arg_min(n, v) AS n FROM al JOIN vx USING (ev, c) GROUP BY ALL), cn AS (SELECT ev, count(*) AS k FROM vx GROUP BY ev)
+SELECT sg.ev, sg.id, CAST(CASE WHEN mi.v IS NULL THEN coalesce(k, 0) + row_number() OVER (PARTITION BY sg.ev, mi.v IS NULL ORDER BY sg.id) - 1 ELSE mi.v END AS BIGINT) AS vertex, CASE WHEN mi.v IS NULL THEN 'track' WHEN mi.n >= 3 THEN 'shower' ELSE 'vertex' END AS type
+FROM sg LEFT JOIN mi ON sg.ev = mi.ev AND sg.id = mi.id LEFT JOIN cn ON sg.ev = cn.ev""")
+def track_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    """Vertices of segments by their ends and lines."""
+    return vertices.assign_vertices(event_segments(spark, sf)[1], ["ev"], eps=9.0, least=2, dca=8.0)
