@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions import quantiles
 from cloudloom.functions.moments import ends, line_moments
-from cloudloom.operators import audit, families, graph, intervals, lineage, links, metrics, segments, sweeps, vertices
-from cloudloom.plans.queries import EPS, EV, LN, PT, _lsql, moments_sql, query, rounded, rsql
+from cloudloom.operators import annealing, audit, families, graph, intervals, lineage, links, metrics, segments, sweeps, vertices
+from cloudloom.plans.queries import EPS, EV, LINK, LN, PT, _infos, _lsql, moments_sql, query, rounded, rsql
 from cloudloom.sources.bindings import event_hits, line_hits, point_hits, table
 
 PE = PT.replace("SELECT 0 AS ev", "SELECT CAST(vec_id % 3 AS INTEGER) AS ev")
@@ -303,3 +303,36 @@ FROM sg LEFT JOIN mi ON sg.ev = mi.ev AND sg.id = mi.id LEFT JOIN cn ON sg.ev =
 def track_vertices(spark: SparkSession, sf: str) -> DataFrame:
     """Vertices of segments by their ends and lines."""
     return vertices.assign_vertices(event_segments(spark, sf)[1], ["ev"], eps=9.0, least=2, dca=8.0)
+
+
+# --- soft assignment -------------------------------------------------------
+
+BETAS, ROUNDS, DAMPING = (0.5, 1.5), 3, 0.3
+
+
+def rounds_sql() -> str:
+    """Message rounds over s0 (a, b, j0) and fi (node, slot, field), one after another; last are the beliefs."""
+    out = ["d0 AS (SELECT a AS src, b AS dst, j0 * 0.05 AS j, slot, -ln(3) AS m FROM s0, (SELECT unnest([0, 1, 2]) AS slot) UNION ALL SELECT b, a, j0 * 0.05, slot, -ln(3) FROM s0, (SELECT unnest([0, 1, 2]) AS slot))"]
+    steps = [b for b in BETAS for _ in range(ROUNDS)]
+    belief = "b{0} AS (SELECT node, fi.slot, field * {1} + coalesce(h, 0) AS v FROM fi LEFT JOIN (SELECT dst, slot, sum(m) AS h FROM d{0} GROUP BY dst, slot) s ON dst = node AND s.slot = fi.slot)"
+    for r, beta in enumerate(steps):
+        out.append(belief.format(r, beta))
+        out.append(f"c{r} AS (SELECT d.*, v - k.m AS v FROM d{r} d JOIN b{r} ON node = d.src AND b{r}.slot = d.slot JOIN d{r} k ON k.src = d.dst AND k.dst = d.src AND k.slot = d.slot)")
+        out.append(f"n{r} AS (SELECT src, dst, j, slot, m, exp(v - max(v) OVER w) AS u FROM c{r} WINDOW w AS (PARTITION BY src, dst))")
+        out.append(f"d{r + 1} AS (SELECT src, dst, j, slot, {DAMPING} * m + {1 - DAMPING} * ln((1 + (exp(j * {beta}) - 1) * u / sum(u) OVER (PARTITION BY src, dst)) / (2 + exp(j * {beta}))) AS m FROM n{r})")
+    out.append(belief.format(len(steps), steps[-1]))
+    out.append(f"ex AS (SELECT node, slot, exp(v - max(v) OVER (PARTITION BY node)) AS u FROM b{len(steps)})")
+    return ",\n".join(out)
+
+
+@query("soft_assignments", f"""{LINK}, fi AS (SELECT label AS node, slot, ln((coalesce(sum(e) FILTER (g % 3 = slot), 0) + 0.05 * sum(e)) / (1.15 * sum(e))) AS field FROM pt, (SELECT unnest([0, 1, 2]) AS slot) GROUP BY label, slot),
+{rounds_sql()} SELECT node, CAST(slot AS INTEGER) AS slot, round(u / sum(u) OVER (PARTITION BY node), 6) AS p FROM ex""")
+def soft_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters over three slots: their energy's shares as fields, link scores as couplings, two temperatures."""
+    p, infos = _infos(spark, sf)
+    infos = graph.stored(infos)
+    scored = links.score_v0(links.candidate_pairs(infos, links.sample_points(p, ["ev"]), ["ev"]), infos, ["ev"]).select("ev", "a", "b", F.col("j0").alias("j"))
+    slots = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.when(F.col("g") % 3 == s, F.col("e")).otherwise(0.0).alias("part")) for s in range(3)]))
+    shares = p.select("ev", F.col("label").alias("node"), "e", slots.alias("_s")).groupBy("ev", "node", "_s.slot").agg(F.log((F.sum("_s.part") + 0.05 * F.sum("e")) / (1.15 * F.sum("e"))).alias("field"))
+    out = annealing.anneal(shares, graph.stored(scored), ["ev"], betas=BETAS, damping=DAMPING, tolerance=0.0, max_rounds=ROUNDS, strength=0.05)
+    return rounded(out.beliefs.drop("ev"))
