@@ -2,10 +2,11 @@
 
 A page becomes a tree of its elements.  Blocks of text earn points for length and commas and pass
 them to their ancestors, less with each step; an element's points are discounted by the share of
-its text that stands in links.  The best element is the container; it, and siblings of its kind
-that score well, are kept, without the parts that are never the article (menus, page headers and
-footers, sidebars, notices, adverts, forms, scripts, styles, comments), which are known by tag,
-role, class or id.  Nothing else inside the container is dropped or cut.
+its text that stands in links.  The best element, or the ``article`` or ``main`` around it, is the container;
+it, and its siblings that are not mostly links, are kept, without the parts that are never the article (menus, page
+headers and footers, sidebars, notices, adverts, forms, scripts, styles, comments), which are known by tag,
+role, class or id.  Directly below the body, where page furniture without a name may stand, siblings must be of
+the container's kind or text of their own.  Nothing else inside the container is dropped or cut.
 
 Defined results: a null, empty or markup-free page gives its bare text or none; broken markup
 (unclosed or stray tags, quotes left open) never fails; very long pages are read whole; of
@@ -37,8 +38,13 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert banner newsletter subscribe signup popup modal overlay share sharing social related recommended masthead topbar toolbar skip".split()
 )
+#: Words that name reader comments, and words that name other furniture, whatever stands beside them.
+COMMENT_WORDS = frozenset("comment comments commentlist commenter disqus".split())
+SURE_WORDS = frozenset("sidebar navbar breadcrumb breadcrumbs pagination masthead newsletter popup modal cookie cookies gdpr advert adverts advertisement advertising sponsored".split())
+#: Words beside those that make the name one of a state, or of what holds the article too.
+STATE_WORDS = frozenset("open closed off no not without with has have hide hidden count enabled disabled active recipe recipes".split())
 #: Words that say nothing about what a class named by them holds.
-FILLER_WORDS = frozenset("area bar block bottom box button buttons center col column container content group holder home icon icons inline inner item items left line link links list main outer page panel right row section site slot small top unit widget wrap wrapper x".split())
+FILLER_WORDS = frozenset("message messages user users reader readers thread threads policy law info warning text area bar block bottom box button buttons center col column container content group holder home icon icons inline inner item items left line link links list main outer page panel right row section site slot small top unit widget wrap wrapper x".split())
 WEAK_WORDS = frozenset("header widget meta tools tags byline".split())
 KEEP_WORDS = frozenset("article content main body post entry text story".split())
 #: An open element on the left ends where one on the right begins.
@@ -46,14 +52,15 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "t
 SCOPE = frozenset("table td th ul ol dl body html article section div main".split())
 ENDS_P = BLOCK - {"br", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"} | {"li", "dd", "dt"}
 PARAGRAPH = frozenset("p pre td blockquote li dd div section article main figcaption body".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure ul ol dl".split())
 SCORED = frozenset("article main section div body td blockquote table ul ol dl center".split())
 
 
 class Node:
-    __slots__ = ("chars", "drop", "kids", "link_chars", "order", "parent", "score", "tag", "commas", "own")
+    __slots__ = ("chars", "drop", "kids", "link_chars", "name", "order", "parent", "score", "tag", "commas", "own")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, order: int):
-        self.tag, self.parent, self.drop, self.order = tag, parent, drop, order
+    def __init__(self, tag: str, parent: Node | None, drop: bool, order: int, name: str = ""):
+        self.tag, self.parent, self.drop, self.order, self.name = tag, parent, drop, order, name
         self.kids: list = []  # Nodes and texts
         self.score = 0.0
         self.chars = self.link_chars = self.own = self.commas = 0
@@ -62,13 +69,15 @@ class Node:
 def _dropped(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element is never the article; ``inside``: it stands in one, whose header is its own.
 
-    A class or id tells so only if all its words do: ``related-links`` goes, ``related-work`` stays.
+    A class or id that names comments tells so, as do some other words; with most words of furniture it does only
+    if all its words do: ``user-comments`` and ``related-links`` go, ``related-work`` and ``comments-open`` stay.
+    A comment in program text is none of a reader.
     """
     if tag in DROP_TAGS and not (tag == "header" and inside):
         return True
     if not attrs or attrs.isspace():
         return False
-    words, drop = set(), False
+    words, drop, told = set(), False, False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "role" and value in DROP_ROLES:
@@ -77,9 +86,16 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
             for token in (m[2] or "").strip("\"'").split():
                 own = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
                 drop = drop or bool(own & DROP_WORDS) and own <= DROP_WORDS | FILLER_WORDS
+                if not own & STATE_WORDS:
+                    told = told or bool(own & COMMENT_WORDS)
+                    drop = drop or bool(own & SURE_WORDS) and not own & KEEP_WORDS
                 words |= own
-    if tag in ("html", "body", "main", "article"):
+    if tag in ("span", "code", "i", "em", "b", "a") and told:
         return False
+    if tag in ("html", "body", "main") or tag == "article" and not told:
+        return False
+    if told:
+        return True
     return drop or not inside and bool(words & WEAK_WORDS) and not words & KEEP_WORDS
 
 
@@ -139,7 +155,7 @@ def parse(page: str) -> Node:
                 if stack[k].tag in SCOPE:
                     break
         order += 1
-        node = Node(tag, stack[-1], stack[-1].drop or _dropped(tag, attrs, any(n.tag == "article" for n in stack)), order)
+        node = Node(tag, stack[-1], stack[-1].drop or _dropped(tag, attrs, any(n.tag in ("article", "main") for n in stack)), order, attrs)
         stack[-1].kids.append(node)
         if not attrs.endswith("/"):
             stack.append(node)
@@ -195,25 +211,44 @@ def best_container(root: Node) -> tuple[list[Node], float]:
         whole = [n for n in nodes if n.tag in ("article", "main") and n.chars]
         return ([whole[0]] if whole else [root]), 0.0
     best = max(ranked, key=lambda n: (n.score, -n.order))
-    up = best  # the article a section stands in is the container
+    up = best  # the article or main part a section stands in is the container
     while up is not None:
         if up.tag in ("article", "main"):
             best = up
-            if up.tag == "article":
-                break
         up = up.parent
     score = max(best.score, 1e-9)
     if best.parent is None:
         return [best], score
-    keep = []
-    for k in best.parent.kids:
-        if not isinstance(k, Node) or k.drop:
+    return _with_siblings(best, score), score
+
+
+def _with_siblings(best: Node, score: float) -> list:
+    """The container, what stands beside it and belongs to it, and the titles before them; in page order."""
+    up, keep = best.parent, []
+    top = up.parent is None
+    for k in up.kids:
+        if not isinstance(k, Node):
+            if not top:
+                keep.append(k)
             continue
-        alike = k.tag == best.tag or k.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre") and best.tag not in ("article", "main")
         dense = k.link_chars / max(1, k.chars)
-        if k is best or alike and dense < 0.25 and (k.score >= 0.2 * score or k.tag not in SCORED and (k.own >= 80 or k.tag[0] == "h")):
+        if k is best:
             keep.append(k)
-    return keep, score
+        elif k.drop or not k.chars or dense >= 0.5:
+            continue
+        elif not top or k.tag == best.tag and (k.name.strip() == best.name.strip() or k.tag == "article" or k.score >= 0.2 * score):
+            keep.append(k)
+        elif dense < 0.25 and (k.tag in TEXT_TAGS and (k.chars >= 25 or k.tag[0] == "h" or k.tag == "figure") or k.tag == "section" and k.own >= 80):
+            keep.append(k)
+    while up.parent is not None:
+        before = []
+        for k in up.parent.kids:
+            if k is up:
+                break
+            if isinstance(k, Node) and k.tag == "h1" and not k.drop:
+                before.append(k)
+        keep, up = before + keep, up.parent
+    return keep
 
 
 def text_of(nodes: list[Node]) -> str:
