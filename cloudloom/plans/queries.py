@@ -341,7 +341,9 @@ def mutual_best_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("i", "j", F.round("angle", 4).alias("angle"))
 
 
-@query("greedy_exclusive_pairs")
+@query("greedy_exclusive_pairs", f"""{PAIR.replace('WITH ', 'WITH RECURSIVE ', 1)}, od AS (SELECT i, j, round(degrees(acos(least(abs(k), 1))), 6) AS score, row_number() OVER (ORDER BY round(degrees(acos(least(abs(k), 1))), 6), i, j) AS place FROM dt),
+gr(place, used, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false UNION ALL SELECT od.place, CASE WHEN list_contains(used, i) OR list_contains(used, j) THEN used ELSE list_concat(used, [i, j]) END, NOT (list_contains(used, i) OR list_contains(used, j)) FROM gr JOIN od ON od.place = gr.place + 1)
+SELECT 0 AS ev, i, j, score FROM gr JOIN od USING (place) WHERE taken""")
 def greedy_exclusive_pairs(spark: SparkSession, sf: str) -> DataFrame:
     e = segment_pairs(spark, sf).select("ev", "i", "j", F.round(geom.angle_degrees(geom.vec("l_d"), geom.vec("r_d")), 6).alias("score"))
     return graph.greedy_exclusive(e, ["ev"], "score", "i", "j")
@@ -444,7 +446,17 @@ def cylinder_absorb(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(absorb_into_tracks(p.where("label >= 5"), p.where("label < 5"), ["ev"]).select("hit_id", F.col("track").alias("target"), "score"))
 
 
-@query("mahalanobis_absorb")
+@query("mahalanobis_absorb", f"""WITH {PT}, sh AS (SELECT * FROM pt WHERE label < 5), {moments_sql('sh', 'ev, label')},
+s1 AS (SELECT ev, label, n, cx, cy, cz, l1, l2, l3, sg * rx AS ex, sg * ry AS ey, sg * rz AS ez, b * f - c * (d - l2) AS u0, c * b - (a - l2) * f AS v0, (a - l2) * (d - l2) - b * b AS w0, b * (h - l2) - c * f AS u1, c * c - (a - l2) * (h - l2) AS v1, (a - l2) * f - b * c AS w1,
+ (d - l2) * (h - l2) - f * f AS u2, f * c - b * (h - l2) AS v2, b * f - (d - l2) * c AS w2 FROM m9 WHERE n >= 12),
+s2 AS (SELECT *, u0 * u0 + v0 * v0 + w0 * w0 AS n0, u1 * u1 + v1 * v1 + w1 * w1 AS n1, u2 * u2 + v2 * v2 + w2 * w2 AS n2 FROM s1), s3 AS (SELECT *, CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0 WHEN n1 >= n2 THEN 1 ELSE 2 END AS k FROM s2),
+s4 AS (SELECT *, CASE k WHEN 0 THEN u0 WHEN 1 THEN u1 ELSE u2 END AS qx, CASE k WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END AS qy, CASE k WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END AS qz FROM s3),
+s5 AS (SELECT *, qx - ex * (qx * ex + qy * ey + qz * ez) AS fx, qy - ey * (qx * ex + qy * ey + qz * ez) AS fy, qz - ez * (qx * ex + qy * ey + qz * ez) AS fz FROM s4), s6 AS (SELECT *, sqrt(fx * fx + fy * fy + fz * fz) AS fl FROM s5),
+s7 AS (SELECT ev, label, n, cx, cy, cz, ex, ey, ez, fx / fl AS px, fy / fl AS py, fz / fl AS pz, {', '.join(f'greatest(sqrt(l{k} * n / greatest(n - 1, 1)), 2) * 1.1 AS g{k}' for k in (1, 2, 3))} FROM s6),
+ho AS (SELECT hit_id, s7.label AS target, s7.n, sqrt((((x - cx) * ex + (y - cy) * ey + (z - cz) * ez) / g1) ** 2 + (((x - cx) * px + (y - cy) * py + (z - cz) * pz) / g2) ** 2
+ + (((x - cx) * (ey * pz - ez * py) + (y - cy) * (ez * px - ex * pz) + (z - cz) * (ex * py - ey * px)) / g3) ** 2) AS score FROM pt JOIN s7 USING (ev) WHERE pt.label >= 5),
+hb AS (SELECT * FROM ho WHERE score <= 2.2 QUALIFY row_number() OVER (PARTITION BY hit_id ORDER BY score, target) = 1)
+SELECT hit_id, target, round(score, 6) AS score FROM hb QUALIFY row_number() OVER (PARTITION BY target ORDER BY score, hit_id) <= greatest(1, floor(n * 0.3))""")
 def mahalanobis_absorb(spark: SparkSession, sf: str) -> DataFrame:
     from cloudloom.operators.stages import absorb_into_showers
 
@@ -561,7 +573,13 @@ def end_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(anchors(point_hits(spark, sf), ["ev"]))
 
 
-@query("vertex_merge_pairs")
+@query("vertex_merge_pairs", f"""WITH {PT.replace('vec_id % 7 AS label', '(vec_id % 7) * 4 + vec_id % 4 AS label')}, {moments_sql('pt', 'ev, label')}, li AS (SELECT * FROM mo WHERE n >= 10 AND length >= 4),
+ti AS (SELECT *, 0 AS tip, cx + tmin * dx AS x, cy + tmin * dy AS y, cz + tmin * dz AS z, 1 AS s FROM li UNION ALL SELECT *, 1, cx + tmax * dx, cy + tmax * dy, cz + tmax * dz, -1 FROM li),
+pr AS (SELECT p.label AS a, q.label AS b, p.tip AS ta, q.tip AS tb, {EPS} AS dist, (p.x + q.x) / 2 AS mx, (p.y + q.y) / 2 AS my, (p.z + q.z) / 2 AS mz, p.cx AS acx, p.cy AS acy, p.cz AS acz, p.dx AS adx, p.dy AS ady, p.dz AS adz, q.cx AS bcx, q.cy AS bcy, q.cz AS bcz, q.dx AS bdx, q.dy AS bdy, q.dz AS bdz,
+ degrees(acos(greatest(least((p.dx * q.dx + p.dy * q.dy + p.dz * q.dz) * p.s * q.s, 1), -1))) AS turn FROM ti p JOIN ti q ON p.label < q.label WHERE dist <= 25),
+ok AS (SELECT * FROM pr WHERE {' AND '.join(f'sqrt(greatest((mx - {s}cx) ** 2 + (my - {s}cy) ** 2 + (mz - {s}cz) ** 2 - ((mx - {s}cx) * {s}dx + (my - {s}cy) * {s}dy + (mz - {s}cz) * {s}dz) ** 2, 0)) <= 25' for s in 'ab')} AND turn >= 15 AND turn <= 165 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY dist, ta, tb) = 1),
+co AS (SELECT pt.label, x, y, z FROM pt JOIN li ON pt.label = li.label WHERE ((x - cx) * dx + (y - cy) * dy + (z - cz) * dz - tmin) / greatest(length, 1e-9) BETWEEN 0.3 AND 0.7)
+SELECT 0 AS ev, a, b, round(dist, 6) AS dist FROM ok WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.label IN (a, b) AND sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) <= 0.5)""")
 def vertex_merge_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from cloudloom.operators.stages import vertex_merge_pairs as pairs
 
