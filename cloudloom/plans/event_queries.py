@@ -336,3 +336,24 @@ def soft_assignments(spark: SparkSession, sf: str) -> DataFrame:
     shares = p.select("ev", F.col("label").alias("node"), "e", slots.alias("_s")).groupBy("ev", "node", "_s.slot").agg(F.log((F.sum("_s.part") + 0.05 * F.sum("e")) / (1.15 * F.sum("e"))).alias("field"))
     out = annealing.anneal(shares, graph.stored(scored), ["ev"], betas=BETAS, damping=DAMPING, tolerance=0.0, max_rounds=ROUNDS, strength=0.05)
     return rounded(out.beliefs.drop("ev"))
+
+
+# --- the chain -------------------------------------------------------------
+
+
+@query("relational_chain")
+def relational_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of all points after every stage of the chain, no event in one task."""
+    from cloudloom.plans import relations
+    from cloudloom.plans.config import ChainConfig
+
+    cfg = ChainConfig.of(rescue_eps=9.0, rescue_hits=5, rescue_length=10.0, rescue_linearity=0.4, rescue_rms=30.0, lam=3.0, leftover_eps=8.0, stitch_dist=15.0, stitch_end=60.0, stitch_dot=-0.3, stitch_window=20.0, stitch_trans=40.0)
+    return relations.chain(event_points(spark, sf), ["ev"], config=cfg)
+
+
+@query("stage_scores")
+def stage_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores after each stage of the chain."""
+    from cloudloom.plans import relations
+
+    return rounded(relations.stage_scores(relational_chain(spark, sf), event_points(spark, sf), ["ev"]))

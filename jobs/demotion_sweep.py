@@ -7,8 +7,8 @@ writes one row for each label with its event's scores, partitioned by threshold
     spark-submit jobs/demotion_sweep.py --input DATA --output OUT [--config FILE]
 
 ``--input`` is a folder with the hit table, ``--output`` the folder to write.  Configuration:
-``least_hits`` (thresholds: labels of fewer hits become noise), ``events`` (null: all, or a list), and
-``tracks_below`` (labels below it count as tracks).
+``least_hits`` (thresholds: labels of fewer hits become noise), ``events`` (null: all, or a list),
+``tracks_below`` (labels below it count as tracks) and ``files_per_partition``.
 
 Rerunning replaces the partitions of the events and thresholds at hand and leaves others: the
 same input and configuration give the same output, and a run that was cut off is just run again.  Each
@@ -52,7 +52,9 @@ def run(spark: SparkSession, source: str, target: str, config: dict | None = Non
     log.info("read %d hits of %d events from %s", *table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("ev")).first(), source)
     columns = [c.split()[0] for c in SCHEMA.replace("\n", "").split(",")]
     rows = stored(sweep(table, config["least_hits"], config["tracks_below"]).select(*columns))
-    rows.repartition("least_hits", "ev").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("least_hits", "ev").parquet(f"{target}/labels")
+    # An event may hold most labels: its rows are dealt over as many files as configured.
+    part = F.pmod(F.xxhash64("label"), F.lit(config["files_per_partition"]))
+    rows.repartition("least_hits", "ev", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("least_hits", "ev").parquet(f"{target}/labels")
     log.info("wrote %d labels to %s/labels", rows.count(), target)
     return spark.read.schema(SCHEMA).parquet(f"{target}/labels")
 

@@ -65,6 +65,21 @@ def test_label_watch_takes_only_what_is_new(spark, tmp_path, caplog):
     assert score.purity == pytest.approx((11 + 0 + 4) / 21) and score.completeness == pytest.approx((11 + 4 + 2) / 21)
 
 
+def test_label_watch_in_small_batches_gives_the_same(spark, tmp_path):
+    source = str(tmp_path / "docs")
+    for part in (FIRST[:2], FIRST[2:], THEN):
+        documents(spark, source, part)
+    config = common.configuration(label_watch.__file__, max_files=1, shards=3)
+    small = label_watch.run(spark, source, str(tmp_path / "a"), str(tmp_path / "a_ckpt"), config)
+    whole = label_watch.run(spark, source, str(tmp_path / "b"), str(tmp_path / "b_ckpt"), common.configuration(label_watch.__file__, shards=3))
+    assert rows(small) == rows(whole) and len(small.collect()) == 3
+    count = lambda out: len([x for x in os.listdir(tmp_path / out / "partials") if x.startswith("batch=")])
+    assert (count("a"), count("b")) == (3, 1)
+    swapped = common.configuration(label_watch.__file__, label="lang", group="source")
+    other = {r.label: r.dom for r in label_watch.run(spark, source, str(tmp_path / "c"), str(tmp_path / "c_ckpt"), swapped).collect()}
+    assert other == {"en": "s1", "de": "s1", "fr": "s1"}
+
+
 def test_label_watch_repeats_a_batch_that_was_cut_off(spark, tmp_path):
     source, target, mark = (str(tmp_path / n) for n in ("docs", "out", "ckpt"))
     documents(spark, source, FIRST)
