@@ -6,8 +6,8 @@ penalty for each switch labels the words of a text, so that mixed texts fall int
 language with the most letters is the text's.  The pass runs through the whole text, however long:
 its memory is about ten bytes for each word and language of the longest text of a task.
 
-The model holds every language of the table, each counted on a bounded sample of its rows
-(``sample_rows`` a language, those least in hash order), whole texts, in cells of fixed number.
+The model holds every language of the table, each counted on a bounded sample of its texts
+(``sample_rows`` a language, those least in hash order; copies are one), whole texts, in cells of fixed number.
 
 Defined results: a null text or one without letters is ``und`` with score 0; a word in a script
 that no learned language uses counts for none; with nothing to learn from all is ``und``;
@@ -181,13 +181,17 @@ class Reader:
 
 
 def learn(docs: DataFrame, sample_rows: int = 6000) -> Model:
-    """A model of every language of ``docs`` from at most ``sample_rows`` rows (text, lang) of each, whole texts."""
+    """A model of every language of ``docs`` from at most ``sample_rows`` different texts of each, whole."""
     known = docs.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    # The rows of each language least in hash order, found without their texts.
+    # The texts of each language least in hash order.  A count of different hashes gives a bound that leaves about
+    # twice as many as wanted, so only those are ranked; copies of a text are one.
     known = known.withColumn("h", F.xxhash64("text", "lang"))
+    share = F.least(F.lit(2.0 * sample_rows) / F.approx_count_distinct("h", 0.02), F.lit(1.0))
+    edges = known.select("lang", "h").groupBy("lang").agg((F.lit(-(2.0**63)) + share * 2.0**64).alias("edge"))
+    near = known.join(F.broadcast(edges), "lang").where(F.col("h").cast("double") <= F.col("edge"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    edges = known.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= sample_rows).groupBy("lang").agg(F.max("h").alias("edge"))
-    sample = known.join(F.broadcast(edges), "lang").where("h <= edge").select("text", "lang")
+    chosen = near.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("lang", "h")
+    sample = near.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
     width = CELLS + len(SCRIPTS)
     counts = "lang string, counts binary"
 

@@ -126,6 +126,17 @@ def test_untaught_classifiers(spark, frame):
     assert {r.lang_pred for r in language.identify(docs, model).collect()} == {"und"}
 
 
+def test_copies_teach_a_language_once(spark, monkeypatch):
+    """A hundred thousand copies of one text weigh as one; each language gives its least texts by hash, no more."""
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda langs, counts, in_script: seen.append((langs, counts, in_script)))
+    rows = spark.range(100_000).selectExpr("'der hund und die katze' as text", "'de' as lang")
+    more = spark.range(300).selectExpr("concat('the word', id, ' here') as text", "'en' as lang")
+    language.learn(rows.unionByName(more).repartition(8), sample_rows=50)
+    (langs, counts, in_script), = seen
+    assert langs == ["de", "en"] and in_script.sum(0).tolist() == [5.0, 150.0]
+
+
 def test_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "plain & text"), (None, "u", "<p>a<p>b"), (5, "u", "<div " * 2000), (6, "u", "<p>" + "word " * 50_000), (6, "u", "<a 'b>" * 100)]
     out = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
