@@ -9,6 +9,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudloom.llm import negatives
 
@@ -30,7 +31,8 @@ def brute(rows, every=100, positives=5, negatives_=10, low=30, high=90):
 
 
 def mined(spark, rows, **options):
-    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    clash = {c: F.lit("x") for c in ("v", "uid", "far", "cell", "ring", "query", "slot", "score", "rank")}
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5).withColumns(clash)
     return sorted(map(tuple, negatives.hard_negatives(negatives.quantised(df), **options).collect()))
 
 
