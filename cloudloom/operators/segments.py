@@ -2,7 +2,7 @@
 
 A segment is sampled in steps and listed under the cells of its samples; what lies within reach of it
 lies in those cells or their neighbours, so near pairs and points in capsules are equi-joins on the
-cell, and work follows the length of the segments, not the number of pairs.  A cell with very many
+cell, and work follows the length of the segments (a row for each step and cell), not the number of pairs.  A cell with very many
 points is dealt over slots, in all of which its capsules stand, so no task gets it whole.
 
 Segments have the ends ax, ay, az and bx, by, bz.

@@ -38,9 +38,7 @@ def eps_join(left: DataFrame, right: DataFrame, r: float, keys: list[str] | None
 
 def eps_pairs(points: DataFrame, r: float, keys: list[str], hit: str = "hit_id") -> DataFrame:
     """(keys, i, j, dist) of all pairs i < j within ``r``."""
-    left = points.select(*keys, F.col(hit).alias("i"), "x", "y", "z")
-    right = points.select(*keys, F.col(hit).alias("j"), "x", "y", "z")
-    return eps_join(left, right, r, keys).where("i < j").select(*keys, "i", "j", "dist")
+    return near_pairs(points, r, keys, hit)
 
 
 def near_pairs(points: DataFrame, r: float, keys: list[str], hit: str = "hit_id") -> DataFrame:

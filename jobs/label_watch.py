@@ -13,7 +13,7 @@ each batch), ``catalog`` (a row for each label, partitioned by shard) and ``scor
 ``--checkpoint`` is the stream's.  Configuration: ``label``, ``group`` (columns), ``max_files`` (of a
 micro-batch), ``shards`` (of the catalog).
 
-Rerunning takes what is new and is safe at any point: a batch that is tried again replaces its own
+Output and checkpoint belong together: start both anew or neither. Rerunning takes what is new and is safe at any point: a batch that is tried again replaces its own
 partial, and the catalog and scores are made anew from all partials.  Null labels are noise, null
 groups are without truth, null texts have no characters; other columns are not read.
 """

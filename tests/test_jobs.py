@@ -94,6 +94,14 @@ def test_label_watch_repeats_a_batch_that_was_cut_off(spark, tmp_path):
     assert sorted(x for x in os.listdir(f"{target}/partials") if x.startswith("batch")) == ["batch=0"]
 
 
+def test_paths_may_be_uris(spark, tmp_path):
+    source, out = f"file:{tmp_path}/docs", f"file:{tmp_path}/out"
+    documents(spark, source, FIRST)
+    assert label_watch.run(spark, source, out, f"{out}/checkpoint").count() == 2
+    if os.path.isdir(DATA):
+        assert demotion_sweep.run(spark, f"file:{DATA}", f"{out}/sweep", common.configuration(demotion_sweep.__file__, least_hits=[3])).count() > 0
+
+
 def test_label_watch_without_files(spark, tmp_path):
     documents(spark, str(tmp_path / "docs"), [])
     assert label_watch.run(spark, str(tmp_path / "docs"), str(tmp_path / "out"), str(tmp_path / "ckpt")).collect() == []
