@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.operators.graph import checkpointed, connected_components
-from cloudloom.operators.spatial import eps_pairs
+from cloudloom.operators.graph import connected_components, stored
+from cloudloom.operators.spatial import near_pairs
+
+
+def _numbered(points: DataFrame, keys: list[str], hit: str) -> DataFrame:
+    """``points`` with a number of their own, ``node``, that stays: graphs of numbers are cheaper than graphs of keys."""
+    return stored(points.select(*keys, F.col(hit).alias("hit"), "x", "y", "z").withColumn("node", F.monotonically_increasing_id()))
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, keys: list[str], hit: str = "hit_id") -> DataFrame:
@@ -15,29 +20,30 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, keys: list[str], hit
     A point is core if ``min_samples`` points (itself too) lie within ``eps``; clusters are the
     components of cores; a border point joins the lowest-numbered cluster among its cores.
     """
-    ids = points.select(*keys, F.col(hit).alias("i"), F.struct(*keys, F.col(hit).alias("i")).alias("node"))
-    pairs = checkpointed(eps_pairs(points, eps, keys, hit).select(*keys, "i", "j"))
-    both = pairs.unionByName(pairs.select(*keys, F.col("j").alias("i"), F.col("i").alias("j")))
-    degree = both.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("n"))
-    cores = checkpointed(ids.join(degree, [*keys, "i"], "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select(*keys, "i"))
-    linked = pairs.join(cores, [*keys, "i"]).join(cores.withColumnRenamed("i", "j"), [*keys, "j"])
-    named = linked.select(F.struct(*keys, "i").alias("a"), F.struct(*keys, F.col("j").alias("i")).alias("b"))
-    comps = connected_components(named)
-    seeds = cores.join(comps.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.i").alias("i"), F.col("component.i").alias("least")), [*keys, "i"], "left")
-    seeds = seeds.select(*keys, "i", F.coalesce("least", "i").alias("least"))
-    numbers = seeds.select(*keys, "least").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy(*keys).orderBy("least")) - 1)
-    core_labels = seeds.join(numbers, [*keys, "least"]).select(*keys, "i", "cluster")
-    border = both.join(core_labels.withColumnsRenamed({"i": "j"}), [*keys, "j"]).groupBy(*keys, "i").agg(F.min("cluster").alias("border"))
-    out = ids.join(core_labels, [*keys, "i"], "left").join(border, [*keys, "i"], "left")
-    return out.select(*keys, F.col("i").alias(hit), F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
+    rows = _numbered(points, keys, hit)
+    pairs = stored(near_pairs(rows, eps, keys, "node").select("i", "j"))
+    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    degree = both.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    cores = rows.select(F.col("node").alias("i")).join(degree, "i", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("i")
+    cores = stored(cores)
+    linked = pairs.join(cores, "i").join(cores.withColumnRenamed("i", "j"), "j")
+    comps = connected_components(linked.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    seeds = cores.withColumnRenamed("i", "node").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    seeds = seeds.join(rows.select(*keys, "hit", "node"), "node")
+    first = seeds.groupBy(*keys, "root").agg(F.min("hit").alias("least"))
+    numbers = first.withColumn("cluster", F.row_number().over(Window.partitionBy(*keys).orderBy("least")) - 1).select("root", "cluster")
+    core_labels = seeds.select("node", "root").join(numbers, "root").select("node", "cluster")
+    border = both.join(core_labels.withColumnRenamed("node", "j"), "j").groupBy(F.col("i").alias("node")).agg(F.min("cluster").alias("border"))
+    out = rows.select(*keys, "hit", "node").join(core_labels, "node", "left").join(border, "node", "left")
+    return out.select(*keys, F.col("hit").alias(hit), F.coalesce("cluster", "border", F.lit(-1)).cast("long").alias("cluster"))
 
 
 def radius_components(points: DataFrame, radius: float, keys: list[str], hit: str = "hit_id") -> DataFrame:
     """(keys, hit, component): components of the radius graph, by size from the largest, then first point."""
-    pairs = eps_pairs(points, radius, keys, hit).select(F.struct(*keys, "i").alias("a"), F.struct(*keys, F.col("j").alias("i")).alias("b"))
-    comps = connected_components(pairs)
-    linked = comps.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.i").alias(hit), F.col("component.i").alias("least"))
-    rows = points.select(*keys, hit).join(linked, [*keys, hit], "left").withColumn("least", F.coalesce("least", hit))
-    sizes = rows.groupBy(*keys, "least").agg(F.count(F.lit(1)).alias("size"))
+    rows = _numbered(points, keys, hit)
+    comps = connected_components(near_pairs(rows, radius, keys, "node").select(F.col("i").alias("a"), F.col("j").alias("b")))
+    named = rows.select(*keys, "hit", "node").join(comps, "node", "left").select(*keys, "hit", F.coalesce("component", "node").alias("root"))
+    sizes = named.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("size"), F.min("hit").alias("least"))
     order = Window.partitionBy(*keys).orderBy(F.desc("size"), "least")
-    return rows.join(sizes.withColumn("component", F.row_number().over(order) - 1), [*keys, "least"]).select(*keys, hit, "component", "size")
+    numbers = sizes.withColumn("component", F.row_number().over(order) - 1).select("root", "size", "component")
+    return named.join(numbers, "root").select(*keys, F.col("hit").alias(hit), "component", "size")
