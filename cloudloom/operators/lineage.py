@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.operators.graph import connected_components, stored
+from cloudloom.operators.metrics import level
 
 
 def overlaps(before: DataFrame, after: DataFrame, on: list[str], keys: list[str], energy: str = "e") -> DataFrame:
@@ -66,9 +67,9 @@ def separation_audit(hits: DataFrame, keys: list[str]) -> DataFrame:
     real = lambda c: F.when(F.col(c) >= 0, F.col(c))
     rows = hits.select(*keys, real("old").alias("old"), real("new").alias("new"), real("g").alias("g"), "e").where("old is not null")
     table = rows.groupBy(*keys, "old", "new", "g").agg(F.sum("e").alias("e"))
-    parts = table.groupBy(*keys, "old", "new").agg(F.sum("e").alias("e_new"), F.max(F.when(F.col("g").isNotNull(), F.struct("e", (-F.col("g")).alias("minus")))).alias("_d"))
+    parts = table.groupBy(*keys, "old", "new").agg(F.sum("e").alias("e_new"), F.max(F.when(F.col("g").isNotNull(), F.struct(level("e").alias("level"), (-F.col("g")).alias("minus")))).alias("_d"))
     parts = stored(parts.select(*keys, "old", "new", "e_new", (-F.col("_d.minus")).alias("dom")))
-    rank = F.struct((F.coalesce(F.col("new") == F.col("old"), F.lit(False))).alias("same"), "e_new", (-F.coalesce("new", F.lit(-1))).alias("minus"))
+    rank = F.struct((F.coalesce(F.col("new") == F.col("old"), F.lit(False))).alias("same"), level("e_new").alias("level"), (-F.coalesce("new", F.lit(-1))).alias("minus"))
     keeper = parts.where("new is not null").groupBy(*keys, "old").agg(F.max(F.struct(rank.alias("r"), "new", "dom")).alias("k")).select(*keys, "old", F.col("k.new").alias("keeper"), F.col("k.dom").alias("keeper_dom"))
     moved = parts.join(keeper, [*keys, "old"]).where(F.col("new").isNull() | (F.col("new") != F.col("keeper")))
     verdict = F.when(F.col("dom").isNull() | F.col("keeper_dom").isNull(), "no_truth").when(F.col("dom") == F.col("keeper_dom"), "broke_same").otherwise("separated")

@@ -49,3 +49,14 @@ def test_a_crowded_event_holds_no_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 700e6
+
+
+def test_equal_energies_in_any_order_go_to_the_least_group(spark):
+    from cloudloom.operators import metrics
+
+    rows = [(0, 1, 7, e) for e in (0.1, 0.2, 0.3)] + [(0, 1, 5, e) for e in (0.3, 0.2, 0.1)]  # as doubles 0.6000000000000001 and 0.6
+    rows += [(0, 2, 5, 0.6), (0, 2, 7, 0.6000001)]
+    for part in (rows, rows[::-1]):
+        hits = spark.createDataFrame(part, "ev int, label long, g long, e double").coalesce(1)
+        got = {r.label: (r.dom, round(r.e_dom, 6), round(r.e_foreign, 6)) for r in metrics.dominant(hits, ["ev"]).collect()}
+        assert got[1] == (5, 0.6, 0.6) and got[2][0] == 7
