@@ -331,7 +331,7 @@ def soft_assignments(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters over three slots: their energy's shares as fields, link scores as couplings, two temperatures."""
     p, infos = _infos(spark, sf)
     infos = graph.stored(infos)
-    scored = links.score_v0(links.candidate_pairs(infos, links.sample_points(p, ["ev"]), ["ev"]), infos, ["ev"]).select("ev", "a", "b", F.col("j0").alias("j"))
+    scored = links.score_v0(links.candidate_pairs(infos, p, ["ev"]), infos, ["ev"]).select("ev", "a", "b", F.col("j0").alias("j"))
     slots = F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.when(F.col("g") % 3 == s, F.col("e")).otherwise(0.0).alias("part")) for s in range(3)]))
     shares = p.select("ev", F.col("label").alias("node"), "e", slots.alias("_s")).groupBy("ev", "node", "_s.slot").agg(F.log((F.sum("_s.part") + 0.05 * F.sum("e")) / (1.15 * F.sum("e"))).alias("field"))
     out = annealing.anneal(shares, graph.stored(scored), ["ev"], betas=BETAS, damping=DAMPING, tolerance=0.0, max_rounds=ROUNDS, strength=0.05)

@@ -60,3 +60,18 @@ def test_equal_energies_in_any_order_go_to_the_least_group(spark):
         hits = spark.createDataFrame(part, "ev int, label long, g long, e double").coalesce(1)
         got = {r.label: (r.dom, round(r.e_dom, 6), round(r.e_foreign, 6)) for r in metrics.dominant(hits, ["ev"]).collect()}
         assert got[1] == (5, 0.6, 0.6) and got[2][0] == 7
+
+
+def test_contacts_look_at_every_point(spark):
+    from cloudloom.operators import links
+
+    rng = np.random.default_rng(6)
+    at = {1: (0, 0, 0), 2: (3, 0, 0), 3: (40, 0, 0)}  # more points than were sampled; the third cluster is far off
+    rows = [(0, k, k * 1000 + n, *map(float, p)) for k, c in at.items() for n, p in enumerate(np.round(rng.normal(size=(350, 3)), 1) + c)]
+    hits = spark.createDataFrame(rows, "ev int, label long, hit_id long, x double, y double, z double")
+    pairs = spark.createDataFrame([(0, 1, 2), (0, 1, 3), (0, 2, 3)], "ev int, a long, b long")
+    for r in links.contacts(pairs, hits, ["ev"]).collect():
+        a, b = ([x for x in rows if x[1] == k] for k in (r.a, r.b))
+        d = np.sqrt(((np.array([x[3:] for x in a])[:, None] - np.array([x[3:] for x in b])[None]) ** 2).sum(2))
+        assert r.d_min == pytest.approx(d.min()) and r.n3 == (d.min(1) <= 3).sum()
+        assert np.linalg.norm(np.subtract((r.pax, r.pay, r.paz), (r.pbx, r.pby, r.pbz))) == pytest.approx(d.min())
