@@ -1,9 +1,10 @@
-"""Density clusterings at many radii from one spanning forest of mutual reachability.
+"""Density clusterings at many radii: sweeps over cells, and the spanning forest of mutual reachability.
 
 The core distance of a point is the radius at which it becomes a core point; two points are linked at a
 radius if it reaches their distance and both core distances (their mutual reachability).  A least
 spanning forest of the links up to the largest radius holds the clusters of every smaller one: cut its
-longer edges off, and the components that stay are the clusters.  So one radius join serves all radii.
+longer edges off, and the components that stay are the clusters.  It holds all pairs within that radius;
+``dbscan_sweep`` does not need them.
 
 The forest comes from Boruvka rounds: each component takes its least edge outwards, chosen edges
 merge components, edges inside one component go, and of edges between the same two only the least stays.
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.operators import density
 from cloudloom.operators.graph import connected_components, stored
 from cloudloom.operators.spatial import near_pairs
 
@@ -70,22 +72,11 @@ def reachability_forest(points: DataFrame, eps: float, min_samples: int, keys: l
 
 
 def dbscan_sweep(points: DataFrame, radii: list[float], min_samples: int, keys: list[str], hit: str = "hit_id") -> DataFrame:
-    """(keys, hit, eps, cluster) for every point and radius: what ``density.dbscan`` gives at each radius."""
-    radii = sorted(set(map(float, radii)))
-    places, pairs, cores, forest = reachability_forest(points, radii[-1], min_samples, keys, hit)
-    steps = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(r).alias("eps")) for k, r in enumerate(radii)]))
-    copy = lambda c: F.col(c) * len(radii) + F.col("k")  # noqa: E731  one graph holds all radii, each with its own copy of a spot
-    kept = forest.withColumn("_s", steps).select("u", "v", "w", "_s.*").where("w <= eps")
-    comps = connected_components(kept.select(copy("u").alias("a"), copy("v").alias("b")))
-    core = cores.withColumn("_s", steps).select("node", "core", "_s.*").where("core <= eps").withColumn("copy", copy("node"))
-    core = core.join(comps.withColumnRenamed("node", "copy"), "copy", "left").select("node", "k", F.coalesce("component", "copy").alias("component"))
-    core = core.join(places.select("node", *keys, "least"), "node")
-    first = core.groupBy(*keys, "k", "component").agg(F.min("least").alias("least"))
-    numbers = first.withColumn("cluster", (F.row_number().over(Window.partitionBy(*keys, "k").orderBy("least")) - 1).cast("long"))
-    inner = stored(core.join(numbers.select("k", "component", "cluster"), ["k", "component"]).select("node", "k", "cluster"))
-    both = pairs.select(F.col("i").alias("node"), F.col("j").alias("near"), "dist").unionByName(pairs.select(F.col("j").alias("node"), F.col("i").alias("near"), "dist"))
-    edge = both.join(cores, "node", "left").withColumn("_s", steps).select("node", "near", "dist", "core", "_s.*").where("dist <= eps and (core is null or core > eps)")
-    border = edge.join(inner.withColumnRenamed("node", "near"), ["near", "k"]).groupBy("node", "k").agg(F.min("cluster").alias("cluster"))
-    named = inner.unionByName(border)
-    at = points.select(*keys, hit, "x", "y", "z").join(places.select(*keys, "x", "y", "z", "node"), [*keys, "x", "y", "z"], "left").withColumn("_s", steps).select(*keys, hit, "node", "_s.*")
-    return at.join(named, ["node", "k"], "left").select(*keys, hit, "eps", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
+    """(keys, hit, eps, cluster) for every point and radius: what ``density.dbscan`` gives at each radius.
+
+    All radii go through the cells of ``density`` at once, each with its own copy of a point: the forest above asks for
+    all pairs within the largest radius, whose number grows with the square of crowded places.
+    """
+    steps = F.explode(F.array(*[F.lit(r) for r in sorted(set(map(float, radii)))]))
+    copies = points.select(*keys, hit, "x", "y", "z").withColumn("eps", steps)
+    return density.clusters(copies, F.col("eps"), min_samples, [*keys, "eps"], hit, alone=False).select(*keys, hit, "eps", "cluster")

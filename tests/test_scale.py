@@ -75,3 +75,21 @@ def test_contacts_look_at_every_point(spark):
         d = np.sqrt(((np.array([x[3:] for x in a])[:, None] - np.array([x[3:] for x in b])[None]) ** 2).sum(2))
         assert r.d_min == pytest.approx(d.min()) and r.n3 == (d.min(1) <= 3).sum()
         assert np.linalg.norm(np.subtract((r.pax, r.pay, r.paz), (r.pbx, r.pby, r.pbz))) == pytest.approx(d.min())
+
+
+def test_crowded_places_cost_no_pairs(spark):
+    import os
+
+    from cloudloom.operators import density, graph, sweeps
+
+    folder = graph.checkpoint_folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    rng = np.random.default_rng(7)
+    rows = [(n, *map(float, p)) for n, p in enumerate(rng.normal(size=(3000, 3)))] + [(3000, 90.0, 0.0, 0.0), (3001, float("inf"), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "hit_id long, x double, y double, z double").selectExpr("0 AS ev", "*")
+    before = size()
+    made = sweeps.dbscan_sweep(df, [12.0, 14.0], 4, ["ev"]).collect()  # 4.5 million pairs at either radius
+    assert {(r.cluster, r.hit_id < 3000) for r in made} == {(0, True), (-1, False)} and len(made) == 2 * len(rows)
+    assert size() - before < 4e6
+    parts = {r.hit_id: (r.component, r["size"]) for r in density.radius_components(df, 12.0, ["ev"]).collect()}
+    assert parts[0] == parts[2999] == (0, 3000) and parts[3000] == (1, 1) and parts[3001] == (2, 1)
