@@ -31,15 +31,23 @@ CROWD = 64
 SLICE = 500
 #: Rows of a table up to which it may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Keys, one long each, up to which they may be broadcast.
+BROADCAST_KEYS = 2_000_000
 #: Pairs of each class that the first round verifies.
 START = 16
 #: How many times as many hubs, and pairs of a class, a round takes as the one before.
 MORE = 64
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
     """``df``, broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
+def meeting(index: DataFrame) -> DataFrame:
+    """Rows of ``index`` (key, ...) whose key stands in several; the others meet nothing."""
+    keys = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    return index.join(small(keys, BROADCAST_KEYS), "key", "left_semi")
 
 
 def delivered(pairs: DataFrame, load: Callable[[DataFrame], DataFrame], same: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
@@ -71,29 +79,22 @@ def link_rounds(
     close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     load: Callable[[DataFrame], DataFrame],
     same: Callable[[np.ndarray, np.ndarray], bool],
-    sparse: bool = False,
     crowd: int | None = None,
 ) -> DataFrame:
     """(a, b): verified links that connect all nodes of ``index`` that candidate pairs connect.
 
     ``index`` holds (part, key, node, probe), or all but part, and what ``close`` reads of both
     sides; two probes are no candidates.  Its rows are distinct and the same when read again.
-    ``sparse``: it has no probes and most of its keys hold one node; those meet nothing and are
-    left out before rows are joined.  ``crowd`` stands in for ``CROWD``.
+    Where most keys hold one node, hand in its ``meeting`` rows.  ``crowd`` stands in for ``CROWD``.
     """
     on = [c for c in ("part", "key") if c in index.columns]
     cols = [c for c in index.columns if c not in on]
     most = CROWD if crowd is None else crowd
-    keys = index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-    if sparse:
-        keys = stored(keys.where("lo < hi").select(*on, "n"))
+    keys = index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     crowded = checkpoint(keys.where(F.col("n") > most).select(*on))
     n_crowded = crowded.count()
     few = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
-    if sparse:
-        thin = index.join(small(keys.where(F.col("n") <= most).select(*on)), on, "left_semi")
-    else:
-        thin = index.join(few, on, "left_anti") if n_crowded else index
+    thin = index.join(few, on, "left_anti") if n_crowded else index
 
     def side(df: DataFrame, s: str, *more: str) -> DataFrame:
         return df.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in (*cols, *more)])

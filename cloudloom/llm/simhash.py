@@ -21,7 +21,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 from operator import add
 
 import numpy as np
@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import checkpoint, fresh, read_table, sum_vectors
-from cloudloom.llm.rounds import link_rounds
-from cloudloom.operators.graph import connected_components
+from cloudloom.llm.rounds import link_rounds, meeting, small
+from cloudloom.operators.graph import connected_components, stored
 
 #: Index entries of one key beyond which its bucket goes to the kernel.
 CROWD = 64
@@ -45,6 +45,8 @@ MAX_BITS, NEAR_BITS = 7, 22
 ODD = ("odd0", "odd1", "odd2", "odd3")
 #: Cells of word counts; words that a task remembers.
 CELLS, CACHE = 1 << 18, 200_000
+#: Cells of shingle counts, by which common shingles are told from rare ones.
+SHINGLE_CELLS = 1 << 20
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -336,30 +338,32 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     return np.sqrt(np.log((total[-1] + 1) / np.maximum(total[:-1], 1))).astype(np.float32)
 
 
-def described(docs: DataFrame, weights: np.ndarray, width: int) -> DataFrame:
-    """(_row, doc_id, d1, d2, size, fp, near, ODD) of each row (_row, doc_id, text).
+def described(docs: DataFrame, weights: np.ndarray, width: int, counts: np.ndarray | None = None, similarity: float = 0.8) -> DataFrame:
+    """(_row, doc_id, d1, d2, size, fp, near, ODD, first) of each row (_row, doc_id, text).
 
     d1, d2 and size tell the set of shingles; fp is the SimHash of the text's words by weight,
-    near that of its set of shingles, ODD its odd cells.
+    near that of its set of shingles, ODD its odd cells, first its ``prefix`` (without ``counts``: none).
     """
     names = ["d1", "d2", "size", "fp", "near", *ODD]
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, (weights, counts) = WordHashes(), shared.value
         for batch in batches:
             cols: list[list[int]] = [[] for _ in names]
+            firsts = []
             for t in batch.column(2):
                 words = _words(t.as_py())
                 hashes, times = known.counted(words)
                 s = shingles(words, width)
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                row = np.frombuffer(d, "<i8").tolist() + [len(s), _majority(hashes, times * shared.value[_cells(hashes)]), _majority(s), *odd_cells(s)]
+                row = np.frombuffer(d, "<i8").tolist() + [len(s), _majority(hashes, times * weights[_cells(hashes)]), _majority(s), *odd_cells(s)]
+                firsts.append(s[:0] if counts is None else prefix(s, counts, similarity))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in cols]], names=["_row", "doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in cols], pa.array(firsts, pa.list_(pa.int64()))], names=["_row", "doc_id", *names, "first"])
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ["_row", "doc_id", *names]))
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in ["_row", "doc_id", *names]) + ", first array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -384,17 +388,44 @@ def jaccard_at_least(similarity: float) -> Callable[[np.ndarray, np.ndarray], bo
     return same
 
 
+def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How many rows (text) have shingles in each of ``SHINGLE_CELLS`` cells."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(SHINGLE_CELLS, np.int32)
+        for batch in batches:
+            for t in batch.column(0):
+                total[_shingle_cells(shingles(_words(t.as_py()), width))] += 1
+        return total
+
+    return sum_vectors(docs.select("text"), tally, SHINGLE_CELLS, "i4")
+
+
+def _shingle_cells(hashes: np.ndarray) -> np.ndarray:
+    return hashes & (SHINGLE_CELLS - 1)
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a set's ``hashes``, so many that two sets of that Jaccard similarity share one.
+
+    Both share ``similarity`` times the larger set at least, so in any order that all sets keep to,
+    one of those stands among the first of each.  The order is by ``counts`` of cells.
+    """
+    n = len(hashes) - ceil(similarity * len(hashes) - 1e-6) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, counts[_shingle_cells(hashes)]))[:n]]
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, max_bits: int) -> DataFrame:
-    """(a, b): links that connect all ``nodes`` (node, fp, near, size, ODD) whose texts (_row, text) are that similar.
+    """(a, b): links that connect all ``nodes`` (node, first, fp, near, size, ODD) whose texts (_row, text) are that similar.
 
-    Candidates are nodes whose word fingerprints differ in at most ``max_bits``, found by
-    generalised pigeonhole; sizes, odd cells and the shingle fingerprints (at most ``NEAR_BITS``
+    Candidates are nodes that share one of their ``first`` shingles (``prefix``): every similar
+    pair does, and a node has rows in proportion to its text however many nodes there are.  A
+    shingle of one node meets nothing and is left out.  Word fingerprints that differ in more than
+    ``max_bits`` are no link; sizes, odd cells and the shingle fingerprints (at most ``NEAR_BITS``
     apart) spare hopeless ones, and the sets of shingles decide.
     """
-    n, both = bit_statistics(nodes)
-    if n < 2:
-        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    index = keyed(nodes, choose_partitions(n, both, max_bits))
+    rows = nodes.select("node", F.explode("first").alias("key"))
+    index = stored(meeting(rows).join(small(nodes.drop("first")), "node").withColumn("probe", F.lit(False)))
 
     def close(p, q) -> Column:
         alike = F.least(p("size"), q("size")) >= similarity * F.greatest(p("size"), q("size")) - 1e-6
@@ -421,10 +452,10 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits:
     (row,) = fresh(docs, "_row")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     texts = rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = checkpoint(described(texts, word_weights(texts), width))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row", "fp", "near", "size", *ODD)).alias("first")
-    nodes = checkpoint(known.groupBy("d1", "d2").agg(first).select("first.*").withColumnRenamed("_row", "node"))
-    comps = connected_components(similar_links(nodes.select("node", "fp", "near", "size", *ODD), texts, width, similarity, max_bits))
+    known = stored(described(texts, word_weights(texts), width, shingle_counts(texts, width), similarity))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row", "fp", "near", "size", *ODD, "first")).alias("least")
+    nodes = stored(known.groupBy("d1", "d2").agg(least).select("least.*").withColumnRenamed("_row", "node"))
+    comps = connected_components(similar_links(nodes.select("node", "first", "fp", "near", "size", *ODD), texts, width, similarity, max_bits))
     roots = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
     stay = roots.groupBy("root").agg(F.min(F.struct("unknown", "doc_id", "node")).alias("first")).select(F.col("first.node").alias(row))
     return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -366,6 +366,29 @@ def test_keep_one_follows_links_that_miss_the_hub(spark, frame, monkeypatch, cro
     assert kept == set(root.values()) and len(kept) < 60
 
 
+def test_similar_sets_share_one_of_their_first_shingles():
+    rng = np.random.default_rng(12)
+    counts = rng.integers(0, 9, simhash.SHINGLE_CELLS).astype(np.int32)
+    for n in (1, 2, 5, 15, 40, 333):
+        for changed in range(n // 5 + 1):
+            a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+            b = np.unique(np.concatenate((a[rng.permutation(n)[changed:]], rng.integers(-(1 << 62), 1 << 62, changed // 2))))
+            p, q = (simhash.prefix(x, counts, 0.8) for x in (a, b))
+            assert len(p) <= 0.2 * n + 1
+            if simhash.jaccard_at_least(0.8)(a, b):
+                assert len(np.intersect1d(p, q))
+    assert len(simhash.prefix(a[:0], counts, 0.8)) == 0
+
+
+def test_index_rows_of_a_text_do_not_depend_on_the_others(spark, frame, monkeypatch):
+    rows = []
+    monkeypatch.setattr(simhash, "meeting", lambda index: rows.append(index.count()) or rounds.meeting(index))
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(4000)]
+    for n in (40, 4000):  # fingerprints in partitions took more probes of each text the more there were
+        assert simhash.keep_one(frame(docs[:n])).count() == n
+    assert rows == [40 * 8, 4000 * 8]  # of 36 shingles 29 must be shared, so 8 are kept
+
+
 # --- licenses --------------------------------------------------------------
 
 
@@ -482,6 +505,19 @@ def test_classes_against_all_pairs(spark, monkeypatch, crowd):
     assert {k: r.class_id for k, r in out.items()} == dict(enumerate(root))
 
 
+def test_corners_of_other_pictures_seldom_meet_in_the_tables(spark):
+    rng = np.random.default_rng(21)
+    low = rng.integers(0, 1 << 32, 400)  # one value in a quarter of the bits, the others at random
+    rows = [(k, [0, int(7 << 32 | x), int(y)]) for k, (x, y) in enumerate(zip(low, rng.integers(-(1 << 62), 1 << 62, 400), strict=True))]
+    near = [(1000 + k, [0, rows[k][1][1] ^ 1 << 3 ^ 1 << 40, rows[k][1][2] ^ 1 << (k % 60)]) for k in range(40)]
+    found = spark.createDataFrame(rows + near, "node long, corners array<long>")
+    met = {}
+    for r in rounds.meeting(media.table_rows(found)).collect():
+        met.setdefault(r.key, set()).add(r.node)
+    pairs = {(a, b) for g in met.values() for a in g for b in g if a < b}
+    assert {(k, 1000 + k) for k in range(40)} <= pairs and len(pairs) < 100
+
+
 def test_png_is_read():
     import struct
 
