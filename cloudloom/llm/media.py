@@ -2,9 +2,9 @@
 
 Local descriptors: at several scales corners are found, each is turned by the direction of its
 patch's intensity centroid, and 128 brightness comparisons around it become a binary descriptor.
-Descriptors meet in Hamming tables, one for each quarter of their bits: two that differ in at most
-``SEED_BITS`` agree in a quarter, so all such pairs of corners meet, and images with such a pair are
-candidates.  A candidate is settled by geometric consensus over all corners of both images: of the
+Descriptors meet in Hamming tables, one for each two of five parts of their bits: two that differ in
+at most ``SEED_BITS`` agree in two parts, so all such pairs of corners meet, and images with such a
+pair are candidates.  A candidate is settled by geometric consensus over all corners of both images: of the
 matches within ``max_bits``, ``min_agree`` places must fit the shift, turn and scale that one of
 them tells.  Images of equal bytes are one image from the start, and crowded table entries are
 settled in rounds of hubs (``rounds``), so a class of copies costs its size and no pair is left out.
@@ -22,6 +22,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import read_table
-from cloudloom.llm.rounds import link_rounds
+from cloudloom.llm.rounds import link_rounds, meeting
 from cloudloom.operators.graph import connected_components, stored
 
 SCALES = (1.0, 0.9, 0.8, 0.7)
 RADIUS, TURNS = 8, 32
-#: Differing bits up to which all pairs of descriptors meet in the tables (one less than there are tables).
+#: Differing bits up to which all pairs of descriptors meet in the tables, and first bits of the parts, two more than that.
 SEED_BITS = 3
+EDGES = (0, 26, 52, 78, 103, 128)
 MOST_PIXELS = 1 << 26
 #: Corners of one table entry beyond which its pairs are not made at once.
 CROWD = 8
@@ -199,11 +201,13 @@ def corners(images: DataFrame) -> DataFrame:
 
 
 def table_rows(found: DataFrame) -> DataFrame:
-    """(key, node, probe, low, high) for each different corner of (node, corners) and each quarter of its bits; key tells the quarter too."""
+    """(key, node, probe, low, high) for each different corner of (node, corners) and each two parts of its bits; key tells the parts too."""
     corners = F.transform(F.sequence(F.lit(0), F.size("corners") - 1, F.lit(3)), lambda k: F.struct(F.col("corners")[k + 1].alias("low"), F.col("corners")[k + 2].alias("high")))
     each = found.where(F.size("corners") > 0).select("node", F.inline(F.array_distinct(corners)))
-    quarter = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = [quarter(c, shift).bitwiseOR(F.lit(part << 32)) for part, (c, shift) in enumerate((c, shift) for c in ("low", "high") for shift in (0, 32))]
+    parts = [(1 << b) - (1 << a) for a, b in pairwise(EDGES)]
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    masks = [(signed(m & (1 << 64) - 1), signed(m >> 64)) for m in map(sum, combinations(parts, len(parts) - SEED_BITS))]
+    keys = [F.xxhash64(F.lit(k), F.col("low").bitwiseAND(F.lit(lo)), F.col("high").bitwiseAND(F.lit(hi))) for k, (lo, hi) in enumerate(masks)]
     return each.select(F.explode(F.array(*keys)).alias("key"), "node", F.lit(False).alias("probe"), "low", "high")
 
 
@@ -253,7 +257,7 @@ def find_copies(images: DataFrame, min_agree: int = 6, max_bits: int = 12) -> Da
     found = stored(found.withColumn("node", F.monotonically_increasing_id()))
     close = lambda p, q: F.bit_count(p("low").bitwiseXOR(q("low"))) + F.bit_count(p("high").bitwiseXOR(q("high"))) <= SEED_BITS
     load = lambda names: found.join(names, "node", "left_semi").select("node", F.col("corners").alias("payload"))
-    links = link_rounds(table_rows(found), close, load, consensus(min_agree, max_bits), sparse=True, crowd=CROWD)
+    links = link_rounds(stored(meeting(table_rows(found))), close, load, consensus(min_agree, max_bits), crowd=CROWD)
     rooted = found.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("component", "node"))
     classes = rooted.groupBy("root").agg(F.min("image").alias("class_id"), F.sum("n").alias("class_size"))
     info = rooted.select("digest", (F.size("corners") / 3).cast("long").alias("n_corners"), "root").join(classes, "root").drop("root")
