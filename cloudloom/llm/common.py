@@ -87,6 +87,17 @@ def fold(column: str, n: int, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n == k, F.lit(False))
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of all labelled documents, and all class counts.
+
+    A doc_id with several texts or labels gives one row, the least text and the greatest label.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    sizes = {int(r[0]): int(r[1]) for r in known.groupBy("y").count().collect()}
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), sizes
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(text, y) of at most ``per_class`` labelled documents of each class, and all class counts.
 

@@ -147,6 +147,23 @@ def test_toxicity_on_rows_that_were_not_learned(spark):
     assert clean == {r.doc_id for r in toxicity.score_toxicity(docs, net).where("score < 0.7").collect()}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 1500)
+    rng = random.Random(14)
+    some = lambda: [rng.choice(WORDS) for _ in range(rng.randrange(8, 14))]
+    order = [r[0] for r in spark.range(3100).orderBy(F.xxhash64("id", F.lit(7))).collect()]
+    late = set(order[2500:])  # beyond a sample of 2,500 of a class
+    docs = [(k, " ".join([*some(), "zorblax" if k in late else "idiot", *some()])) for k in range(3100)]
+    docs += [(k, " ".join(some() + some())) for k in range(4000, 5500)]
+    new = [(10_000 + k, " ".join([*some(), *(["zorblax"] if k % 2 else []), *some()])) for k in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 4000)) for i, _ in docs], "doc_id long, toxic int")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    nets = [toxicity.learn(frame(docs).repartition(n), labels) for n in (2, 5)]
+    assert np.array_equal(nets[0].table, nets[1].table) and nets[0].thresholds == nets[1].thresholds
+    found = {r.doc_id: r.score >= 0.7 for r in toxicity.score_toxicity(frame(new), nets[0]).collect()}
+    assert sum(found[i] == bool(i % 2) for i, _ in new) >= 57
+
+
 def test_long_texts_score_alike_in_stretches():
     net = toxicity.Convolution()
     net.ready = True
