@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from cloudloom.operators.graph import checkpointed
 
+#: Pieces of a summed vector, each added up by one task.
+PIECES = 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -59,26 +61,30 @@ def sum_vectors(
 ) -> np.ndarray:
     """Sum over all partitions of the vector that ``tally`` makes of a partition's Arrow batches.
 
-    Vectors have a fixed ``width``; they are added up in about the square root of the number of
-    partitions of tasks first, so that the driver gets few of them however large the input is.
+    Vectors have a fixed ``width``.  Each partition deals its own out in ``PIECES`` pieces, equal
+    pieces meet in one task, and the driver gets the sum of each: one vector's bytes, however many
+    partitions there are.
     """
+    size = max(1, -(-width // PIECES))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = np.asarray(tally(batches), dtype=dtype)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())], names=["v"])
+        cuts = range(0, width, size)
+        yield pa.RecordBatch.from_arrays([pa.array([k // size for k in cuts], pa.int32()), pa.array([zlib.compress(v[k : k + size].tobytes(), 1) for k in cuts], pa.binary())], names=["piece", "v"])
 
     def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, dtype=dtype)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for v in batch.column(0):
-                total += np.frombuffer(zlib.decompress(v.as_py()), dtype=dtype)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["v"])
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(zlib.decompress(v.as_py()), dtype=dtype)
+                totals[k] = totals[k] + x if k in totals else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in totals.values()], pa.binary())], names=["piece", "v"])
 
-    n = max(1, int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    parts = df.mapInArrow(first, "v binary").repartition(n).mapInArrow(then, "v binary").collect()
+    n = min(PIECES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = df.mapInArrow(first, "piece int, v binary").repartition(n, "piece").mapInArrow(then, "piece int, v binary").collect()
     total = np.zeros(width, dtype=dtype)
-    for row in parts:
-        total += np.frombuffer(zlib.decompress(bytes(row[0])), dtype=dtype)
+    for k, v in sums:
+        total[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(bytes(v)), dtype=dtype)
     return total
 
 
@@ -87,15 +93,19 @@ def fold(column: str, n: int, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n == k, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of all labelled documents, and all class counts.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, shard: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of all labelled documents by doc_id in partitions of about ``shard``, and all class counts.
 
     A doc_id with several texts or labels gives one row, the least text and the greatest label.
+    Texts and labels are dealt by doc_id together, so that a text is shuffled once; hand in no
+    ``docs`` that are sure to have no label.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    sizes = {int(r[0]): int(r[1]) for r in known.groupBy("y").count().collect()}
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), sizes
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
+    sizes = {int(r[0]): int(r[1]) for r in known.groupBy("doc_id").agg(F.max("y").alias("y")).groupBy("y").count().collect()}
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(None).cast("int").alias("y"))
+    both = texts.unionByName(known.select("doc_id", F.lit(None).cast("string").alias("text"), "y"))
+    rows = both.repartition(max(1, -(-sum(sizes.values()) // shard)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    return rows.where("text is not null and y is not null"), sizes
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:

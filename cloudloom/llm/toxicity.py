@@ -300,12 +300,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Convolution:
     """A network trained and calibrated on all labelled documents."""
     net = Convolution()
-    rows, sizes = labelled_rows(docs, labels, label)
+    rows, sizes = labelled_rows(docs, labels, label, SHARD)
     if len(sizes) < 2:
         return net
     # Copies of a text are all held or all trained on; a partition has the same rows in the same order at each run.
     held = F.crc32(F.lower("text")) % 5 == 0
-    dealt = rows.withColumn("held", held).repartition(-(-sum(sizes.values()) // SHARD), "doc_id").sortWithinPartitions(F.xxhash64("doc_id", F.lit(9)), "doc_id")
+    dealt = rows.withColumn("held", held).sortWithinPartitions(F.xxhash64("doc_id", F.lit(9)), "doc_id")
     shards = checkpoint(_encoded(dealt))
     n_shards = shards.rdd.getNumPartitions()
     trained, kept = shards.where("not held"), shards.where("held")
@@ -394,5 +394,5 @@ def keep_clean(docs: DataFrame, net: Convolution) -> DataFrame:
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from labels outside the held-out fold."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    scored = score_toxicity(docs, learn(docs, labels.where(~fold("doc_id", 3, 1))))
+    scored = score_toxicity(docs, learn(*(df.where(~fold("doc_id", 3, 1)) for df in (docs, labels))))
     return scored.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= AT).cast("int").alias("predicted"))

@@ -164,6 +164,26 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     assert sum(found[i] == bool(i % 2) for i, _ in new) >= 57
 
 
+def test_texts_to_learn_from_are_shuffled_once(spark, monkeypatch):
+    plans, encoded = [], toxicity._encoded
+    monkeypatch.setattr(toxicity, "_encoded", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or encoded(rows))
+    monkeypatch.setattr(toxicity, "SHARD", 20)
+    docs, labels, _ = _labelled(spark, 60, lambda t, rng: t + " idiot")
+    toxicity.learn(docs, labels)
+    assert sum("Exchange hashpartitioning" in line and "doc_id" in line for line in plans[0].splitlines()) == 1
+
+
+def test_sums_take_one_vector_to_the_driver(spark, monkeypatch):
+    sent = []
+    frame = spark.range(1000).repartition(9)
+    collect = type(frame).collect
+    monkeypatch.setattr(type(frame), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    for width in (1, 63, 64, 1000):
+        tally = lambda batches, width=width: sum((np.bincount(b.column(0).to_numpy() % width, minlength=width) for b in batches), np.zeros(width, np.int64))
+        assert common.sum_vectors(frame, tally, width, "i8").tolist() == np.bincount(np.arange(1000) % width, minlength=width).tolist()
+        assert sorted(r.piece for r in sent.pop()) == list(range(-(-width // -(-width // common.PIECES))))
+
+
 def test_long_texts_score_alike_in_stretches():
     net = toxicity.Convolution()
     net.ready = True
