@@ -40,7 +40,7 @@ SEED_BITS = 3
 EDGES = (0, 26, 52, 78, 103, 128)
 MOST_PIXELS = 1 << 26
 #: Corners of one table entry beyond which its pairs are not made at once.
-CROWD = 8
+CROWD = 64
 _rng = np.random.default_rng(17)
 _ENDS = _rng.normal(0, RADIUS / 2, (128, 2, 2))
 #: Both ends of each comparison, inside the disc in every direction.

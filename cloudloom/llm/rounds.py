@@ -5,12 +5,13 @@ Candidates are verified by bringing one node's payload to the other's.  Links on
 connect: a pair is spared if and only if its nodes are connected already, so the classes are
 those of all verified pairs.
 
-Keys of at most ``CROWD`` nodes give their candidate pairs at once.  In a crowded key a few hubs
-are held against all its other nodes, then leave it; the next hubs are taken from what stands
-outside the key's largest class, more in each round, until every key is one class.  Of the
-candidates each class has a few verified first, then more in each round, until those left stand
-inside one class.  So a group of copies costs its size, and what is no copy is compared in
-full.
+Each key is first a star: its hub, by a hash that is the same in all keys, is held against its
+other nodes.  Then keys of at most ``CROWD`` nodes give those pairs that their stars have not
+connected.  In a crowded key hubs are taken from what stands outside its largest class, held
+against all of the key and leave it; more are taken in each round, until every key is one class.
+Of the candidates each class has a few verified first, then more in each round, until those left
+stand inside one class.  So a group of copies costs its size, however few nodes its keys have, and
+what is no copy is compared in full.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from cloudloom.llm.common import checkpoint
 from cloudloom.operators.graph import connected_components, stored
 
-#: Nodes of one key beyond which its pairs are not made at once.
+#: Nodes of one key beyond which its pairs are not made at once, and hubs that it has first, after its star.
 CROWD = 64
 #: Pairs of one node that are verified in one call.
 SLICE = 500
@@ -89,12 +90,6 @@ def link_rounds(
     """
     on = [c for c in ("part", "key") if c in index.columns]
     cols = [c for c in index.columns if c not in on]
-    most = CROWD if crowd is None else crowd
-    keys = index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    crowded = checkpoint(keys.where(F.col("n") > most).select(*on))
-    n_crowded = crowded.count()
-    few = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
-    thin = index.join(few, on, "left_anti") if n_crowded else index
 
     def side(df: DataFrame, s: str, *more: str) -> DataFrame:
         return df.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in (*cols, *more)])
@@ -102,11 +97,16 @@ def link_rounds(
     def named(s: str) -> Callable[[str], Column]:
         return lambda c: F.col(f"{c}_{s}")
 
+    def candidates(met: DataFrame) -> DataFrame:
+        return met.where(near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+    most, mark = CROWD if crowd is None else crowd, F.xxhash64("node")
     near = close(named("a"), named("b")) & (F.col("node_a") != F.col("node_b"))
-    met = side(thin.where("not probe"), "a").join(side(thin, "b"), on).where(near & (F.col("probe_b") | (F.col("node_a") < F.col("node_b"))))
-    pairs = checkpoint(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    stars = index.where("not probe").groupBy(*on).agg(*[F.min_by(c, mark).alias(c) for c in cols])
+    pairs = checkpoint(candidates(side(stars, "a").join(side(index, "b"), on)))
     edges = checkpoint(pairs.limit(0))
     comps = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    tried = pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
 
     def rooted(df: DataFrame, *nodes: str) -> DataFrame:
         for node in nodes:
@@ -131,31 +131,36 @@ def link_rounds(
                 return edges
             left, most = rows.select("a", "b").join(chosen, ["a", "b"], "left_anti"), most * MORE
 
+    def settle_new(met: DataFrame) -> None:
+        """All links among the candidates ``met`` that no round has had before."""
+        nonlocal tried
+        new = candidates(met).join(tried, (F.col("a") == F.col("lo")) & (F.col("b") == F.col("hi")), "left_anti")
+        new = checkpoint(new)
+        if not new.isEmpty():
+            tried = tried.unionByName(new.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
+            settle(new)
+
     settle(pairs)
+    keys = index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    crowded = checkpoint(keys.where(F.col("n") > most).select(*on))
+    n_crowded = crowded.count()
+    few = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
+    thin = rooted(index.join(few, on, "left_anti") if n_crowded else index, "node").withColumnRenamed("root_node", "root")
+    met = side(thin.where("not probe"), "a", "root").join(side(thin, "b", "root"), on)
+    settle_new(met.where((F.col("root_a") != F.col("root_b")) & (F.col("probe_b") | (F.col("node_a") < F.col("node_b")))))
     if not n_crowded:
         return edges
-    tried = pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
-    left, hubs = index.join(few, on, "left_semi"), 1
+    left, hubs = index.join(few, on, "left_semi"), most
     while True:
-        rows = stored(rooted(left, "node").withColumnRenamed("root_node", "root"))
+        rows = rooted(left, "node").withColumnRenamed("root_node", "root")
         classes = rows.groupBy(*on, "root").agg(F.count(F.lit(1)).alias("n"))
         keys = classes.groupBy(*on).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
         keys = checkpoint(keys.select(*on, F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("n")))
         if keys.isEmpty():
             return edges
         outside, mark = F.col("root") != F.col("top"), F.xxhash64("node", F.lit(hubs))
-        rows = rows.join(small(keys), on)
-        if hubs == 1:
-            best = checkpoint(rows.where(outside).groupBy(*on).agg(F.min_by("node", mark).alias("best")))
-            rows = rows.join(small(best), on).withColumn("chosen", F.col("node") == F.col("best"))
-        else:
-            rows = rows.withColumn("chosen", outside & (F.pmod(mark, F.lit(1 << 20)) * F.col("n") < F.lit(hubs * (1 << 20))))
-        rows = rows.select(*on, *cols, "root", "chosen")
+        rows = rows.join(small(keys), on).withColumn("chosen", outside & (F.pmod(mark, F.lit(1 << 20)) * F.col("n") < F.lit(hubs * (1 << 20))))
+        rows = stored(rows.select(*on, *cols, "root", "chosen"))
         apart = (F.col("root_a") != F.col("root_b")) & ~(F.col("probe_a") & F.col("probe_b")) & (~F.col("chosen_b") | (F.col("node_a") < F.col("node_b")))
-        met = side(rows.where("chosen"), "a", "root").join(side(rows, "b", "root", "chosen"), on).where(near & apart)
-        new = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        new = checkpoint(new.join(tried, (F.col("a") == F.col("lo")) & (F.col("b") == F.col("hi")), "left_anti"))
-        if not new.isEmpty():
-            tried = tried.unionByName(new.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
-            settle(new)
+        settle_new(side(rows.where("chosen"), "a", "root").join(side(rows, "b", "root", "chosen"), on).where(apart))
         left, hubs = rows.where("not chosen").select(*on, *cols), hubs * MORE

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudloom.llm import common, decontaminate, html, language, licenses, media, packing, pii, quality, rounds, simhash, toxicity
+from cloudloom.operators.graph import connected_components, stored
 
 WORDS = "river stone light under green paper window seven mountain quick silver garden".split()
 
@@ -426,6 +427,42 @@ def test_index_rows_of_a_text_do_not_depend_on_the_others(spark, frame, monkeypa
     assert rows == [40 * 8, 4000 * 8]  # of 36 shingles 29 must be shared, so 8 are kept
 
 
+def test_a_pair_of_a_family_is_met_once(spark, monkeypatch):
+    met = []
+
+    def seen(index, close, load, same):
+        p, q = (index.select("key", *[F.col(c).alias(f"{c}_{s}") for c in index.columns if c != "key"]) for s in "ab")
+        near = close(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
+        met.extend(p.join(q, "key").where("node_a < node_b").select("node_a", "node_b", near.alias("near")).collect())
+        return spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(simhash, "link_rounds", seen)
+    rng = random.Random(23)
+    texts = []
+    for k in range(40):  # alike texts that share most of their first shingles, none all
+        words = [f"w{i}" for i in range(400)]
+        for at in rng.sample(range(400), 3):
+            words[at] = f"x{k}y{at}"
+        texts.append((k, k, " ".join(words)))
+    rows = spark.createDataFrame(texts, "_row long, doc_id long, text string")
+    known = simhash.described(rows, simhash.word_weights(rows), 5, np.zeros(simhash.SHINGLE_CELLS, np.int32))
+    simhash.similar_links(known.withColumnRenamed("_row", "node"), rows, 5, 0.8, 64)
+    pairs = {(r.node_a, r.node_b) for r in met}
+    near = [(r.node_a, r.node_b) for r in met if r.near]
+    assert len(pairs) == 780 and set(near) == pairs and len(near) < 1.1 * len(pairs) < 0.05 * len(met)
+
+
+def test_copies_in_keys_of_few_nodes_cost_their_number(spark, monkeypatch):
+    tried, delivered = [], rounds.delivered
+    monkeypatch.setattr(rounds, "delivered", lambda pairs, *more: tried.append(pairs.count()) or delivered(pairs, *more))
+    rows = [(key, node, False) for node in range(60) for key in range(node // 30 * 5, node // 30 * 5 + 5)]
+    index = stored(spark.createDataFrame(rows, "key long, node long, probe boolean"))
+    load = lambda names: names.select("node", F.array(F.floor(F.col("node") / 30)).alias("payload"))
+    links = rounds.link_rounds(index, lambda p, q: F.lit(True), load, lambda x, y: bool(x[0] == y[0]))
+    comps = {r.node: r.component for r in connected_components(links).collect()}
+    assert comps == {k: k // 30 * 30 for k in range(60)} and sum(tried) < 120  # 870 pairs share a key
+
+
 # --- licenses --------------------------------------------------------------
 
 
