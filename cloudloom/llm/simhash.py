@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 from math import ceil, comb
-from operator import add
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm.common import checkpoint, fresh, read_table, sum_vectors
-from cloudloom.llm.rounds import link_rounds, meeting, small
+from cloudloom.llm.rounds import link_rounds, meeting
 from cloudloom.operators.graph import connected_components, stored
 
 #: Index entries of one key beyond which its bucket goes to the kernel.
@@ -43,6 +43,8 @@ BROADCAST_ROWS = 200_000
 MAX_BITS, NEAR_BITS = 7, 22
 #: Columns of 64 cells each that tell in which an odd number of a text's shingles lies.
 ODD = ("odd0", "odd1", "odd2", "odd3")
+#: Least shared shingles of a text that tell at which of them a pair of texts meets first.
+LEADS = ("lead0", "lead1", "lead2", "lead3")
 #: Cells of word counts; words that a task remembers.
 CELLS, CACHE = 1 << 18, 200_000
 #: Cells of shingle counts, by which common shingles are told from rare ones.
@@ -423,15 +425,22 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
     shingle of one node meets nothing and is left out.  Word fingerprints that differ in more than
     ``max_bits`` are no link; sizes, odd cells and the shingle fingerprints (at most ``NEAR_BITS``
     apart) spare hopeless ones, and the sets of shingles decide.
+
+    A pair counts at the least shingle that both share and at no other that its ``LEADS`` tell to be
+    later: in none that comes before, so it is never lost, and of a family's pairs one row is made, not
+    one for each shared shingle.
     """
-    rows = nodes.select("node", F.explode("first").alias("key"))
-    index = stored(meeting(rows).join(small(nodes.drop("first")), "node").withColumn("probe", F.lit(False)))
+    rows = stored(meeting(nodes.select("node", F.explode("first").alias("key"))))
+    least = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, len(LEADS)).alias("least"))
+    leads = least.select("node", *[F.coalesce(F.get("least", F.lit(k)), F.get("least", F.lit(0))).alias(c) for k, c in enumerate(LEADS)])
+    index = stored(rows.join(nodes.drop("first").join(leads, "node"), "node").withColumn("probe", F.lit(False)))
 
     def close(p, q) -> Column:
         alike = F.least(p("size"), q("size")) >= similarity * F.greatest(p("size"), q("size")) - 1e-6
         differ = reduce(add, [F.bit_count(p(c).bitwiseXOR(q(c))) for c in ODD])
         alike &= differ <= (1 - similarity) / (1 + similarity) * (p("size") + q("size")) + 1e-6
-        return (F.bit_count(p("fp").bitwiseXOR(q("fp"))) <= max_bits) & alike & (F.bit_count(p("near").bitwiseXOR(q("near"))) <= NEAR_BITS)
+        met = reduce(or_, [(p(c) < F.col("key")) & reduce(or_, [p(c) == q(d) for d in LEADS]) for c in LEADS])
+        return (F.bit_count(p("fp").bitwiseXOR(q("fp"))) <= max_bits) & alike & (F.bit_count(p("near").bitwiseXOR(q("near"))) <= NEAR_BITS) & ~met
 
     load = lambda names: shingle_sets(texts.join(names.select(F.col("node").alias("_row")), "_row", "left_semi"), width)
     return link_rounds(index, close, load, jaccard_at_least(similarity))
