@@ -17,6 +17,7 @@ what is no copy is compared in full.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SLICE = 500
 BROADCAST_ROWS = 200_000
 #: Keys, one long each, up to which they may be broadcast.
 BROADCAST_KEYS = 2_000_000
+#: Rows of a partition of what a round leaves: with fewer rows in all it is one task, and what follows needs no shuffle.
+PART_ROWS = 50_000
 #: Pairs of each class that the first round verifies.
 START = 16
 #: How many times as many hubs, and pairs of a class, a round takes as the one before.
@@ -45,6 +48,17 @@ def small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
 
 
+def packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` checkpointed, in partitions of about ``PART_ROWS`` however many made it, and its rows.
+
+    Rounds leave little, in as many partitions as a shuffle has, and unions add theirs up; each would
+    be a task, and files, of every later step.
+    """
+    df = checkpoint(df)
+    n = df.count()
+    return df.coalesce(max(1, ceil(n / PART_ROWS))), n
+
+
 def meeting(index: DataFrame) -> DataFrame:
     """Rows of ``index`` (key, ...) whose key stands in several; the others meet nothing."""
     keys = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
@@ -60,8 +74,8 @@ def delivered(pairs: DataFrame, load: Callable[[DataFrame], DataFrame], same: Ca
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("n"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("n")).alias("slice"))
     own = sizes.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slice"))
-    rows = checkpoint(dealt.unionByName(own))
-    few = F.broadcast if rows.count() <= BROADCAST_ROWS else (lambda df: df)
+    rows, n_rows = packed(dealt.unionByName(own))
+    few = F.broadcast if n_rows <= BROADCAST_ROWS else (lambda df: df)
     payloads = load(few(rows.select(F.col("b").alias("node")).distinct()))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -103,8 +117,8 @@ def link_rounds(
     most, mark = CROWD if crowd is None else crowd, F.xxhash64("node")
     near = close(named("a"), named("b")) & (F.col("node_a") != F.col("node_b"))
     stars = index.where("not probe").groupBy(*on).agg(*[F.min_by(c, mark).alias(c) for c in cols])
-    pairs = checkpoint(candidates(side(stars, "a").join(side(index, "b"), on)))
-    edges = checkpoint(pairs.limit(0))
+    pairs, _ = packed(candidates(side(stars, "a").join(side(index, "b"), on)))
+    edges, _ = packed(pairs.limit(0))
     comps = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     tried = pairs.select(F.col("a").alias("lo"), F.col("b").alias("hi"))
 
@@ -119,15 +133,14 @@ def link_rounds(
         most = START
         while True:
             rows = rooted(left, "a", "b").where("root_a <> root_b").withColumn("class", F.greatest("root_a", "root_b"))
-            rows = checkpoint(rows.select("a", "b", "class", F.xxhash64("a", "b").alias("mark")))
-            n_rows = rows.count()
+            rows, n_rows = packed(rows.select("a", "b", "class", F.xxhash64("a", "b").alias("mark")))
             if n_rows == 0:
                 return edges
             sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-            chosen = checkpoint(rows.join(sizes, "class").where(F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)).select("a", "b"))
-            edges = checkpoint(edges.unionByName(delivered(chosen, load, same)))
+            chosen, n_chosen = packed(rows.join(sizes, "class").where(F.pmod("mark", F.lit(1 << 20)) * F.col("n") < F.lit(most << 20)).select("a", "b"))
+            edges, _ = packed(edges.unionByName(delivered(chosen, load, same)))
             comps = small(connected_components(edges))
-            if chosen.count() == n_rows:
+            if n_chosen == n_rows:
                 return edges
             left, most = rows.select("a", "b").join(chosen, ["a", "b"], "left_anti"), most * MORE
 
@@ -135,15 +148,14 @@ def link_rounds(
         """All links among the candidates ``met`` that no round has had before."""
         nonlocal tried
         new = candidates(met).join(tried, (F.col("a") == F.col("lo")) & (F.col("b") == F.col("hi")), "left_anti")
-        new = checkpoint(new)
-        if not new.isEmpty():
+        new, n_new = packed(new)
+        if n_new:
             tried = tried.unionByName(new.select(F.col("a").alias("lo"), F.col("b").alias("hi")))
             settle(new)
 
     settle(pairs)
     keys = index.where("not probe").groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    crowded = checkpoint(keys.where(F.col("n") > most).select(*on))
-    n_crowded = crowded.count()
+    crowded, n_crowded = packed(keys.where(F.col("n") > most).select(*on))
     few = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
     thin = rooted(index.join(few, on, "left_anti") if n_crowded else index, "node").withColumnRenamed("root_node", "root")
     met = side(thin.where("not probe"), "a", "root").join(side(thin, "b", "root"), on)
@@ -155,8 +167,8 @@ def link_rounds(
         rows = rooted(left, "node").withColumnRenamed("root_node", "root")
         classes = rows.groupBy(*on, "root").agg(F.count(F.lit(1)).alias("n"))
         keys = classes.groupBy(*on).agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        keys = checkpoint(keys.select(*on, F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("n")))
-        if keys.isEmpty():
+        keys, n_keys = packed(keys.select(*on, F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("n")))
+        if not n_keys:
             return edges
         outside, mark = F.col("root") != F.col("top"), F.xxhash64("node", F.lit(hubs))
         rows = rows.join(small(keys), on).withColumn("chosen", outside & (F.pmod(mark, F.lit(1 << 20)) * F.col("n") < F.lit(hubs * (1 << 20))))

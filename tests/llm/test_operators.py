@@ -466,6 +466,26 @@ def test_copies_in_keys_of_few_nodes_cost_their_number(spark, monkeypatch):
 # --- licenses --------------------------------------------------------------
 
 
+def test_rounds_do_not_add_up_partitions(spark, monkeypatch):
+    """Stars, pairs and hubs each leave links; their tables get no more partitions with every round."""
+    monkeypatch.setattr(rounds, "START", 1)
+    rows = [(key, node, False) for key, nodes in ((1, range(0, 40)), (2, range(30, 42)), (3, range(50, 60))) for node in nodes]
+    payload = spark.createDataFrame([(n, [n % 3]) for n in range(60)], "node long, payload array<long>")
+    index = common.checkpoint(spark.createDataFrame(rows, "key long, node long, probe boolean").repartition(4))
+    handed, delivered = [], rounds.delivered
+    monkeypatch.setattr(rounds, "delivered", lambda pairs, *more: handed.append(pairs.rdd.getNumPartitions()) or delivered(pairs, *more))
+    load = lambda names: payload.join(names, "node", "left_semi")
+    found = []
+    for part_rows in (50_000, 5):
+        monkeypatch.setattr(rounds, "PART_ROWS", part_rows, raising=False)
+        links = rounds.link_rounds(index, lambda p, q: F.lit(True), load, lambda x, y: bool(x[0] == y[0]), crowd=4)
+        if part_rows > 5:
+            assert links.rdd.getNumPartitions() == 1 and len(handed) > 2 and set(handed) == {1}
+        found.append({tuple(r) for r in connected_components(links).collect()})
+    truth = {(n, n % 3) for n in range(42)} | {(n, 50 + (n - 50) % 3) for n in range(50, 60)}
+    assert found[0] == found[1] == truth
+
+
 def test_license_rules(spark, frame):
     assert len(licenses.rules()) > 200 and len({r[0] for r in licenses.rules()}) == len(licenses.rules())
     docs = [(1, "Released under the MIT License, and so on."), (2, "Apache License, Version 2.0 (the License)"), (3, "licensed under CC BY-NC-SA 4.0"), (4, "no such thing"), (5, "GNU General Public License, version 3; under the mit license under the mit license")]
