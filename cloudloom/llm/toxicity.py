@@ -18,7 +18,9 @@ from __future__ import annotations
 import copy
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 CELLS, SIZE, WIDTHS, FILTERS, AT = 1 << 15, 16, (1, 2, 3), 12, 0.7
 PARTS = 4  # hashed parts of a word
 CHARS, CACHE = 600_000, 150_000
+#: Words whose filter answers stand in memory at once: few, so that they stay in the processor's cache.
+WINDOW = 4_000
 #: Rows of a partition in training, rounds of averaging, least rows seen in all, steps of counted scores.
 SHARD, ROUNDS, VISITS, BINS = 4_000, 3, 24_000, 4_096
 #: Averages are summed in whole numbers of this part of one, so that they are equal in any order.
@@ -48,18 +52,34 @@ LANGS = [*FUNCTION_WORDS, "other"]
 LANGUAGE_OF = {w: lang for lang, words in FUNCTION_WORDS.items() for w in words}
 
 
+#: What each character of Latin-1 becomes in ``words_of``: itself, or a blank if it is no letter.
+LATIN_1 = bytes(k if WORD.fullmatch(chr(k)) else 32 for k in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    """All matches of ``WORD`` in the lower-cased text; texts of Latin-1 take a table in its place."""
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(LATIN_1).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(low)
+
+
+#: CRC of the number that stands before each part of a word.
+MARKS = tuple(zlib.crc32(str(k).encode()) for k in range(PARTS))
+
+
 def parts(word: str) -> tuple[int, ...]:
     """Cells of a word: itself and its beginnings of three, four and five letters."""
-    return tuple(zlib.crc32(f"{k}{x}".encode("utf-8", "surrogatepass")) % CELLS for k, x in enumerate((word, word[:3], word[:4], word[:5])))
+    b = word.encode("utf-8", "surrogatepass")
+    begin = [b[:n] for n in (3, 4, 5)] if len(b) == len(word) else [word[:n].encode("utf-8", "surrogatepass") for n in (3, 4, 5)]
+    return tuple(zlib.crc32(x, mark) % CELLS for x, mark in zip((b, *begin), MARKS, strict=True))
 
 
 def language(words: list[str]) -> str:
     """Language by function words (ties and none: ``other``)."""
-    votes: dict[str, int] = {}
-    for w in words:
-        lang = LANGUAGE_OF.get(w)
-        if lang:
-            votes[lang] = votes.get(lang, 0) + 1
+    votes = Counter(map(LANGUAGE_OF.get, words))
+    votes.pop(None, None)
     best = max(votes.values(), default=0)
     return next((k for k, v in votes.items() if v == best), "other") if best and sum(v == best for v in votes.values()) == 1 else "other"
 
@@ -78,15 +98,35 @@ class Convolution:
         self.fallback = 0.5
         self.ready = False
 
-    def answers(self, x: np.ndarray) -> np.ndarray:
-        """Filter answers at each word of padded word vectors ``x`` (two of padding at the end)."""
+    def sums_of_filters(self, x: np.ndarray) -> np.ndarray:
+        """What each filter adds up at each word of padded word vectors ``x`` (two of padding at the end), without its bias."""
         n = len(x) - max(WIDTHS) + 1
-        return np.concatenate([np.maximum(sum(x[k : k + n] @ self.filters[w][k * SIZE : (k + 1) * SIZE] for k in range(w)) + self.bias[w], 0) for w in WIDTHS], 1)
+        each = x @ np.concatenate([self.filters[w][k * SIZE : (k + 1) * SIZE] for w in WIDTHS for k in range(w)], 1)
+        out, at = np.empty((n, FILTERS * len(WIDTHS)), each.dtype), 0
+        for j, w in enumerate(WIDTHS):
+            own = out[:, j * FILTERS : (j + 1) * FILTERS]
+            own[:] = each[:n, at : at + FILTERS]
+            for k in range(1, w):
+                own += each[k : k + n, at + k * FILTERS : at + (k + 1) * FILTERS]
+            at += w * FILTERS
+        return out
+
+    def cut(self, top: np.ndarray) -> np.ndarray:
+        """Answers of the filters from their highest sums: the bias and the cut at zero change no order."""
+        return np.maximum(top + np.concatenate([self.bias[w] for w in WIDTHS]), 0)
 
     def raw(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Uncalibrated probabilities of documents that stand in ``x`` one after another, each padded."""
-        pad = np.zeros((max(WIDTHS) - 1, x.shape[1]), x.dtype)
-        top = np.maximum.reduceat(self.answers(np.concatenate((x, pad))), starts, axis=0)
+        """Uncalibrated probabilities of documents that stand in ``x`` one after another, each padded by the widest filter.
+
+        A filter that begins in the padding's end would see the next document, so none does.
+        """
+        more = max(WIDTHS) - 1
+        ends = np.append(starts[1:], len(x)) - more
+        z = self.sums_of_filters(np.concatenate((x, np.zeros((more, x.shape[1]), x.dtype))))
+        return self.told(self.cut(np.maximum.reduceat(z, np.stack((starts, ends), 1).ravel(), axis=0)[::2]))
+
+    def told(self, top: np.ndarray) -> np.ndarray:
+        """Probabilities of the highest answers ``top``."""
         return 1 / (1 + np.exp(-np.clip(top @ self.out + self.shift, -30, 30)))
 
     def stretch(self, p: float, lang: str) -> float:
@@ -118,33 +158,38 @@ class Convolution:
         touched = np.zeros(CELLS, np.int64)
         for at_row in range(0, len(order), batch):
             chosen = order[at_row : at_row + batch]
-            grads = {k: np.zeros_like(v) for k, v in self._params().items() if k != "table"}
-            cells, moves = [], []
+            xs, own_cells, keeps, ats, tops, base = [], [], [], [], [], 0
             for i in chosen:
-                d = docs[i]
-                keep = rng.random(len(d)) > 0.1
-                x = np.zeros((len(d) + pad + (len(d) == 0), SIZE), np.float32)
-                x[: len(d)] = self.table[d].sum(1) * keep[:, None]
-                z = self.answers(x)
+                d = docs[i].astype(np.intp)
+                size = len(d) + pad + (len(d) == 0)
+                x, keep = np.zeros((size, SIZE), np.float32), np.zeros(size, bool)
+                keep[: len(d)] = rng.random(len(d)) > 0.1
+                x[: len(d)] = sum(self.table.take(d[:, k], axis=0) for k in range(1, PARTS)) + self.table.take(d[:, 0], axis=0)
+                x *= keep[:, None]
+                z = self.sums_of_filters(x)
                 at = z.argmax(0)
-                top = z[at, np.arange(z.shape[1])]
-                p = 1 / (1 + np.exp(-np.clip(top @ self.out + self.shift, -30, 30)))
-                g = weight[i] * (p - y[i])
-                grads["out"] += g * top
-                grads["shift"] += g
-                gz = g * self.out * (top > 0)
-                for j, w in enumerate(WIDTHS):
-                    own = slice(j * FILTERS, (j + 1) * FILTERS)
-                    win = np.stack([x[at[own] + k] for k in range(w)], 1).reshape(FILTERS, w * SIZE)
-                    grads[f"f{w}"] += (win * gz[own, None]).T
-                    grads[f"b{w}"] += gz[own]
-                    back = (self.filters[w] * gz[own]).T.reshape(FILTERS, w, SIZE)
-                    for k in range(w):
-                        place = at[own] + k
-                        ok = (place < len(d)) & (gz[own] != 0)
-                        ok[ok] &= keep[place[ok]]
-                        cells.append(d[place[ok]].ravel())
-                        moves.append(np.repeat(back[ok, k], PARTS, 0))
+                tops.append(z[at, np.arange(z.shape[1])])
+                ats.append(at + base)
+                xs.append(x)
+                keeps.append(keep)
+                own_cells.append(np.concatenate((d, np.zeros((size - len(d), PARTS), np.intp))))
+                base += size
+            x, keep, own_cells = np.concatenate(xs), np.concatenate(keeps), np.concatenate(own_cells)
+            at, top = np.stack(ats), self.cut(np.stack(tops))
+            g = weight[chosen] * (self.told(top) - y[chosen])
+            gz = g[:, None] * self.out * (top > 0)
+            grads = {"out": (g[:, None] * top).sum(0), "shift": g.sum()}
+            cells, moves = [], []
+            for j, w in enumerate(WIDTHS):
+                own = slice(j * FILTERS, (j + 1) * FILTERS)
+                place = at[:, own, None] + np.arange(w)
+                win = x[place].reshape(len(chosen), FILTERS, w * SIZE)
+                grads[f"f{w}"] = (win * gz[:, own, None]).sum(0).T
+                grads[f"b{w}"] = gz[:, own].sum(0)
+                back = (self.filters[w].T * gz[:, own, None]).reshape(len(chosen), FILTERS, w, SIZE)
+                ok = keep[place] & (gz[:, own, None] != 0)
+                cells.append(own_cells[place[ok]])
+                moves.append(back[ok])
             for k, g in grads.items():
                 g = g / len(chosen)
                 sums[k] += g * g
@@ -152,10 +197,11 @@ class Convolution:
                 value -= rate * g / np.sqrt(sums[k])
                 if k == "shift":
                     self.shift = np.float32(value)
-            rows, inverse = np.unique(np.concatenate(cells), return_inverse=True)
-            if len(rows):
-                g = np.zeros((len(rows), SIZE), np.float32)
-                np.add.at(g, inverse, np.concatenate(moves) / len(chosen))
+            cells, moves = np.concatenate(cells).ravel(), np.concatenate(moves) / len(chosen)
+            if len(cells):
+                by_cell = np.argsort(cells, kind="stable")
+                rows, firsts = np.unique(cells[by_cell], return_index=True)
+                g = np.add.reduceat(moves[by_cell // PARTS], firsts, axis=0).astype(np.float32)
                 sums["table"][rows] += g * g
                 self.table[rows] -= rate * g / np.sqrt(sums["table"][rows])
                 touched[rows] += 1
@@ -211,15 +257,19 @@ class Scorer:
 
     def _ids(self, words: list[str]) -> np.ndarray:
         ids = self.ids
-        new = [w for w in set(words) if w not in ids]
-        if new:
-            while len(ids) + len(new) >= len(self.vectors):
-                self.vectors = np.concatenate((self.vectors, np.zeros_like(self.vectors)))
-            cells = np.array([parts(w) for w in new])
-            at = len(ids) + 1
-            self.vectors[at : at + len(new)] = self.net.table[cells].sum(1)
-            ids.update(zip(new, range(at, at + len(new)), strict=True))
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        out = np.fromiter(map(ids.get, words, repeat(0)), np.int64, len(words))
+        missing = np.flatnonzero(out == 0).tolist()
+        if not missing:
+            return out
+        new = list({words[k] for k in missing})
+        while len(ids) + len(new) >= len(self.vectors):
+            self.vectors = np.concatenate((self.vectors, np.zeros_like(self.vectors)))
+        cells = np.array([parts(w) for w in new])
+        at = len(ids) + 1
+        self.vectors[at : at + len(new)] = self.net.table[cells].sum(1)
+        ids.update(zip(new, range(at, at + len(new)), strict=True))
+        out[missing] = [ids[words[k]] for k in missing]
+        return out
 
     def score(self, texts: list[str]) -> list[float]:
         if not self.net.ready:
@@ -229,18 +279,18 @@ class Scorer:
         rows, starts, langs, at = [], [], [], 0
         gap = np.zeros(max(WIDTHS), np.int64)  # row 0 is padding
         for t in texts:
-            words = WORD.findall(t.lower())
+            words = words_of(t)
             langs.append(language(words))
             rows += [self._ids(words), gap]
             starts.append(at)
             at += len(words) + len(gap)
         flat, ends = np.concatenate(rows), [*starts[1:], at]
         out: list[float] = []
-        # Documents in groups of about 100,000 words; one that is longer in stretches that overlap.
+        # Documents in groups of about ``WINDOW`` words; one that is longer in stretches that overlap.
         k = 0
         while k < len(texts):
             j = k + 1
-            while j < len(texts) and ends[j] - starts[k] <= 100_000:
+            while j < len(texts) and ends[j] - starts[k] <= WINDOW:
                 j += 1
             lo, hi = starts[k], ends[j - 1]
             if j == k + 1 and hi - lo > 200_000:
@@ -257,24 +307,23 @@ class Scorer:
             x = self.vectors[ids[a : a + step + more]]
             if a + step + more >= len(ids):  # only the text's end is padded
                 x = np.concatenate((x, np.zeros((more, SIZE), np.float32)))
-            tops.append(self.net.answers(x).max(0))
-        top = np.max(tops, 0)
-        return float(1 / (1 + np.exp(-np.clip(top @ self.net.out + self.net.shift, -30, 30))))
+            tops.append(self.net.sums_of_filters(x).max(0))
+        return float(self.net.told(self.net.cut(np.max(tops, 0))))
 
 
 def _encoded(rows: DataFrame) -> DataFrame:
     """(cells, lang, y, held) of each row (text, y, held), in the same order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
             cells, langs = [], []
             known = known if len(known) <= CACHE else {}
             for t in batch.column(0):
-                words = WORD.findall((t.as_py() or "").lower())
+                words = words_of(t.as_py() or "")
                 for w in set(words).difference(known):
-                    known[w] = parts(w)
-                cells.append(np.array([known[w] for w in words], np.uint16).tobytes())
+                    known[w] = np.array(parts(w), np.uint16).tobytes()
+                cells.append(b"".join(map(known.__getitem__, words)))
                 langs.append(LANGS.index(language(words)))
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.binary()), pa.array(langs, pa.int32()), batch.column(1), batch.column(2)], names=["cells", "lang", "y", "held"])
 

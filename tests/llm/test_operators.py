@@ -195,6 +195,23 @@ def test_long_texts_score_alike_in_stretches():
     assert abs(scorer._long(ids) - whole) < 1e-6
 
 
+def test_toxicity_of_a_text_does_not_depend_on_its_neighbours():
+    net = toxicity.Convolution()
+    net.ready = True
+    some = [*texts(120, seed=31), "", "word", *texts(3, seed=32, least=5000, most=5200)]
+    alone = [toxicity.Scorer(net).score([t])[0] for t in some]
+    assert np.abs(np.array(toxicity.Scorer(net).score(some)) - alone).max() < 1e-6  # filters saw the next text's first words
+    assert np.abs(np.array(toxicity.Scorer(net).score(some[::-1])) - alone[::-1]).max() < 1e-6
+
+
+def test_toxicity_words_and_parts():
+    latin = "".join(map(chr, range(256)))
+    for t in (latin, latin[::-1], "a".join(latin), "", "It's 3 o'clock_now", "Müßig, ÉTÉ!", "“quoted” – œuvre", "Ὀδυσσεύς ΑΣ İstanbul", "\ud800x y"):
+        assert toxicity.words_of(t) == toxicity.WORD.findall(t.lower())
+        for w in toxicity.words_of(t):
+            assert toxicity.parts(w) == tuple(zlib.crc32(f"{k}{x}".encode("utf-8", "surrogatepass")) % toxicity.CELLS for k, x in enumerate((w, w[:3], w[:4], w[:5])))
+
+
 # --- language --------------------------------------------------------------
 
 PROSE = {"en": "the people of the house went to the river and saw that it was good for them", "de": "die leute aus dem haus gingen zu dem fluss und sahen dass es gut für sie war", "fr": "les gens de la maison sont allés à la rivière et ont vu que cela était bon"}
