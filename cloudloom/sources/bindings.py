@@ -10,8 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def event_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as hits: ev is the hour modulo 4, label the user, g the event type's first letter, t seconds."""
+#: Columns that tell the place of a row among the files of its table.
+PLACE = ["file", "row"]
+
+
+def event_hits(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """events as hits: ev is the hour modulo 4, label the user, g the event type's first letter, t seconds; ``placed``: with ``PLACE``."""
     e = table(spark, sf_dir, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select(
@@ -19,6 +23,7 @@ def event_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 13 == 0, -1).otherwise(F.col("user_id")).alias("label"),
         F.when(F.col("event_id") % 11 == 0, -1).otherwise(F.ascii("event_type")).cast("long").alias("g"),
         F.greatest(F.col("value"), F.lit(0.0)).alias("e"), (F.col("event_id") % 8).cast("int").alias("tpc"), micros.alias("t"),
+        *([F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if placed else []),
     )
 
 

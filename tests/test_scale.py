@@ -93,3 +93,26 @@ def test_crowded_places_cost_no_pairs(spark):
     assert size() - before < 4e6
     parts = {r.hit_id: (r.component, r["size"]) for r in density.radius_components(df, 12.0, ["ev"]).collect()}
     assert parts[0] == parts[2999] == (0, 3000) and parts[3000] == (1, 1) and parts[3001] == (2, 1)
+
+
+@pytest.mark.parametrize("name", ["dominant_group"])
+def test_energies_that_nearly_tie_are_summed_in_the_order_of_rows(spark, tmp_path, name):
+    import duckdb
+
+    from cloudloom.plans.registry import QUERIES, SQL
+
+    hour = "timestamp '2024-01-01 00:00:00'"
+    tied = [("view", e) for e in (0.3, 0.2, 0.1)] + [("click", e) for e in (0.1, 0.2, 0.3)]  # 0.6 for v, 0.6000000000000001 for c
+    users = {1: tied, 2: tied[::-1], 3: [("view", 0.5), ("view", 0.1), ("click", 0.6)], 4: tied + [("error", 9.0)], 5: [("view", 0.0), ("click", 0.0)]}
+    rows = [(user, *r) for user, rs in users.items() for r in rs]
+    values = ", ".join(f"({k}, {hour}, {user}, '{kind}', {e}::double)" for k, (user, kind, e) in enumerate((*rows, *[(9, "view", 1.0)] * 3), 12))
+    (tmp_path / "events.parquet").mkdir()
+    con = duckdb.connect()
+    con.execute(f"set threads = 1; create table events as select *, '{{}}' as props from (values {values}) v(event_id, ts, user_id, event_type, value)")
+    con.execute("update events set event_id = event_id * 11 + 1")
+    for file, part in (("a", "event_id <= 220"), ("b", "event_id > 220")):  # ids fall within a file
+        con.execute(f"copy (select * replace (999999 - event_id as event_id) from events where {part} order by events.event_id) to '{tmp_path}/events.parquet/{file}.parquet' (format parquet)")
+    con.execute(f"drop table events; create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
