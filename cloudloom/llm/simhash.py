@@ -39,8 +39,8 @@ CROWD = 64
 BLOCK = 20_000
 #: Rows of a table up to which it may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Differing bits of the word fingerprints of near-duplicates, and of their shingle fingerprints.
-MAX_BITS, NEAR_BITS = 7, 22
+#: Differing bits that the word fingerprints of near-duplicates may have: all 64, so similarity alone decides.
+MAX_BITS = 64
 #: Columns of 64 cells each that tell in which an odd number of a text's shingles lies.
 ODD = ("odd0", "odd1", "odd2", "odd3")
 #: Least shared shingles of a text that tell at which of them a pair of texts meets first.
@@ -340,13 +340,13 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     return np.sqrt(np.log((total[-1] + 1) / np.maximum(total[:-1], 1))).astype(np.float32)
 
 
-def described(docs: DataFrame, weights: np.ndarray, width: int, counts: np.ndarray | None = None, similarity: float = 0.8) -> DataFrame:
-    """(_row, doc_id, d1, d2, size, fp, near, ODD, first) of each row (_row, doc_id, text).
+def described(docs: DataFrame, weights: np.ndarray | None, width: int, counts: np.ndarray | None = None, similarity: float = 0.8) -> DataFrame:
+    """(_row, doc_id, d1, d2, size, fp, ODD, first) of each row (_row, doc_id, text).
 
-    d1, d2 and size tell the set of shingles; fp is the SimHash of the text's words by weight,
-    near that of its set of shingles, ODD its odd cells, first its ``prefix`` (without ``counts``: none).
+    d1, d2 and size tell the set of shingles; fp is the SimHash of the text's words by weight (without
+    ``weights``: zero), ODD its odd cells, first its ``prefix`` (without ``counts``: none).
     """
-    names = ["d1", "d2", "size", "fp", "near", *ODD]
+    names = ["d1", "d2", "size", "fp", *ODD]
     shared = docs.sparkSession.sparkContext.broadcast((weights, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,10 +356,13 @@ def described(docs: DataFrame, weights: np.ndarray, width: int, counts: np.ndarr
             firsts = []
             for t in batch.column(2):
                 words = _words(t.as_py())
-                hashes, times = known.counted(words)
+                fp = 0
+                if weights is not None:
+                    hashes, times = known.counted(words)
+                    fp = _majority(hashes, times * weights[_cells(hashes)])
                 s = shingles(words, width)
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                row = np.frombuffer(d, "<i8").tolist() + [len(s), _majority(hashes, times * weights[_cells(hashes)]), _majority(s), *odd_cells(s)]
+                row = np.frombuffer(d, "<i8").tolist() + [len(s), fp, *odd_cells(s)]
                 firsts.append(s[:0] if counts is None else prefix(s, counts, similarity))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
@@ -418,13 +421,13 @@ def prefix(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndar
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, max_bits: int) -> DataFrame:
-    """(a, b): links that connect all ``nodes`` (node, first, fp, near, size, ODD) whose texts (_row, text) are that similar.
+    """(a, b): links that connect all ``nodes`` (node, first, size, ODD) whose texts (_row, text) are that similar.
 
     Candidates are nodes that share one of their ``first`` shingles (``prefix``): every similar
     pair does, and a node has rows in proportion to its text however many nodes there are.  A
-    shingle of one node meets nothing and is left out.  Word fingerprints that differ in more than
-    ``max_bits`` are no link; sizes, odd cells and the shingle fingerprints (at most ``NEAR_BITS``
-    apart) spare hopeless ones, and the sets of shingles decide.
+    shingle of one node meets nothing and is left out.  Sizes and odd cells spare pairs that cannot be
+    similar, and the sets of shingles decide.  Under 64 ``max_bits``, word fingerprints (fp, which
+    ``nodes`` must have then) that differ in more are no link.
 
     A pair counts at the least shingle that both share and at no other that its ``LEADS`` tell to be
     later: in none that comes before, so it is never lost, and of a family's pairs one row is made, not
@@ -440,7 +443,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, width: int, similarity: fl
         differ = reduce(add, [F.bit_count(p(c).bitwiseXOR(q(c))) for c in ODD])
         alike &= differ <= (1 - similarity) / (1 + similarity) * (p("size") + q("size")) + 1e-6
         met = reduce(or_, [(p(c) < F.col("key")) & reduce(or_, [p(c) == q(d) for d in LEADS]) for c in LEADS])
-        return (F.bit_count(p("fp").bitwiseXOR(q("fp"))) <= max_bits) & alike & (F.bit_count(p("near").bitwiseXOR(q("near"))) <= NEAR_BITS) & ~met
+        if max_bits < 64:
+            alike &= F.bit_count(p("fp").bitwiseXOR(q("fp"))) <= max_bits
+        return alike & ~met
 
     load = lambda names: shingle_sets(texts.join(names.select(F.col("node").alias("_row")), "_row", "left_semi"), width)
     return link_rounds(index, close, load, jaccard_at_least(similarity))
@@ -450,10 +455,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits:
     """One row of each class of near-duplicates, the one of least doc_id, with all its columns.
 
     Two texts link if their sets of word shingles of ``width`` have at least that Jaccard
-    similarity and the SimHashes of their words differ in at most ``max_bits``.  A changed word
-    alters ``width`` shingles but one word, so words weighted by rarity are the sharper
-    fingerprint; seven bits find over 0.95 of the pairs (measured, see README).  Texts of equal
-    sets are one node.
+    similarity; no such pair is left out.  Under 64 ``max_bits``, links ask of the SimHashes of their
+    words, weighted by rarity, to differ in no more, too.  Texts of equal sets are one node.
 
     Ties: of rows of one doc_id the first as read stays; a null doc_id yields to any other.
     ``docs`` must give the same rows in the same partitions when read again (a table does).
@@ -461,10 +464,12 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits:
     (row,) = fresh(docs, "_row")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     texts = rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = stored(described(texts, word_weights(texts), width, shingle_counts(texts, width), similarity))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row", "fp", "near", "size", *ODD, "first")).alias("least")
+    told = ["size", *ODD] if max_bits >= 64 else ["fp", "size", *ODD]
+    weights = None if max_bits >= 64 else word_weights(texts)
+    known = stored(described(texts, weights, width, shingle_counts(texts, width), similarity))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row", *told, "first")).alias("least")
     nodes = stored(known.groupBy("d1", "d2").agg(least).select("least.*").withColumnRenamed("_row", "node"))
-    comps = connected_components(similar_links(nodes.select("node", "first", "fp", "near", "size", *ODD), texts, width, similarity, max_bits))
+    comps = connected_components(similar_links(nodes.select("node", "first", *told), texts, width, similarity, max_bits))
     roots = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("component", "node"))
     stay = roots.groupBy("root").agg(F.min(F.struct("unknown", "doc_id", "node")).alias("first")).select(F.col("first.node").alias(row))
     return rows.join(stay, row, "left_semi").select(*docs.columns)

@@ -396,6 +396,30 @@ def test_keep_one_finds_pairs_near_the_threshold(spark, frame, monkeypatch, crow
     assert len(whole) > 100 and gone <= {1000 + k for k in whole} and len(gone) >= 0.9 * len(whole)
 
 
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_keep_one_leaves_out_no_similar_pair(spark, frame, monkeypatch, crowd):
+    monkeypatch.setattr(rounds, "CROWD", crowd)
+    rng = random.Random(6)
+    docs = []
+    for k in range(100):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([52, 60, 100, 300]))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), max(1, len(words) // 52)):
+            other[at] = f"new{k}"
+        docs += [(k, " ".join(words)), (1000 + k, " ".join(other))]
+        if k % 4 == 0:  # a word at length: two shingles or so, but most of the text's words
+            docs.append((2000 + k, " ".join(words + [f"long{k}"] * 400)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in (i % 1000 + 1000, i % 1000 + 2000):  # other families share no words in order
+            if j > i and j in sets and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                p, q = sorted((root[i], root[j]))
+                root = {k: p if r == q else r for k, r in root.items()}
+    kept = {r.doc_id for r in simhash.keep_one(frame(docs)).collect()}
+    assert kept == set(root.values()) and len(kept) < 140
+
+
 @pytest.mark.parametrize("crowd", [64, 1])
 def test_keep_one_follows_links_that_miss_the_hub(spark, frame, monkeypatch, crowd):
     monkeypatch.setattr(rounds, "CROWD", crowd)
