@@ -88,6 +88,15 @@ def sum_vectors(
     return total
 
 
+def rested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches``, around which a worker gives back Arrow memory that it holds unused: workers are reused, so it would stay for all later stages."""
+    pool = pa.default_memory_pool()
+    pool.release_unused()
+    for batch in batches:
+        yield batch
+        pool.release_unused()
+
+
 def fold(column: str, n: int, k: int) -> Column:
     """Whether crc32 of the column as text leaves ``k`` modulo ``n`` (false for null)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n == k, F.lit(False))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.llm.common import checkpoint, fresh, read_table, sum_vectors
+from cloudloom.llm.common import checkpoint, fresh, read_table, rested, sum_vectors
 from cloudloom.llm.rounds import link_rounds, meeting
 from cloudloom.operators.graph import connected_components, stored
 
@@ -351,7 +351,7 @@ def described(docs: DataFrame, weights: np.ndarray | None, width: int, counts: n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (weights, counts) = WordHashes(), shared.value
-        for batch in batches:
+        for batch in rested(batches):
             cols: list[list[int]] = [[] for _ in names]
             firsts = []
             for t in batch.column(2):
@@ -375,7 +375,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(node, payload): the ascending hashes of the word shingles of each row (_row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rested(batches):
             sets = [shingles(_words(t.as_py()), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "payload"])
 
@@ -398,7 +398,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(SHINGLE_CELLS, np.int32)
-        for batch in batches:
+        for batch in rested(batches):
             for t in batch.column(0):
                 total[_shingle_cells(shingles(_words(t.as_py()), width))] += 1
         return total
